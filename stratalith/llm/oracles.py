@@ -37,4 +37,19 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (g.k IS NOT NULL) AS n_dropp
 FROM k LEFT JOIN gone g ON k.k = g.k GROUP BY doc_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4}
+TOKENS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')".format(ASCII_LOWER.format("coalesce(text, '')"))
+
+OP10 = f"""
+WITH d AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+i AS (SELECT item_id, {TOKENS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+p AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 7], ' ') AS x, least(len(w), 8) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM p),
+v AS (SELECT doc_id, n, k, array_to_string(w[k:k + n - 1], ' ') AS x FROM (SELECT doc_id, n, w, unnest(range(1, len(w) - n + 2)) AS k FROM d, sizes)),
+m AS (SELECT doc_id, item_id, k, v.n FROM v JOIN p ON v.x = p.x AND v.n = p.n),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS j FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM m) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op10_decontamination": OP10}
