@@ -52,4 +52,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, c
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op10_decontamination": OP10}
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
+
+CONTROL = r"(\||/s>|s>|/?INST\])"
+OP8 = rf"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, regexp_replace(text, '([<\[])(\\*){CONTROL}', '\1\\\2\3', 'g') AS body, replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A') AS r FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length('<|turn|>' || r || '<|body|>' || body || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars,
+       CAST(sum(len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]'))) AS BIGINT) AS n_tokens
+FROM e GROUP BY conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op7_warc": OP7, "op8_chat_formatting": OP8, "op10_decontamination": OP10}
