@@ -74,4 +74,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op7_warc": OP7, "op8_chat_formatting": OP8, "op10_decontamination": OP10}
+SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')".format(ASCII_LOWER.format("coalesce(text, '')"))
+OP9 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {SPLIT} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 4], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS p, b.doc_id AS q, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT p, q FROM c JOIN n x ON x.doc_id = p JOIN n y ON y.doc_id = q WHERE 100 * c >= 75 * (x.n + y.n - c)),
+u AS (SELECT p, q FROM e UNION ALL SELECT q, p FROM e),
+r(doc_id, other) AS (SELECT p, q FROM u UNION SELECT r.doc_id, u.q FROM r JOIN u ON r.other = u.p),
+l AS (SELECT doc_id, min(other) AS m FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, line_dedup, packing, quality_rules, secret_scans, token_counts, warc
+from . import chat_formatting, decontamination, line_dedup, ngram_join, packing, quality_rules, secret_scans, token_counts, warc
 from .common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -59,6 +59,10 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
@@ -67,5 +71,6 @@ QUERIES: dict[str, Query] = {
     "op5_token_counts": op5_token_counts,
     "op7_warc": op7_warc,
     "op8_chat_formatting": op8_chat_formatting,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
