@@ -87,4 +87,37 @@ l AS (SELECT doc_id, min(other) AS m FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10}
+def op6() -> str:
+    from .license_scans import CUE, NAMES, TEMPLATES, WORD
+
+    values = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(TEMPLATES))
+    low = ASCII_LOWER.format
+    return rf"""
+WITH t(number, license, text) AS (VALUES {values}),
+tw AS (SELECT number, license, unnest(regexp_extract_all({low("text")}, '{WORD}')) AS word FROM t),
+ttf AS (SELECT number, license, word, count(*) AS tf FROM tw GROUP BY ALL),
+df AS (SELECT word, count(*) AS df FROM ttf GROUP BY word),
+w AS (SELECT number, license, word, tf * CAST(floor(ln((SELECT count(*) + 1 FROM t) / CAST(df AS DOUBLE)) * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS weight, df FROM ttf JOIN df USING (word)),
+nt AS (SELECT number, sum(weight * weight) AS norm2 FROM w GROUP BY number),
+l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches({low("x")}, '{CUE}')) AS ls, length(coalesce(text, '')) AS n_text,
+        concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
+r AS (SELECT doc_id, path, n_text, coalesce(array_to_string(ls, chr(10)), '') AS notice FROM l),
+dw AS (SELECT doc_id, unnest(regexp_extract_all({low("notice")}, '{WORD}')) AS word FROM r),
+dtf AS (SELECT doc_id, word, count(*) AS tf FROM dw GROUP BY ALL),
+d AS (SELECT doc_id, word, tf * CAST(floor(ln((SELECT count(*) + 1 FROM t) / CAST(coalesce(df, 1) AS DOUBLE)) * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS dwt FROM dtf LEFT JOIN df USING (word)),
+nd AS (SELECT doc_id, sum(dwt * dwt) AS n2 FROM d GROUP BY doc_id),
+dot AS (SELECT doc_id, number, license, sum(dwt * weight) AS dot FROM d JOIN w USING (word) GROUP BY ALL),
+sc AS (SELECT doc_id, license, CAST(floor(CAST(dot AS DOUBLE) * 100.0 / sqrt(CAST(n2 AS DOUBLE) * CAST(norm2 AS DOUBLE)) + CAST(1e-6 AS DOUBLE)) AS BIGINT) AS score FROM dot JOIN nd USING (doc_id) JOIN nt USING (number)),
+b AS (SELECT doc_id, license, score FROM sc WHERE score >= 60 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
+o AS (SELECT r.doc_id, path, license, score, regexp_replace(path, '/?[^/]*$', '') AS dir,
+        license IS NOT NULL AND (regexp_matches(regexp_extract(path, '[^/]*$'), '{NAMES}') OR length(notice) * 100 >= n_text * 50) AS is_file FROM r LEFT JOIN b USING (doc_id)),
+h AS (SELECT dir AS above, min(struct_pack(path := path, license := license)) AS head FROM o WHERE is_file GROUP BY dir),
+i AS (SELECT dir, arg_max(head, length(above)) AS head FROM (SELECT DISTINCT dir FROM o) f JOIN h ON above = '' OR dir = above OR starts_with(dir, above || '/') GROUP BY dir)
+SELECT doc_id, path, coalesce(license, head.license) AS license, score,
+       CASE WHEN is_file THEN 'file' WHEN license IS NOT NULL THEN 'own' WHEN head IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+       CASE WHEN license IS NOT NULL THEN path ELSE head.path END AS license_path
+FROM o LEFT JOIN i USING (dir)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op6_license_scans": op6(), "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_formatting, decontamination, line_dedup, ngram_join, packing, quality_rules, secret_scans, token_counts, warc
+from . import chat_formatting, decontamination, license_scans, line_dedup, ngram_join, packing, quality_rules, secret_scans, token_counts, warc
 from .common import new_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,12 +63,21 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as files: source is the repository, lang the directory in it."""
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
+    found = license_scans.scan(files)
+    return found.select(F.col("file_id").alias("doc_id"), "path", "license", "score", "origin", "license_path")
+
+
 QUERIES: dict[str, Query] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_secret_scans": op2_secret_scans,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_line_dedup": op4_line_dedup,
     "op5_token_counts": op5_token_counts,
+    "op6_license_scans": op6_license_scans,
     "op7_warc": op7_warc,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
