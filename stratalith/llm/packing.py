@@ -197,5 +197,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limit: int = LIMIT, slack:
     else:
         done.append(under)
     every = functools.reduce(DataFrame.unionByName, done)
-    rows = every.select(F.monotonically_increasing_id().alias("sequence_id"), F.inline("members"))
+    # numbered before the members are taken apart: in one select the numbers would go to the members
+    numbered = every.withColumn("sequence_id", F.monotonically_increasing_id())
+    rows = numbered.select("sequence_id", F.inline("members"))
     return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
