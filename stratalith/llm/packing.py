@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -24,27 +25,69 @@ from pyspark.sql import functions as F
 from .common import cut
 
 LIMIT, SLACK, CAPACITY, LOCAL = 4096, 8, 50_000, 200_000
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 MEMBER = ("doc_id", "piece", "start", "length", "ids_crc32", "offset")
 SCHEMA = "fill long, members array<struct<doc_id:long,piece:int,start:long,length:long,ids_crc32:long,offset:long>>"
 TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
 
 
+#: The characters that stand for bytes in byte-level vocabularies, where they are not the bytes' own.
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
+
+
+class Numbered(dict):
+    """Numbers keys in the order in which they are first asked for; new holds those since it was last emptied."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, key):
+        n = self[key] = len(self)
+        self.new.append(key)
+        return n
+
+
+# Words of ASCII and Latin letters only: no normaliser changes more than their case, and a plain pattern cuts them into pre-tokens.
+SIMPLE = re.compile("[!-&(-;=-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*")
+PRETOKEN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+
+
 class WordEncoder:
-    """Ids of texts, by a tokenizer that drops blanks: a word between ASCII blanks is encoded once and remembered; beyond a bound, for its batch only."""
+    """Ids of texts, by a tokenizer that drops blanks: a word between ASCII blanks is encoded once and remembered; beyond a bound, for its batch only.
+
+    Simple words are cut into pre-tokens, which the tokenizer's model encodes once as well; all others go through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, int] = {}
+        self.known = Numbered()
+        self.pieces: dict[str, list[int]] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+        probe = "Aé,b1"
+        self.plain = self.simple(probe) == self.tokenizer.encode(probe, add_special_tokens=False).ids
+
+    def simple(self, word: str) -> list[int]:
+        out: list[int] = []
+        for piece in PRETOKEN.findall(word.lower()):
+            if (ids := self.pieces.get(piece)) is None:
+                shown = piece if piece.isascii() else piece.encode("utf-8").decode("latin-1").translate(SHOWN)
+                ids = [t.id for t in self.tokenizer.model.tokenize(shown)]
+                if len(self.pieces) < REMEMBERED:
+                    self.pieces[piece] = ids
+            out += ids
+        return out
 
     def learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8") for w in words], add_special_tokens=False)]
+        texts = [w.decode("utf-8") for w in words]
+        ids: list[list[int]] = [self.simple(t) if self.plain and SIMPLE.fullmatch(t) else [] for t in texts]
+        hard = [k for k, i in enumerate(ids) if not i]
+        for k, e in zip(hard, self.tokenizer.encode_batch_fast([texts[k] for k in hard], add_special_tokens=False) if hard else (), strict=True):
+            ids[k] = e.ids
         sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
         self.flat = np.concatenate([self.flat, np.fromiter((x for i in ids for x in i), np.int32, int(sizes.sum()))])
@@ -52,13 +95,13 @@ class WordEncoder:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and the number of each text's."""
         cut_up = [t.encode("utf-8").split() for t in texts]
-        new = list(set().union(*cut_up) - self.known.keys())
         before, n_flat = len(self.known), len(self.flat)
-        if new:
-            self.learn(new)
         n_words = np.fromiter(map(len, cut_up), np.int64, len(cut_up))
         get = self.known.__getitem__
         which = np.concatenate([np.fromiter(map(get, ws), np.int32, len(ws)) for ws in cut_up])
+        if new := self.known.new:
+            self.learn(new)
+            self.known.new = []
         sizes = self.sizes[which]
         ends = np.cumsum(sizes, dtype=np.int64)
         at = np.repeat(self.starts[which] - ends + sizes, sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
