@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import hashed, ids_unique, line_key, same
 
@@ -102,17 +103,23 @@ def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int =
     return often.join(hosts, same(often, hosts, "source")).filter(F.col("n") * 100 > F.col("n_host") * max_percent).select(often["source"], "h1", "h2", "first")
 
 
-def score(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
-    """For each row of docs (doc_id, text, source): the features, base_failed, line_chars, removed_chars, depleted, kept."""
-    docs = _keyed(docs)
-    base = docs.mapInArrow(_features, SCHEMA)
-    lines, gone = _lines(docs, False), removed_lines(docs, min_docs, max_percent)
+def _lost(docs: DataFrame, min_docs: int, max_percent: int) -> DataFrame:
+    """_id, _source, _row (the text's hash), removed, hs: characters and hashes of the keys that a row loses; rows that lose none are not there."""
+    lines, gone = _lines(_keyed(docs), False), removed_lines(docs, min_docs, max_percent)
     hit = lines.join(gone, same(lines, gone, "source", "h1", "h2") & ~lines["doc_id"].eqNullSafe(gone["first"]))
-    lost = hit.groupBy(lines["doc_id"], lines["source"], lines["th"]).agg(F.sum("n").alias("removed"))
-    failed = (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT)
-    out = base.join(lost, same(base, lost, "doc_id", "source", "th"), "left").select(
-        base["doc_id"], base["source"], base["th"], *FEATURES, failed.alias("base_failed"), F.coalesce("removed", F.lit(0)).alias("removed_chars")
-    )
+    hit = hit.select(lines["doc_id"].alias("_id"), lines["source"].alias("_source"), lines["th"].alias("_row"), lines["h1"], "n")
+    return hit.groupBy("_id", "_source", "_row").agg(F.sum("n").alias("removed"), F.collect_set("h1").alias("hs"))
+
+
+def _failed(words: str, repeated: str):
+    return (F.col(words) < MIN_WORDS) | (F.col(repeated) * 100 > F.col(words) * MAX_REPEAT_PERCENT)
+
+
+def score(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
+    """doc_id, source, the features, base_failed, removed_chars, depleted, kept, for each row of docs (doc_id, text, source). Texts are not shuffled."""
+    base, lost = _keyed(docs).mapInArrow(_features, SCHEMA), _lost(docs, min_docs, max_percent).drop("hs")
+    at = base["doc_id"].eqNullSafe(lost["_id"]) & base["source"].eqNullSafe(lost["_source"]) & base["th"].eqNullSafe(lost["_row"])
+    out = base.join(lost, at, "left").select("doc_id", "source", *FEATURES, _failed("n_words", "n_repeat_words").alias("base_failed"), F.coalesce("removed", F.lit(0)).alias("removed_chars"))
     depleted = (F.col("line_chars") - F.col("removed_chars")) * 100 < F.col("line_chars") * min_kept_percent
     return out.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
@@ -120,14 +127,20 @@ def score(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERC
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """The kept rows of docs, with all their columns, less the lines above the limits; n_chars, if there, follows the text."""
     names = docs.columns
-    docs = docs.withColumn("_th", F.xxhash64("text"))
-    ok = score(docs, min_docs, max_percent, min_kept_percent).filter("kept").select("doc_id", "source", "n_words", "removed_chars", "th").distinct()
-    gone = removed_lines(docs, min_docs, max_percent)
-    lines = _lines(_keyed(docs), False)
-    lost = lines.join(gone, same(lines, gone, "source", "h1", "h2") & ~lines["doc_id"].eqNullSafe(gone["first"]))
-    lost = lost.groupBy(lines["doc_id"], lines["source"], lines["th"]).agg(F.collect_set("h1").alias("hs"))
-    ok = ok.join(lost, same(ok, lost, "doc_id", "source", "th"), "left").select(*(ok[c].alias(f"_{c}") for c in ("doc_id", "source")), ok["th"].alias("_ok"), "hs")
-    both = docs.join(ok.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ok["_doc_id"]) & docs["source"].eqNullSafe(ok["_source"]) & docs["_th"].eqNullSafe(ok["_ok"]))
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("hs", F.xxhash64(line_key(x)))), "\n")
-    both = both.withColumn("text", F.when(F.col("hs").isNull(), F.col("text")).otherwise(kept))
-    return both.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else c for c in names))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [text_features(t.as_py()) for t in b.column("text")]
+            cols = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 4, 5)]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "_words", "_repeated", "_keyed"])
+
+    rows = docs.withColumn("_th", F.xxhash64("text"))
+    scored = rows.mapInArrow(each, T.StructType([*rows.schema.fields, *(T.StructField(x, T.LongType()) for x in ("_words", "_repeated", "_keyed"))]))
+    lost = _lost(docs, min_docs, max_percent).select("_id", "_source", "_row", F.col("removed").alias("_removed"), F.col("hs").alias("_hs"))
+    at = scored["doc_id"].eqNullSafe(lost["_id"]) & scored["source"].eqNullSafe(lost["_source"]) & scored["_th"].eqNullSafe(lost["_row"])
+    both = scored.filter(~_failed("_words", "_repeated")).join(lost.hint("shuffle_hash"), at, "left")
+    left = F.col("_keyed") - F.coalesce("_removed", F.lit(0))
+    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_hs", F.xxhash64(line_key(x)))), "\n")
+    kept = both.filter(left * 100 >= F.col("_keyed") * min_kept_percent).withColumn("text", F.when(F.col("_hs").isNull(), F.col("text")).otherwise(rest))
+    n = {"n_chars": F.when(F.col("_hs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))} if "n_chars" in names else {}
+    return kept.select(*(n.get(c, F.col(c)).alias(c) for c in names))
