@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hashed, ids_unique, line_key
+from .common import cut, hashed, ids_unique, line_key
 
 MIN_CHARS, MIN_DOCS = 1, 10
 
@@ -32,7 +32,8 @@ def frequent_keys(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """docs with n_lines, n_dropped and kept_text. Only hashes and positions are exploded; each text is shuffled once, to its dropped positions."""
     own = docs.columns
-    gone = frequent_keys(docs.select("doc_id", "text"), min_chars, min_docs)
+    # as a table of its own it is dealt anew for the join below, whose hot keys can then be split
+    gone = cut(frequent_keys(docs.select("doc_id", "text"), min_chars, min_docs))
     lines = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.transform(_split(), lambda x: F.struct(*hashed(line_key(x))))).alias("pos", "h"))
     lines = lines.select("doc_id", "th", "pos", "h.h1", "h.h2")
     lost = lines.join(gone, ["h1", "h2"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set("pos").alias("_lost"))
