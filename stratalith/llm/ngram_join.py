@@ -13,8 +13,8 @@ Plan. (1) Blocks of documents emit their tokens, sorted and packed, to parts by
 the tokens that two or more documents share; only these can be prefix keys with a partner or part of an intersection. (2) Blocks pick
 prefixes and emit keys; exact copies are one node. (3) Nodes with a common key are verified exactly, on shared tokens and set sizes:
 first within blocks of at most ``block`` nodes of one anchor key, by a search that holds each component against what is not in it yet,
-then among central nodes of those components, at last each node that is not in its key's main component against every block that has one
-of its keys. No group is ever expanded into all its pairs, and no pair with a common key is left untested unless a chain of links
+then among central nodes of those components, at last each node that is not in its key's main component against the blocks that its
+block's outsiders share keys with. No group is ever expanded into all its pairs, and no pair with a common key is left untested unless a chain of links
 already joins it. (4) Components: smallest id by alternating large-star and small-star steps.
 
 Tokens are 64-bit hashes of which 48 bits are sent. Nulls: a null text and a text without words have no tokens, no links and are their own
@@ -445,13 +445,21 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     main = spread.groupBy("key").agg(F.max(F.struct("k", "label")).alias("x"), F.count("*").alias("parts")).filter("parts > 1").select("key", F.col("x.label").alias("main"))
     main = cut(main)
     open_keys = cut(keyed.select("key", "id").join(main, "key").join(labels, "id").join(homes.select("id", "anchor", "deal"), "id"))
-    outside = open_keys.filter("label <> main").select("key", "id", "label", F.col("anchor").alias("a0"), F.col("deal").alias("d0"))
-    where = open_keys.select("key", "anchor", "deal").distinct()
-    guests = outside.join(where, "key").filter("anchor <> a0 OR deal <> d0").select("id", "label", "anchor", "deal").distinct()
+    outside = cut(open_keys.filter("label <> main").select("key", "id", "label", F.col("anchor").alias("a0"), F.col("deal").alias("d0")))
+    where = cut(open_keys.select("key", "anchor", "deal").distinct())
+    # keys that stand in the same blocks are one class; a block's outsiders are guests wherever a class of theirs stands
+    classes = where.groupBy("key").agg(F.bit_xor(F.xxhash64("anchor", "deal")).alias("x"), F.bit_xor(F.xxhash64("deal", "anchor", F.lit(1))).alias("y"), F.count("*").alias("z"))
+    stands = where.join(classes, "key").select("x", "y", "z", "anchor", "deal").distinct()
+    asks = outside.join(classes, "key").select("x", "y", "z", "a0", "d0").distinct()
+    near = asks.join(stands, ["x", "y", "z"]).filter("anchor <> a0 OR deal <> d0").select("a0", "d0", "anchor", "deal").distinct()
+    guests = cut(outside.select("id", "label", "a0", "d0").distinct().join(near, ["a0", "d0"]).select("id", "label", "anchor", "deal"))
+    # a block with many guests meets them in several groups, each of a bounded number of rows
+    groups = guests.groupBy("anchor", "deal").agg(_n_blocks(F.count("*"), block).alias("groups"))
+    guests = guests.join(groups, ["anchor", "deal"]).withColumn("g", F.pmod(F.xxhash64("id", F.lit("guest")), F.col("groups")))
     guests = guests.join(nodes.select("id", "n", "tokens"), "id").withColumn("guest", F.lit(True))
-    used = guests.select("anchor", "deal").distinct()
-    own = sets.join(labels, "id").join(used, ["anchor", "deal"], "left_semi").select("id", "label", "anchor", "deal", "n", "tokens", F.lit(False).alias("guest"))
-    last = guests.select(*own.columns).unionByName(own).groupBy("anchor", "deal").applyInArrow(_links_across(percent), LINK)
+    own = sets.join(labels, "id").join(groups, ["anchor", "deal"]).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
+    own = own.select("id", "label", "anchor", "deal", "g", "n", "tokens", F.lit(False).alias("guest"))
+    last = guests.select(*own.columns).unionByName(own).groupBy("anchor", "deal", "g").applyInArrow(_links_across(percent), LINK)
     merged = components(cut(last.select("a", "b")).unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
     return merged
 
