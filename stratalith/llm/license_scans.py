@@ -107,7 +107,11 @@ def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int
     score = F.floor(F.col("dot") * 100.0 / F.sqrt(F.col("n2").cast("double") * F.col("norm2")) + F.lit(1e-6)).cast("long")
     best = dots.join(norms, "key").select("key", score.alias("score"), "license", "template").filter(F.col("score") >= min_percent)
     best = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "template")).alias("b")).select("key", (-F.col("b.s")).alias("score"), F.col("b.license").alias("license"))
-    owned = rows.join(best, "key", "left").select("file_id", "path", "license", "score", "n_text", F.length("notice").alias("n_notice"))
+    # a table of its own, so that a notice of many files can be split; files without notice are dealt evenly and match nothing
+    best = cut(best)
+    rows = rows.withColumn("key", F.when(F.col("notice") == "", F.xxhash64("file_id", "path")).otherwise(F.col("key")))
+    has = F.col("notice") != ""
+    owned = rows.join(best, "key", "left").select("file_id", "path", *(F.when(has, F.col(c)).alias(c) for c in ("license", "score")), "n_text", F.length("notice").alias("n_notice"))
     name = F.regexp_extract("path", r"[^/]*$", 0)
     is_file = F.col("license").isNotNull() & F.coalesce(name.rlike(NAMES) | (F.col("n_notice") * 100 >= F.col("n_text") * file_percent), F.lit(False))
     owned = cut(owned.select("file_id", "path", "license", "score", is_file.alias("is_file"), directory(F.col("path")).alias("dir")))
