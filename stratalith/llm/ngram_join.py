@@ -39,7 +39,7 @@ from .common import cut, n_parts
 SIZE, PERCENT, FREQUENT, BLOCK = 5, 75, 64, 512
 BITS = 48
 MASK = np.uint64((1 << BITS) - 1)
-BLOCK_TOKENS, BLOCK_DOCS = 2_000_000, 60_000
+BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -53,22 +53,22 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
+    """Hashes of words, remembered up to a bound."""
+
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 500_000:
+        if len(self) < 200_000:
             self[word] = h
         return h
 
 
-_words = WordHashes()
-
-
-def shingles(text: str | None, size: int = SIZE) -> np.ndarray:
+def shingles(text: str | None, size: int = SIZE, known: WordHashes | None = None) -> np.ndarray:
     """The distinct shingles of a text, hashed, sorted; with fewer words than size the whole sequence is one."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = WordHashes() if known is None else known
+    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
     if len(words) < size:
         return np.array([xxhash.xxh3_64_intdigest(h.tobytes())], np.uint64)
     n = len(words) - size + 1
@@ -140,10 +140,11 @@ def _to_blocks(size: int, parts: int):
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 20
+        known = WordHashes()
         docs, held = [], 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                s = shingles(t.as_py(), size)
+                s = shingles(t.as_py(), size, known)
                 docs.append((i, s))
                 held += len(s)
                 if held >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
