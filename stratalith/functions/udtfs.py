@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +30,6 @@ class GridNodes:
 
 def register(spark: SparkSession) -> None:
     """dtw_path(a, b, window, penalty) and grid_nodes(minx, maxx, miny, maxy, nx, ny) as table functions, matrix_rank and normals as functions."""
-    import numpy as np
-    import pandas as pd
-
     from ..kernels.linear import rank
     from ..kernels.twister import Normals
 

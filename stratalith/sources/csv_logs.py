@@ -76,7 +76,8 @@ def read_curve(spark: SparkSession, path: str | os.PathLike, curve: str = "GR",
     if found is None:
         raise InvalidInput(f"{path}: columns {md_column} and {curve} are needed")
     encoding, delimiter, header = found
-    spark_name = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1251": "windows-1251", "latin1": "ISO-8859-1"}[encoding]
+    # numbers are the same bytes in both single-byte encodings, the no-break space too, and Spark reads only one of them
+    spark_name = "UTF-8" if encoding.startswith("utf") else "ISO-8859-1"
     names = [f"c{k}" for k in range(len(header))]
     rows = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("encoding", spark_name).option("mode", "PERMISSIVE").csv(path)
     md, value = names[header.index(md_column)], names[header.index(curve)]
