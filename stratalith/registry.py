@@ -300,7 +300,7 @@ def _relative(spark: SparkSession, d: str, nodes: DataFrame, surfaces: DataFrame
 def surface_convergent_fit(spark: SparkSession, d: str) -> DataFrame:
     s = fx.surfaces(spark, 99, 21)
     # prices from a thousand to a hundred thousand in one system: the solver's stop, relative to all, leaves some 1e-8 of the small ones
-    solved = interpolate_convergent(s, fx.points(spark, d), ConvergentOptions(point_tolerance=1e-7))
+    solved = interpolate_convergent(s, fx.points(spark, d), ConvergentOptions(relative_tolerance=1e-11, point_tolerance=1e-7))
     return _relative(spark, d, nodes_of(solved, s), s, CellModel.BOTTOM_RIGHT_TO_TOP_LEFT)
 
 
