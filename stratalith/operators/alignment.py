@@ -130,16 +130,21 @@ def path_rows(aligned: DataFrame) -> DataFrame:
 
 
 def decorate(path: DataFrame, sizes: DataFrame, warp_penalty: float, window: float) -> DataFrame:
-    """path rows (pair, path_index, i, j, local_cost) with move, cumulative_cost and boundary_hit; windows of one partitioning."""
+    """path rows (pair, path_index, i, j, local_cost) with move, cumulative_cost and boundary_hit; sizes: pair, n, m."""
+    return decorate_sized(path.join(sizes.select("pair", "n", "m"), "pair"), warp_penalty, window).drop("n", "m")
+
+
+def decorate_sized(path: DataFrame, warp_penalty: float, window: float) -> DataFrame:
+    """The same for rows that have n and m; all windows share one partitioning."""
     di, dj = F.col("i") - F.lag("i").over(along()), F.col("j") - F.lag("j").over(along())
     move = F.when(di.isNull(), "start").when((di == 1) & (dj == 1), "diagonal").when(di == 1, "up").otherwise("left")
-    rows = path.join(sizes.select("pair", "n", "m"), "pair").withColumn("move", move)
+    rows = path.withColumn("move", move)
     paid = F.col("local_cost") + F.when(F.col("move").isin("up", "left"), float(warp_penalty)).otherwise(0.0)
     rows = rows.withColumn("cumulative_cost", F.sum(paid).over(along().rowsBetween(W.unboundedPreceding, W.currentRow)))
     b = band(F.col("n"), F.col("m"), window)
     edge = (F.col("j") == first_column(F.col("i"), F.col("n"), F.col("m"), b)) | (F.col("j") == last_column(F.col("i"), F.col("n"), F.col("m"), b))
     inner = (F.col("path_index") > 0) & F.lead("i").over(along()).isNotNull()
-    return rows.withColumn("boundary_hit", edge & inner).drop("n", "m")
+    return rows.withColumn("boundary_hit", edge & inner)
 
 
 def warp_runs(decorated: DataFrame) -> DataFrame:

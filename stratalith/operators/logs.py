@@ -32,15 +32,6 @@ def clean(raw: DataFrame, missing_values: tuple[float, ...]) -> DataFrame:
     return rows.filter("md IS NOT NULL").groupBy("log_id", (F.col("md") + F.lit(0.0)).alias("md")).agg(F.avg("value").alias("value")).filter("value IS NOT NULL")
 
 
-def problems(raw: DataFrame, cleaned: DataFrame, logs: DataFrame) -> DataFrame:
-    """log_id, problem for each log that cannot be used: infinite input, or fewer than two depths left. logs has all log_ids."""
-    infinite = raw.groupBy("log_id").agg(F.max(F.coalesce((F.abs("md") == float("inf")) | (F.abs("value") == float("inf")), F.lit(False))).alias("infinite"))
-    left = cleaned.groupBy("log_id").agg(F.count("*").alias("n"), F.max((~is_finite(F.col("value"))).cast("int")).alias("bad"))
-    joined = logs.select("log_id").distinct().join(infinite, "log_id", "left").join(left, "log_id", "left")
-    what = F.when(F.col("infinite"), "infinite values").when(F.coalesce("n", F.lit(0)) < 2, "fewer than two depths with values").when(F.col("bad") == 1, "values that are not finite")
-    return joined.select("log_id", what.alias("problem")).filter("problem IS NOT NULL")
-
-
 def gaps(cleaned: DataFrame) -> DataFrame:
     """log_id, md, next_md, gap between neighbouring depths."""
     after = F.lead("md").over(downwards())
@@ -73,7 +64,10 @@ def wide_gaps(cleaned: DataFrame, step: float, limit: float | None) -> DataFrame
 
 def grid_plan(cleaned: DataFrame, step: float) -> DataFrame:
     """log_id, top, bottom, intervals, append_end, n, tolerance: the regular grid of each log."""
-    ends = cleaned.groupBy("log_id").agg(F.min("md").alias("top"), F.max("md").alias("bottom"))
+    return grid_plan_of(cleaned.groupBy("log_id").agg(F.min("md").alias("top"), F.max("md").alias("bottom")), step)
+
+
+def grid_plan_of(ends: DataFrame, step: float) -> DataFrame:
     span = F.col("bottom") - F.col("top")
     small = ulp(_magnitude(F.col("top"), F.col("bottom"), F.lit(step)))
     p = ends.withColumn("ratio", span / F.lit(step)).withColumn("ulp", small).withColumn("tolerance", F.greatest(F.lit(step * 1e-10), small * 4))
@@ -83,11 +77,6 @@ def grid_plan(cleaned: DataFrame, step: float) -> DataFrame:
     return p.withColumn("n", F.col("intervals") + 1 + F.col("append_end").cast("int"))
 
 
-def grid_problems(plan: DataFrame, step: float, max_points: int) -> DataFrame:
-    what = F.when(F.col("n").isNull() | (F.col("n") > max_points) | (F.col("ratio") > max_points), "limit").when((F.lit(step) <= F.col("ulp") * 8) | (F.col("n") < 2), "step")
-    return plan.select("log_id", "n", what.alias("problem")).filter("problem IS NOT NULL")
-
-
 def regular_grid(plan: DataFrame, step: float) -> DataFrame:
     """log_id, idx, md: depths top + k step; the last one is the log's end."""
     rows = plan.select("*", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)).alias("idx"))
@@ -123,28 +112,60 @@ def normalise(rows: DataFrame, clip: tuple[float, float] | None = None) -> DataF
     return r.select(*rows.columns, F.when(F.col("_v") > 0, F.col("_c") / F.col("_v")).alias("z"))
 
 
+def summary(raw: DataFrame, cleaned: DataFrame, step: float, options: LogOptions) -> DataFrame:
+    """log_id, problem, detail: one row for each log that cannot be prepared with this step, by one pass over the cleaned rows."""
+    seen = raw.groupBy("log_id").agg(F.max(F.coalesce((F.abs("md") == float("inf")) | (F.abs("value") == float("inf")), F.lit(False))).alias("infinite"))
+    after = F.lead("md").over(downwards())
+    rows = cleaned.select("*", after.alias("next_md"), (after - F.col("md")).alias("gap"))
+    widest = F.max_by(F.struct("md", "next_md", "gap"), F.struct("gap", -F.col("md")))
+    bounds = rows.groupBy("log_id").agg(
+        F.count("*").alias("rows"), F.min("md").alias("top"), F.max("md").alias("bottom"), F.max((~is_finite(F.col("value"))).cast("int")).alias("bad"),
+        (F.min("value") == F.max("value")).alias("flat"), widest.alias("widest"),
+    )
+    plan = grid_plan_of(bounds, step)
+    limit = step * 10 if options.max_interpolation_gap is None else options.max_interpolation_gap
+    tolerance = F.greatest(F.lit(step * 1e-9), ulp(_magnitude(F.col("top"), F.col("bottom"))) * 8)
+    too_wide = F.lit(not options.interpolate_all_gaps) & (F.col("widest.gap") > F.lit(limit) + tolerance)
+    too_many = F.col("n").isNull() | (F.col("n") > options.max_resampled_points) | (F.col("ratio") > options.max_resampled_points)
+    found = seen.join(plan, "log_id", "left").select(
+        "log_id",
+        F.when(F.col("infinite"), "infinite")
+        .when(F.coalesce("rows", F.lit(0)) < 2, "few")
+        .when(F.col("bad") == 1, "not finite")
+        .when(too_many, "limit")
+        .when((F.lit(step) <= F.col("ulp") * 8) | (F.col("n") < 2), "step")
+        .when(too_wide, "gap")
+        .when(F.col("flat"), "constant")
+        .alias("problem"),
+        "widest",
+    )
+    return found.filter("problem IS NOT NULL")
+
+
+MESSAGES = {
+    "infinite": "infinite values", "few": "fewer than two depths with values", "not finite": "values that are not finite", "limit": "its grid has too many points; take a larger step",
+    "step": "the step is too small for its depths", "constant": "the curve is constant",
+}
+
+
 def prepare(raw: DataFrame, options: LogOptions | None = None) -> DataFrame:
     """log_id, idx, md, z of every log on its regular grid; raises for logs that the options do not allow.
 
-    The checks are small aggregates over the cleaned rows, of which one per check is brought to the driver.
+    One small query finds the first log with a problem, another, where no step is given, the common step.
     """
     o = options or LogOptions()
     cleaned = clean(raw, o.missing_values)
-    if bad := problems(raw, cleaned, raw).orderBy("log_id").first():
-        raise InvalidInput(f"log {bad['log_id']}: {bad['problem']}")
     step = o.step
     if step is None:
         step = common_step(cleaned).first()["step"]
-        require(step is not None, "no common step can be found")
-    if not o.interpolate_all_gaps:
-        if gap := wide_gaps(cleaned, step, o.max_interpolation_gap).orderBy(F.desc("gap"), "log_id").first():
-            raise InvalidInput(f"log {gap['log_id']}: the gap of {gap['gap']:.12g} from {gap['md']:.12g} to {gap['next_md']:.12g} is too wide")
-    plan = grid_plan(cleaned, step)
-    if bad := grid_problems(plan, step, o.max_resampled_points).orderBy("log_id").first():
-        if bad["problem"] == "limit":
-            raise ResourceLimit(f"log {bad['log_id']}: its grid has more than {o.max_resampled_points} points; take a larger step")
-        raise InvalidInput(f"log {bad['log_id']}: the step is too small for its depths")
-    out = normalise(interpolate(regular_grid(plan, step), cleaned), o.clip_percentiles).select("log_id", "idx", "md", "z")
-    if bad := out.filter("z IS NULL OR isnan(z)").select("log_id").orderBy("log_id").first():
-        raise InvalidInput(f"log {bad['log_id']}: the curve is constant")
-    return out
+    # without any step no log has two depths; which one says so follows below
+    if bad := summary(raw, cleaned, step or 1.0, o).orderBy("log_id").first():
+        if bad["problem"] == "gap":
+            g = bad["widest"]
+            raise InvalidInput(f"log {bad['log_id']}: the gap of {g['gap']:.12g} from {g['md']:.12g} to {g['next_md']:.12g} is too wide")
+        raise (ResourceLimit if bad["problem"] == "limit" else InvalidInput)(f"log {bad['log_id']}: {MESSAGES[bad['problem']]}")
+    require(step is not None, "no common step can be found")
+    out = normalise(interpolate(regular_grid(grid_plan(cleaned, step), step), cleaned), o.clip_percentiles)
+    # clipping, or a grid that misses every change, may leave a constant: rare enough to be told when the rows are made
+    z = F.when(F.col("z").isNull() | F.isnan("z"), F.raise_error(F.concat(F.lit("log "), F.col("log_id").cast("string"), F.lit(": the curve is constant"))).cast("double")).otherwise(F.col("z"))
+    return out.select("log_id", "idx", "md", z.alias("z"))

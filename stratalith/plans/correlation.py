@@ -5,10 +5,13 @@ from __future__ import annotations
 import functools
 import os
 from collections.abc import Callable, Sequence
+from dataclasses import asdict
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..kernels.warping import align
 from ..operators import alignment, logs
 from ..options import CORRELATE, LogOptions, WarpOptions, require
 from ..sources.csv_logs import read_curve, well_names
@@ -25,19 +28,49 @@ def pack(prepared: DataFrame) -> DataFrame:
     return each.select("log_id", F.col("x.md").alias("md"), F.col("x.z").alias("z"))
 
 
+def side_by_side(prepared: DataFrame, wells: DataFrame) -> DataFrame:
+    """pair, left_well, right_well, left_md, left_z, right_md, right_z of neighbours (wells: log_id, ord, name; ord counts from 0 without gaps).
+
+    Each log is sent to the two pairs that it is part of, so it is prepared once and there is no self-join.
+    """
+    log = F.struct(F.col("name").alias("well"), "md", "z")
+    ord_ = F.col("ord").cast("long")
+    sides = F.array(F.struct(ord_.alias("pair"), F.lit(True).alias("left")), F.struct((ord_ - 1).alias("pair"), F.lit(False).alias("left")))
+    rows = pack(prepared).join(wells, "log_id").select(log.alias("log"), F.inline(sides))
+    both = rows.groupBy("pair").agg(F.first(F.when(F.col("left"), F.col("log")), ignorenulls=True).alias("a"), F.first(F.when(~F.col("left"), F.col("log")), ignorenulls=True).alias("b"))
+    both = both.filter("a IS NOT NULL AND b IS NOT NULL")
+    return both.select("pair", *(F.col(f"{side}.{what}").alias(f"{name}_{what}") for side, name in (("a", "left"), ("b", "right")) for what in ("well", "md", "z")))
+
+
+SCALARS = {"mean_cost": "double", "total_cost": "double", "normalized_cost": "double", "warp_penalty": "double", "diagonal_steps": "int", "up_steps": "int", "left_steps": "int", "max_warp_run": "int", "boundary_fraction": "double"}
+ALONG_PATH = {"i": "int", "j": "int", "left_md": "double", "right_md": "double", "left_z": "double", "right_z": "double", "local_cost": "double"}
+LINED_UP = "pair long, left_well string, right_well string, n int, m int, " + ", ".join(f"{k} {t}" for k, t in SCALARS.items()) + ", " + ", ".join(f"{k} array<{t}>" for k, t in ALONG_PATH.items())
+
+
+def line_up(pairs: DataFrame, options: WarpOptions) -> DataFrame:
+    """A row for each pair: sizes, the alignment's scalars, and arrays along its path. Pairs are dealt over tasks: aligning one takes far longer than moving it."""
+    o = asdict(options)
+
+    def each(batches):
+        for pdf in batches:
+            out = []
+            for p in pdf.itertuples(index=False):
+                r = align(p.left_z, p.right_z, WarpOptions(**o))
+                i, j = r.path[:, 0], r.path[:, 1]
+                scalars = (r.mean_local_cost, r.total_cost, r.normalized_cost, r.warp_penalty, r.diagonal_steps, r.up_steps, r.left_steps, r.max_warp_run, r.boundary_fraction)
+                out.append((p.pair, p.left_well, p.right_well, len(p.left_z), len(p.right_z), *scalars, i, j, p.left_md[i], p.right_md[j], p.left_z[i], p.right_z[j], r.local_cost))
+            yield pd.DataFrame(out, columns=["pair", "left_well", "right_well", "n", "m", *SCALARS, *ALONG_PATH])
+
+    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return dealt.mapInPandas(each, LINED_UP)
+
+
 def correlate_prepared(prepared: DataFrame, wells: DataFrame, options: WarpOptions = CORRELATE) -> DataFrame:
-    """The correlation table of prepared logs (log_id, idx, md, z) in the order of wells (log_id, ord, name; ord counts from 0 without gaps)."""
-    packed = pack(prepared).join(wells, "log_id").select("ord", F.col("name").alias("well"), "md", "z")
-    left = packed.select(F.col("ord").cast("long").alias("pair"), *(F.col(c).alias(f"left_{c}") for c in ("well", "md", "z")))
-    right = packed.select((F.col("ord").cast("long") - 1).alias("pair"), *(F.col(c).alias(f"right_{c}") for c in ("well", "md", "z")))
-    pairs = left.join(right, "pair")
-    aligned = alignment.align_pairs(pairs.select("pair", F.col("left_z").alias("a"), F.col("right_z").alias("b")), options)
-    sizes = pairs.select("pair", F.size("left_z").alias("n"), F.size("right_z").alias("m"))
-    rows = alignment.decorate(alignment.path_rows(aligned), sizes, options.warp_penalty, options.window)
-    scalars = aligned.select("pair", F.col("mean_local_cost").alias("mean_cost"), "total_cost", "normalized_cost", "warp_penalty", "diagonal_steps", "up_steps", "left_steps", "max_warp_run", "boundary_fraction")
-    full = rows.join(scalars, "pair").join(pairs, "pair")
-    picked = {f"{side}_{what}": F.get(f"{side}_{what}", i) for side, i in (("left", F.col("i")), ("right", F.col("j"))) for what in ("md", "z")}
-    return full.select(*(picked.get(c, F.col(c)).alias(c) for c in COLUMNS))
+    """The correlation table of prepared logs (log_id, idx, md, z) in the order of wells (log_id, ord, name)."""
+    lined = line_up(side_by_side(prepared, wells), options)
+    path = lined.select("pair", "left_well", "right_well", "n", "m", *SCALARS, F.posexplode(F.arrays_zip(*ALONG_PATH)).alias("path_index", "x"))
+    path = path.select(*(c for c in path.columns if c != "x"), *(F.col(f"x.{c}").alias(c) for c in ALONG_PATH))
+    return alignment.decorate_sized(path, options.warp_penalty, options.window).select(*COLUMNS)
 
 
 def correlate(
