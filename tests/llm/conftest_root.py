@@ -1,0 +1,11 @@
+"""The comparison that the tests above use as well."""
+
+from __future__ import annotations
+
+import importlib.util
+from pathlib import Path
+
+_spec = importlib.util.spec_from_file_location("root_conftest", Path(__file__).resolve().parents[1] / "conftest.py")
+_root = importlib.util.module_from_spec(_spec)
+_spec.loader.exec_module(_root)
+rows_of, same_as_sql = _root.rows_of, _root.same_as_sql
