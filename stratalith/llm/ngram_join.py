@@ -449,7 +449,7 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     outside = cut(open_keys.filter("label <> main").select("key", "id", "label", F.col("anchor").alias("a0"), F.col("deal").alias("d0")))
     where = cut(open_keys.select("key", "anchor", "deal").distinct())
     # keys that stand in the same blocks are one class; a block's outsiders are guests wherever a class of theirs stands
-    classes = where.groupBy("key").agg(F.bit_xor(F.xxhash64("anchor", "deal")).alias("x"), F.bit_xor(F.xxhash64("deal", "anchor", F.lit(1))).alias("y"), F.count("*").alias("z"))
+    classes = cut(where.groupBy("key").agg(F.bit_xor(F.xxhash64("anchor", "deal")).alias("x"), F.bit_xor(F.xxhash64("deal", "anchor", F.lit(1))).alias("y"), F.count("*").alias("z")))
     stands = where.join(classes, "key").select("x", "y", "z", "anchor", "deal").distinct()
     asks = outside.join(classes, "key").select("x", "y", "z", "a0", "d0").distinct()
     near = asks.join(stands, ["x", "y", "z"]).filter("anchor <> a0 OR deal <> d0").select("a0", "d0", "anchor", "deal").distinct()
