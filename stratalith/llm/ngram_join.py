@@ -10,7 +10,8 @@ of the first n - o + 1; a prefix longer by the number of token classes that it m
   a document whose partner may lie in the power below emits that level's keys as well.
 
 Plan. (1) Blocks of documents emit their tokens, sorted and packed, to parts by token value; parts count documents per token and send back
-the tokens that two or more documents share; only these can be prefix keys with a partner or part of an intersection. (2) Blocks pick
+the tokens that two or more documents share; only these can be prefix keys with a partner or part of an intersection. Hot tokens, found
+beforehand where there are documents enough, skip the parts. (2) Blocks pick
 prefixes and emit keys; exact copies are one node. (3) Nodes with a common key are verified exactly, on shared tokens and set sizes:
 first within blocks of at most ``block`` nodes of one anchor key, by a search that holds each component against what is not in it yet,
 then among central nodes of those components, at last each node that is not in its key's main component against the blocks that its
@@ -40,6 +41,8 @@ SIZE, PERCENT, FREQUENT, BLOCK = 5, 75, 64, 512
 BITS = 48
 MASK = np.uint64((1 << BITS) - 1)
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
+#: A token in so many documents, and in one of 512, is hot; at most HOT_TOKENS (8 MB) are broadcast.
+HOT_LEAST, HOT_TOKENS, HOT_LEVEL = 1 << 20, 1_000_000, 63
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -98,8 +101,8 @@ def _cells(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CELL_TYPES, strict=True)], CELL_NAMES)
 
 
-def _block_cells(docs: list[tuple[int | None, np.ndarray]], parts: int, number: int) -> Iterator[pa.RecordBatch]:
-    """The block's table of documents (kind 0) and, for each part, its tokens with their documents' places (kind 1)."""
+def _block_cells(docs: list[tuple[int | None, np.ndarray]], parts: int, number: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The block's table of documents (kind 0), for each part its tokens with their documents' places (kind 1), and its hot tokens (kind 3)."""
     sizes = np.fromiter((len(s) for _, s in docs), np.int64, len(docs))
     flat = np.concatenate([s for _, s in docs]) if docs else np.zeros(0, np.uint64)
     place = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
@@ -118,6 +121,11 @@ def _block_cells(docs: list[tuple[int | None, np.ndarray]], parts: int, number:
     token, place = flat[keep] & MASK, place[keep]
     order = np.argsort(token, kind="stable")
     token, place = token[order], place[order]
+    if len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
+        if is_hot.any():
+            rows.append((3, number, number % parts, token[is_hot].tobytes(), place[is_hot].tobytes(), np.full(int(is_hot.sum()), HOT_LEVEL, np.uint8).tobytes()))
+            token, place = token[~is_hot], place[~is_hot]
     edges = np.searchsorted(token, np.array([-(-(k << BITS) // parts) for k in range(1, parts)], np.uint64))
     bounds = [0, *edges.tolist(), len(token)]
     small = np.uint16 if len(docs) <= 0xFFFF else np.uint32
@@ -135,12 +143,13 @@ def _block_cells(docs: list[tuple[int | None, np.ndarray]], parts: int, number:
         yield _cells(rows)
 
 
-def _to_blocks(size: int, parts: int):
+def _to_blocks(size: int, parts: int, hot=None):
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 20
         known = WordHashes()
+        always = hot.value if hot is not None else np.zeros(0, np.uint64)
         docs, held = [], 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
@@ -148,14 +157,35 @@ def _to_blocks(size: int, parts: int):
                 docs.append((i, s))
                 held += len(s)
                 if held >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
-                    yield from _block_cells(docs, parts, number)
+                    yield from _block_cells(docs, parts, number, always)
                     docs, held, number = [], 0, number + 1
         if docs:
-            yield from _block_cells(docs, parts, number)
+            yield from _block_cells(docs, parts, number, always)
 
     return each
 
 
+def hot_tokens(docs: DataFrame, size: int, least: int) -> np.ndarray:
+    """Tokens in about ``least`` documents or more, sorted, HOT_TOKENS of them at most: no part could hold their postings.
+
+    Tasks count the tokens that stand out among their documents and the counts are summed. Any set of tokens would do: hot ones are ranked
+    after all others, for every document alike, and their postings stay in their blocks; so neither a missed nor a spare one changes a result.
+    """
+
+    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for b in batches:
+            for a in range(0, b.num_rows, 2_000):
+                sets = [shingles(t.as_py(), size, known) for t in b.column("text").slice(a, 2_000)]
+                token, n = np.unique(np.concatenate(sets) & MASK, return_counts=True)
+                often = n >= max(2, min(8, least), len(sets) // 256)
+                if often.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
+
+    found = docs.select("text").mapInArrow(each, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return np.sort(np.array([r["token"] for r in found.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toLocalIterator()], np.int64).view(np.uint64))
+
+
 def _unpacked(data: bytes, more: bytes, third: bytes) -> tuple[np.ndarray, np.ndarray]:
     wide, small = third[0], third[1]
     first = np.frombuffer(data[:8], np.uint64)
@@ -169,6 +199,8 @@ def _share(t: pa.Table) -> pa.Table:
     for r in t.to_pylist():
         if r["kind"] == 0:
             rows.append(tuple(r[c] for c in CELL_NAMES))
+        elif r["kind"] == 3:
+            rows.append((1, r["block"], 0, r["data"], r["more"], r["third"]))
         else:
             token, place = _unpacked(r["data"], r["more"], r["third"])
             tokens.append(token)
@@ -468,10 +500,13 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
 # ---------------------------------------------------------------- (4) documents
 
 
-def shingle_nodes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT) -> tuple[DataFrame, DataFrame]:
+def shingle_nodes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, hot_least: int = HOT_LEAST) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, a, b; equal sets agree in n, a, b) and nodes: one of each group of equal sets that may have a similar one."""
     parts = n_parts(docs.select("text"), 16 << 20) * 2
-    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_to_blocks(size, parts), CELL)
+    hot, n = None, docs.count()
+    if n >= hot_least:  # below that no token can be in so many documents
+        hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(docs, size, max(hot_least, n // 512)))
+    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_to_blocks(size, parts, hot), CELL)
     shared = cut(cells.groupBy("part").applyInArrow(_share, CELL))
 
     def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -492,11 +527,11 @@ def shingle_nodes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fre
     return documents.select("doc_id", "n", "a", "b"), nodes
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, hot_least: int = HOT_LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
     if not 50 <= percent <= 100 or frequent < 2 or block < 2 or size < 1:
         raise ValueError("percent from 50 to 100, frequent and block of 2 or more, size of 1 or more are needed")
-    documents, nodes = shingle_nodes(docs, size, percent, frequent)
+    documents, nodes = shingle_nodes(docs, size, percent, frequent, hot_least)
     labels = link_nodes(nodes, percent, block)
     sets = documents.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
     sets = cut(sets.join(labels.withColumnRenamed("id", "first"), "first", "left").select("n", "a", "b", F.coalesce("label", "first").alias("component")))

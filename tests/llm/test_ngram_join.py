@@ -63,7 +63,7 @@ def corpus(seed, n_groups=6, copies=12):
     return [(i, t, None, None, None) for i, t in zip(ids, rows, strict=True)]
 
 
-@pytest.mark.parametrize("seed, kw", [(0, {}), (1, {"frequent": 2, "block": 3}), (2, {"frequent": 4, "block": 5}), (3, {"frequent": 2, "block": 2})])
+@pytest.mark.parametrize("seed, kw", [(0, {}), (1, {"frequent": 2, "block": 3}), (2, {"frequent": 4, "block": 5}), (3, {"frequent": 2, "block": 2}), (4, {"hot_least": 3, "frequent": 2, "block": 4}), (0, {"hot_least": 2})])
 def test_brute_force(spark, seed, kw):
     rows = corpus(seed)
     assert got(spark, rows, **kw) == plain(rows)
@@ -78,7 +78,7 @@ def test_large_group_in_many_blocks(spark):
         for _ in range(rng.randint(0, 7)):
             own[rng.randrange(150)] = f"n{rng.random()}"
         rows.append((k + 1, " ".join(own), None, None, None))
-    assert got(spark, rows, block=8, frequent=8) == plain(rows)
+    assert got(spark, rows, block=8, frequent=8) == got(spark, rows, block=8, frequent=8, hot_least=20) == plain(rows)
 
 
 def test_edges(spark):
