@@ -137,9 +137,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items:
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), *(pa.array(c, t) for c, t in zip(cols, RESULT_TYPES, strict=True))], ["doc_id", "row", "n_words", "hit_words", "items", "spans"])
 
     shards = _shards(benchmark, window, max_words)
-    rows = docs.select("doc_id", "text", F.lit(0).cast("long").alias("row"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("row"))
     if len(shards) > 1:  # rows need a number that all automata agree on
-        rows = cut(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+        rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")))
     parts = [rows.mapInArrow(_scan_with(s, window, make), f"doc_id long, row long, {RESULT}") for s in shards]
     found = parts[0]
     if len(parts) > 1:

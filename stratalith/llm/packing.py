@@ -227,7 +227,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limit: int = LIMIT, slack:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of docs (doc_id, text)."""
     if not 0 <= slack < limit or capacity < 2:
         raise ValueError("0 <= slack < limit and capacity >= 2 are needed")
-    bins = cut(docs.select("doc_id", "text").mapInArrow(_tokenise(path, end_id, limit), SCHEMA))
+    bins = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_tokenise(path, end_id, limit), SCHEMA))
     full = F.col("fill") >= limit - slack
     done, before = [], None
     while True:

@@ -83,7 +83,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", "text", F.xxhash64("text").alias("th"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.xxhash64("text").alias("th"))
 
 
 def _lines(docs: DataFrame, distinct: bool) -> DataFrame:
@@ -96,7 +96,7 @@ def _lines(docs: DataFrame, distinct: bool) -> DataFrame:
 
 def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT) -> DataFrame:
     """source, h1, h2, first: the keys above the limits and the smallest id that has each."""
-    docs = docs.select("doc_id", "source", "text")
+    docs = _keyed(docs).drop("th")
     count = F.count("*") if ids_unique(docs, "doc_id") else F.count_distinct(F.struct("doc_id"))
     often = _lines(docs, True).groupBy("source", "h1", "h2").agg(count.alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > min_docs)
     hosts = docs.groupBy("source").agg(F.count("*").alias("n_host"))
