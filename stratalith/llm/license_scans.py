@@ -59,13 +59,13 @@ def template_words(templates: DataFrame) -> DataFrame:
     """template (number), license, word, weight and the template's squared norm; templates: number, license, text."""
     tf = templates.select(F.col("number").alias("template"), "license", F.explode(bag(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
-    n = templates.agg(F.count("*").alias("n_templates"))
-    w = tf.join(df, "word").join(F.broadcast(n)).withColumn("weight", F.col("tf") * _idf(F.col("df"), F.col("n_templates")))
+    n = templates.count()
+    w = tf.join(df, "word").withColumn("weight", F.col("tf") * _idf(F.col("df"), n))
     return w.join(w.groupBy("template").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2")), "template").select("template", "license", "word", "weight", "norm2", "df")
 
 
-def _idf(df: Column, n: Column) -> Column:
-    return F.floor(F.log((n + 1) / df) * 1000 + F.lit(0.5)).cast("long")
+def _idf(df: Column, n: int) -> Column:
+    return F.floor(F.log(F.lit(float(n + 1)) / df) * 1000 + F.lit(0.5)).cast("long")
 
 
 def directory(path: Column) -> Column:
@@ -100,8 +100,8 @@ def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int
     # equal notices are matched once, however many files have them
     notices = rows.filter("notice <> ''").groupBy("key").agg(F.min("notice").alias("notice"))
     tf = notices.select("key", F.explode(bag(F.col("notice"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
-    n_templates = F.broadcast(templates.agg(F.count("*").alias("n_templates")))
-    tf = tf.join(vocabulary, "word", "left").join(n_templates).select("key", "word", (F.col("tf") * _idf(F.coalesce("df", F.lit(1)), F.col("n_templates"))).alias("w"))
+    n = templates.count()
+    tf = tf.join(vocabulary, "word", "left").select("key", "word", (F.col("tf") * _idf(F.coalesce("df", F.lit(1)), n)).alias("w"))
     norms = tf.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("n2"))
     dots = tf.join(words, "word").groupBy("key", "template", "license", "norm2").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     score = F.floor(F.col("dot") * 100.0 / F.sqrt(F.col("n2").cast("double") * F.col("norm2")) + F.lit(1e-6)).cast("long")
