@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from .common import cut
 
 WINDOW, MIN_ITEMS, MAX_WORDS = 8, 2, 50_000
+#: The items pass through the driver: more text than this is refused before any of it is read there.
+MAX_BENCHMARK_BYTES = 256 << 20
 IS_WORD = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
 NORMAL = bytes((b + 32 if 65 <= b <= 90 else b) if IS_WORD[b] else 32 for b in range(256))
 
@@ -88,6 +90,9 @@ RESULT_TYPES = (pa.int64(), pa.list_(SPAN), pa.list_(pa.int64()), pa.list_(SPAN)
 def _shards(benchmark: DataFrame, size: int, max_words: int) -> list[list[tuple[int, str]]]:
     """The items, in shards of at most max_words words (a longer item alone)."""
     items = benchmark.filter("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    held_bytes = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if held_bytes > MAX_BENCHMARK_BYTES:
+        raise ValueError(f"the items hold {held_bytes} bytes, more than {MAX_BENCHMARK_BYTES}; scan for parts of them, one after the other")
     out: list[list[tuple[int, str]]] = [[]]
     held = 0
     for i, text in sorted(set(map(tuple, items.toLocalIterator()))):

@@ -72,3 +72,11 @@ def test_empty(spark):
     r = scan(documents(spark), bench(spark, [])).collect()
     assert len(r) == len(ROWS) and not any(x.contaminated for x in r)
     assert clean(documents(spark), bench(spark, [])).count() == len(ROWS)
+
+
+def test_size_is_checked(spark, monkeypatch):
+    from stratalith.llm import decontamination
+
+    monkeypatch.setattr(decontamination, "MAX_BENCHMARK_BYTES", 10)
+    with pytest.raises(ValueError, match="more than 10"):
+        scan(documents(spark), bench(spark, ITEMS))
