@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from dataclasses import asdict
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..kernels.warping import align
+from ..kernels.warping import align_many
 from ..options import WarpOptions
 
 
@@ -107,6 +106,11 @@ ALIGNED = (
 )
 
 
+def dealt(pairs: DataFrame) -> DataFrame:
+    """Pairs over all tasks: aligning one takes far longer than moving it, so small tables are not put into one task."""
+    return pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def align_pairs(pairs: DataFrame, options: WarpOptions | None = None) -> DataFrame:
     """The alignment of each pair (pair, a, b: arrays), one row per pair; a batch of pairs is in a task at a time."""
     o = asdict(options or WarpOptions())
@@ -114,13 +118,13 @@ def align_pairs(pairs: DataFrame, options: WarpOptions | None = None) -> DataFra
     def each(batches):
         for pdf in batches:
             out = []
-            for pair, a, b in zip(pdf["pair"], pdf["a"], pdf["b"], strict=True):
-                r = align(np.asarray(a, float), np.asarray(b, float), WarpOptions(**o))
-                path = [{"i": int(i), "j": int(j)} for i, j in r.path]
+            found = align_many(list(zip(pdf["a"], pdf["b"], strict=True)), WarpOptions(**o))
+            for pair, r in zip(pdf["pair"], found, strict=True):
+                path = [{"i": i, "j": j} for i, j in r.path.tolist()]
                 out.append((pair, path, r.local_cost, r.total_cost, r.normalized_cost, r.mean_local_cost, r.warp_penalty, r.diagonal_steps, r.up_steps, r.left_steps, r.max_warp_run, r.boundary_fraction))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in ALIGNED.split(", ")])
 
-    return pairs.select(F.col("pair").cast("long").alias("pair"), "a", "b").mapInPandas(each, ALIGNED)
+    return dealt(pairs.select(F.col("pair").cast("long").alias("pair"), "a", "b")).mapInPandas(each, ALIGNED)
 
 
 def path_rows(aligned: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..kernels.warping import align
+from ..kernels.warping import align_many
 from ..operators import alignment, logs
 from ..options import CORRELATE, LogOptions, WarpOptions, require
 from ..sources.csv_logs import read_curve, well_names
@@ -48,21 +48,20 @@ LINED_UP = "pair long, left_well string, right_well string, n int, m int, " + ",
 
 
 def line_up(pairs: DataFrame, options: WarpOptions) -> DataFrame:
-    """A row for each pair: sizes, the alignment's scalars, and arrays along its path. Pairs are dealt over tasks: aligning one takes far longer than moving it."""
+    """A row for each pair: sizes, the alignment's scalars, and arrays along its path."""
     o = asdict(options)
 
     def each(batches):
         for pdf in batches:
             out = []
-            for p in pdf.itertuples(index=False):
-                r = align(p.left_z, p.right_z, WarpOptions(**o))
+            found = align_many(list(zip(pdf["left_z"], pdf["right_z"], strict=True)), WarpOptions(**o))
+            for p, r in zip(pdf.itertuples(index=False), found, strict=True):
                 i, j = r.path[:, 0], r.path[:, 1]
                 scalars = (r.mean_local_cost, r.total_cost, r.normalized_cost, r.warp_penalty, r.diagonal_steps, r.up_steps, r.left_steps, r.max_warp_run, r.boundary_fraction)
                 out.append((p.pair, p.left_well, p.right_well, len(p.left_z), len(p.right_z), *scalars, i, j, p.left_md[i], p.right_md[j], p.left_z[i], p.right_z[j], r.local_cost))
             yield pd.DataFrame(out, columns=["pair", "left_well", "right_well", "n", "m", *SCALARS, *ALONG_PATH])
 
-    dealt = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return dealt.mapInPandas(each, LINED_UP)
+    return alignment.dealt(pairs).mapInPandas(each, LINED_UP)
 
 
 def correlate_prepared(prepared: DataFrame, wells: DataFrame, options: WarpOptions = CORRELATE) -> DataFrame:

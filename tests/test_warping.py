@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 
 from stratalith.api import dtw
 from stratalith.errors import InvalidInput, ResourceLimit
-from stratalith.kernels.warping import align, band_of, corridor, longest_run, rows_are_right
+from stratalith.kernels.warping import align, align_many, band_of, corridor, longest_run, rows_are_right
 from stratalith.options import WarpOptions
 
 
@@ -102,3 +102,12 @@ def test_limits():
         align([0, 0, 0, 0, 9], [0, 9, 9, 9, 9], WarpOptions(window=1, max_warp_run=1))
     with pytest.raises(FloatingPointError):
         align([1e308, -1e308], [-1e308, 1e308])
+
+
+def test_many_at_once():
+    rng = np.random.default_rng(3)
+    pairs = [(rng.integers(0, 5, n) / 2.0, rng.integers(0, 5, m) / 2.0) for n, m in rng.integers(2, 7, (60, 2))]
+    o = WarpOptions(window=0.3, warp_penalty=0.05)
+    for one, many in zip([align(a, b, o) for a, b in pairs], align_many(pairs, o), strict=True):
+        assert one.path.tolist() == many.path.tolist() and one.total_cost == many.total_cost
+    assert align_many([]) == []
