@@ -13,7 +13,7 @@ Plan. (1) Blocks of documents emit their tokens, sorted and packed, to parts by
 the tokens that two or more documents share; only these can be prefix keys with a partner or part of an intersection. Hot tokens, found
 beforehand where there are documents enough, skip the parts. (2) Blocks pick
 prefixes and emit keys; exact copies are one node. (3) Nodes with a common key are verified exactly, on shared tokens and set sizes:
-first within blocks of at most ``block`` nodes of one anchor key, by a search that holds each component against what is not in it yet,
+first within blocks of at most ``block`` nodes, and 8 MB of tokens, of one anchor key, by a search that holds each component against what is not in it yet,
 then among central nodes of those components, at last each node that is not in its key's main component against the blocks that its
 block's outsiders share keys with. No group is ever expanded into all its pairs, and no pair with a common key is left untested unless a chain of links
 already joins it. (4) Components: smallest id by alternating large-star and small-star steps.
@@ -32,7 +32,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, n_parts
@@ -43,6 +43,7 @@ MASK = np.uint64((1 << BITS) - 1)
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
 #: A token in so many documents, and in one of 512, is hot; at most HOT_TOKENS (8 MB) are broadcast.
 HOT_LEAST, HOT_TOKENS, HOT_LEVEL = 1 << 20, 1_000_000, 63
+BLOCK_BYTES = 8 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -442,8 +443,15 @@ def _labelled(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("label", "id").alias("label"))
 
 
-def _n_blocks(count, block: int):
-    return F.ceil(count / block).cast("long")
+def _n_blocks(block: int) -> Column:
+    """Blocks for a group of nodes, so that none has more than about ``block`` of them or BLOCK_BYTES of tokens."""
+    return F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("size") / BLOCK_BYTES)).cast("long")
+
+
+def _dealt(rows: DataFrame, block: int, salt: str) -> DataFrame:
+    """rows (id, anchor, size) with blocks, the number of their anchor's blocks, and deal, their own."""
+    per = cut(rows.groupBy("anchor").agg(_n_blocks(block).alias("blocks")))
+    return rows.join(per, "anchor").withColumn("deal", F.pmod(F.xxhash64("id", F.lit(salt)), F.col("blocks")))
 
 
 def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
@@ -453,20 +461,20 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     keyed = cut(pairs.join(often, "key"))  # key, id, c
     # a node's home: the most frequent of its keys, dealt into blocks
     anchors = keyed.groupBy("id").agg(F.max(F.struct("c", "key")).alias("x"))
-    homes = cut(anchors.select("id", F.col("x.key").alias("anchor"), F.pmod(F.xxhash64("id"), _n_blocks(F.col("x.c"), block)).alias("deal"), F.col("x.c").alias("c")))
+    sizes = nodes.select("id", F.octet_length("tokens").alias("size"))
+    homes = cut(_dealt(anchors.join(sizes, "id").select("id", F.col("x.key").alias("anchor"), "size"), block, "home"))
     sets = cut(nodes.select("id", "n", "tokens").join(homes, "id"))
     links = cut(sets.groupBy("anchor", "deal").applyInArrow(_links_within(percent), LINK))
     every = [links.select("a", "b")]
     # central nodes of the components of a key's blocks, against each other, until one block holds them
+    many = cut(homes.filter("blocks > 1").select("anchor").distinct())
     central = links.filter("central").select(F.col("a").alias("id"))
     for _ in range(8):
-        mid = sets.join(central, "id", "left_semi")
-        per = mid.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
-        many = homes.filter(F.col("c") > block).select("anchor").distinct()
-        mid = cut(mid.join(per, "anchor").join(many, "anchor", "left_semi").withColumn("deal", F.pmod(F.xxhash64("id", F.lit("central")), _n_blocks(F.col("m"), block))))
+        mid = homes.select("id", "anchor", "size").join(many, "anchor", "left_semi").join(central, "id", "left_semi")
+        mid = cut(_dealt(mid, block, "central").join(nodes.select("id", "n", "tokens"), "id"))
         more = cut(mid.groupBy("anchor", "deal").applyInArrow(_links_within(percent), LINK))
         every.append(more.select("a", "b"))
-        if mid.filter(F.col("m") > block).isEmpty():
+        if mid.filter("blocks > 1").isEmpty():
             break
         central = more.filter("central").select(F.col("a").alias("id"))
     known = every[0]
@@ -487,7 +495,7 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     near = asks.join(stands, ["x", "y", "z"]).filter("anchor <> a0 OR deal <> d0").select("a0", "d0", "anchor", "deal").distinct()
     guests = cut(outside.select("id", "label", "a0", "d0").distinct().join(near, ["a0", "d0"]).select("id", "label", "anchor", "deal"))
     # a block with many guests meets them in several groups, each of a bounded number of rows
-    groups = guests.groupBy("anchor", "deal").agg(_n_blocks(F.count("*"), block).alias("groups"))
+    groups = guests.join(sizes, "id").groupBy("anchor", "deal").agg(_n_blocks(block).alias("groups"))
     guests = guests.join(groups, ["anchor", "deal"]).withColumn("g", F.pmod(F.xxhash64("id", F.lit("guest")), F.col("groups")))
     guests = guests.join(nodes.select("id", "n", "tokens"), "id").withColumn("guest", F.lit(True))
     own = sets.join(labels, "id").join(groups, ["anchor", "deal"]).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))

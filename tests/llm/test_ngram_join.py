@@ -81,6 +81,14 @@ def test_large_group_in_many_blocks(spark):
     assert got(spark, rows, block=8, frequent=8) == got(spark, rows, block=8, frequent=8, hot_least=20) == plain(rows)
 
 
+def test_blocks_of_few_bytes(spark, monkeypatch):
+    from stratalith.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2_000)
+    rows = corpus(11, n_groups=4)
+    assert got(spark, rows) == plain(rows)
+
+
 def test_edges(spark):
     assert got(spark, ROWS) == plain(ROWS)
     assert join(documents(spark)).count() == len(ROWS)
