@@ -208,3 +208,21 @@ ORACLES["surface_convergent_fit"] = f"WITH {POINTS} SELECT surface_id, point_id,
 ORACLES["surface_convergent_plane"] = f"SELECT CAST(s AS INTEGER) AS surface_id, iy * 99 + ix AS node_id, {q('3 + 2 * (1 + ix * CAST(0.5 AS DOUBLE)) - iy * CAST(0.5 AS DOUBLE)')} AS z FROM range(3) a(s), range(99) b(ix), range(21) c(iy)"
 ORACLES["gaussian_conditioned_fit"] = ORACLES["surface_convergent_fit"]
 ORACLES["gaussian_determinism"] = "SELECT CAST(s AS INTEGER) AS surface_id, CAST(0 AS BIGINT) AS difference FROM range(3) a(s)"
+ORACLES["log_problems"] = f"""WITH raw AS (SELECT {_number("event_type", KINDS)} AS log_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS DOUBLE) AS md, value FROM events),
+o AS (SELECT log_id, CASE WHEN log_id <> 3 THEN md END AS md, CASE log_id WHEN 1 THEN CAST('inf' AS DOUBLE) WHEN 2 THEN 1 ELSE value END AS value FROM raw),
+m AS (SELECT log_id, md, avg(value) FILTER (value NOT IN (-999.25, -999, 999.25)) AS v FROM o WHERE md IS NOT NULL GROUP BY log_id, md),
+k AS (SELECT log_id, count(v) AS n, min(v) AS lo, max(v) AS hi FROM m GROUP BY log_id),
+i AS (SELECT log_id, bool_or(coalesce(isinf(value) OR isinf(md), false)) AS infinite FROM o GROUP BY log_id),
+p AS (SELECT i.log_id, CASE WHEN infinite THEN 'infinite' WHEN coalesce(n, 0) < 2 THEN 'few' WHEN lo = hi THEN 'constant' END AS problem FROM i LEFT JOIN k ON i.log_id = k.log_id)
+SELECT * FROM p WHERE problem IS NOT NULL"""
+ORACLES["corridor_rows"] = """
+WITH s AS (SELECT p_partkey AS pair, p_size % 12 + 2 AS n, p_partkey % 9 + 2 AS m FROM part),
+b AS (SELECT *, CAST(floor(CAST(0.1 AS DOUBLE) * ((n - 1) * (m - 1)) + CAST(0.5 AS DOUBLE) * greatest(n - 1, m - 1)) AS BIGINT) AS band FROM s),
+c AS (SELECT pair, i, j FROM b, LATERAL (SELECT unnest(range(0, n)) AS i) x, LATERAL (SELECT unnest(range(0, m)) AS j) y WHERE abs(i * (m - 1) - j * (n - 1)) <= band)
+SELECT pair, CAST(i AS INTEGER) AS i, min(j) AS start, max(j) AS "end" FROM c GROUP BY pair, i
+"""
+ORACLES["grid_nodes"] = f"SELECT CAST(s AS INTEGER) AS surface_id, iy * 99 + ix AS node_id, CAST(ix AS INTEGER) AS ix, CAST(iy AS INTEGER) AS iy, {q('1 + ix * 5e-1')} AS x, {q('iy * 5e-1')} AS y FROM range(3) a(s), range(99) b(ix), range(21) c(iy)"
+ORACLES["effective_parameters"] = f"SELECT CAST(s AS INTEGER) AS surface_id, {q('49 * 2e-1', '1e-9')} AS major_range, {q('25e-1', '1e-9')} AS minor_range, {q(f'cos({_TURN})', '1e-9')} AS cos_azimuth, {q(f'sin({_TURN})', '1e-9')} AS sin_azimuth FROM range(3) a(s)"
+ORACLES["effective_tolerance"] = f"WITH {POINTS} SELECT surface_id, {q('1e-10 * greatest(1, max(abs(value)))', '1e-9')} AS tolerance FROM points GROUP BY surface_id"
+ORACLES["plane_constant"] = f"WITH {POINTS} SELECT surface_id, {q('sum(weight * value) / sum(weight)', '1e-4')} AS a, CAST(0 AS BIGINT) AS bx, CAST(0 AS BIGINT) AS by FROM points GROUP BY surface_id"
+ORACLES["correlation_quality"] = "SELECT p AS pair, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS boundary FROM range(4) t(p)"

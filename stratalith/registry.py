@@ -340,3 +340,49 @@ def gaussian_determinism(spark: SparkSession, d: str) -> DataFrame:
 def gaussian_realisations(spark: SparkSession, d: str) -> DataFrame:
     s = fx.surfaces(spark, 99, 21)
     return nodes_of(simulate_gaussian(s, fx.points(spark, d), EXPONENTIAL, seeds=[1, 2, 3, 4]), s)
+
+
+@query
+def log_problems(spark: SparkSession, d: str) -> DataFrame:
+    """One log of each kind of trouble: infinite values, a constant, no depths."""
+    value = F.when(F.col("log_id") == 1, float("inf")).when(F.col("log_id") == 2, 1.0).otherwise(F.col("value"))
+    raw = fx.logs(spark, d).select("log_id", F.when(F.col("log_id") != 3, F.col("md")).alias("md"), value.alias("value"))
+    return logs.summary(raw, logs.clean(raw, EVERY_GAP.missing_values), STEP, EVERY_GAP).select("log_id", "problem")
+
+
+@query
+def corridor_rows(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.corridor(_sizes(spark, d), 0.1)
+
+
+@query
+def grid_nodes(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.grid_nodes(fx.surfaces(spark, 99, 21)).select("surface_id", "node_id", "ix", "iy", q("x").alias("x"), q("y").alias("y"))
+
+
+@query
+def effective_parameters(spark: SparkSession, d: str) -> DataFrame:
+    r = trends.effective_ranges(fx.surfaces(spark), 0.0, 2.5, 30.0)
+    return r.select("surface_id", *(q(c, 1e-9).alias(c) for c in ("major_range", "minor_range", "cos_azimuth", "sin_azimuth")))
+
+
+@query
+def effective_tolerance(spark: SparkSession, d: str) -> DataFrame:
+    return geometry.effective_tolerance(fx.points(spark, d), 1e-10).select("surface_id", q("tolerance", 1e-9).alias("tolerance"))
+
+
+@query
+def plane_constant(spark: SparkSession, d: str) -> DataFrame:
+    p = geometry.valid_points(fx.points(spark, d), fx.surfaces(spark))
+    return trends.fit_planes(p, slopes=False).select("surface_id", q("a", 1e-4).alias("a"), q("bx").alias("bx"), q("by").alias("by"))
+
+
+@query
+def correlation_quality(spark: SparkSession, d: str) -> DataFrame:
+    """Of each pair of logs: the alignment covers both ends, and its plan and kernel agree. The differences are 0."""
+    t = correlate_logs(spark, d)
+    ends = t.groupBy("pair").agg(
+        F.max("path_index").alias("last"), F.max_by("cumulative_cost", "path_index").alias("paid"), F.first("total_cost").alias("total"),
+        (F.first("diagonal_steps") + F.first("up_steps") + F.first("left_steps")).alias("steps"), F.avg(F.col("boundary_hit").cast("double")).alias("hits"), F.first("boundary_fraction").alias("fraction"),
+    )
+    return ends.select("pair", q(F.abs(F.col("paid") - F.col("total"))).alias("cost"), (F.col("last") - F.col("steps")).cast("long").alias("length"), q(F.abs(F.col("hits") - F.col("fraction"))).alias("boundary"))
