@@ -59,12 +59,20 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each stage's rows are written to the shared folder and read again."""
+    """The stages over documents; each stage's rows are written to the shared folder and read again. A stage's table goes when the next one is written."""
     ship(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = new_folder(spark, name)
         stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
+        if before:
+            _remove(spark, before)
+        before = out
     return docs
