@@ -6,6 +6,7 @@ extra columns stay with their rows.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 import public_tokenizers
@@ -50,12 +51,24 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _shipped(stage: Stage) -> Stage:
+    """A stage that may be called alone: the executors get the package first."""
+
+    @functools.wraps(stage)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(ship(spark), docs, sf_dir)
+
+    return call
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_rules", quality),
-    ("line_dedup", lines),
-    ("ngram_jaccard_join", near_duplicates),
-    ("decontamination", decontaminated),
-    ("best_fit_packing", packed),
+    ("quality_rules", _shipped(quality)),
+    ("line_dedup", _shipped(lines)),
+    ("ngram_jaccard_join", _shipped(near_duplicates)),
+    ("decontamination", _shipped(decontaminated)),
+    ("best_fit_packing", _shipped(packed)),
 ]
 
 
@@ -66,7 +79,6 @@ def _remove(spark: SparkSession, folder: str) -> None:
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents; each stage's rows are written to the shared folder and read again. A stage's table goes when the next one is written."""
-    ship(spark)
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = new_folder(spark, name)
