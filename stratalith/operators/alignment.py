@@ -58,6 +58,15 @@ def local_costs(left: DataFrame, right: DataFrame, window: float) -> DataFrame:
     return cells.join(right.select("pair", F.col("j").cast("long").alias("j"), F.col("z").alias("zb")), ["pair", "j"]).select("pair", "i", F.col("j").cast("int").alias("j"), F.abs(F.col("za") - F.col("zb")).alias("local_cost"))
 
 
+def packed_local_costs(pairs: DataFrame, window: float) -> DataFrame:
+    """The same for series that are packed (pair, a, b: arrays): no join and no shuffle, each pair's cells come from its own row."""
+    sized = pairs.select("pair", "a", "b", F.size("a").alias("n"), F.size("b").alias("m")).withColumn("band", band(F.col("n"), F.col("m"), window))
+    rows = sized.select("pair", "b", "n", "m", "band", F.posexplode("a").alias("i", "za"))
+    args = (F.col("i"), F.col("n"), F.col("m"), F.col("band"))
+    cells = F.transform(F.sequence(first_column(*args), last_column(*args)), lambda j: F.struct(j.cast("int").alias("j"), F.abs(F.col("za") - F.get("b", j.cast("int"))).alias("local_cost")))
+    return rows.select("pair", "i", F.inline(cells))
+
+
 def transposed(a: Column, b: Column) -> Column:
     """Whether the second of two arrays goes into the rows."""
     differ = F.filter(F.arrays_zip(a.alias("x"), b.alias("y")), lambda p: p["x"] != p["y"])

@@ -226,3 +226,9 @@ ORACLES["effective_parameters"] = f"SELECT CAST(s AS INTEGER) AS surface_id, {q(
 ORACLES["effective_tolerance"] = f"WITH {POINTS} SELECT surface_id, {q('1e-10 * greatest(1, max(abs(value)))', '1e-9')} AS tolerance FROM points GROUP BY surface_id"
 ORACLES["plane_constant"] = f"WITH {POINTS} SELECT surface_id, {q('sum(weight * value) / sum(weight)', '1e-4')} AS a, CAST(0 AS BIGINT) AS bx, CAST(0 AS BIGINT) AS by FROM points GROUP BY surface_id"
 ORACLES["correlation_quality"] = "SELECT p AS pair, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS boundary FROM range(4) t(p)"
+ORACLES["local_cost_long"] = f"""WITH {SERIES},
+w AS (SELECT vec_id, list_transform(range(0, len(v) // {BLOCK}), lambda k: list_reduce(v[k * {BLOCK} + 1:k * {BLOCK} + {BLOCK}], lambda a, x: a + x, CAST(0 AS DOUBLE)) / {BLOCK}) AS z FROM e),
+p AS (SELECT x.vec_id AS pair, x.z AS a, y.z AS b, len(x.z) AS n, len(y.z) AS m FROM w x JOIN w y ON y.vec_id = x.vec_id + 1),
+c AS (SELECT *, unnest(range(0, m)) AS j FROM (SELECT *, unnest(range(0, n)) AS i FROM p))
+SELECT pair, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {q("abs(a[i + 1] - b[j + 1])")} AS local_cost FROM c
+WHERE abs(i * (m - 1) - j * (n - 1)) <= floor(CAST(0.1 AS DOUBLE) * ((n - 1) * (m - 1)) + CAST(0.5 AS DOUBLE) * greatest(n - 1, m - 1))"""

@@ -124,9 +124,16 @@ def corridor_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def local_cost(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.series_pairs(spark, d)
+    cells = alignment.packed_local_costs(fx.series_pairs(spark, d), 0.1)
+    return cells.groupBy("pair", "i").agg(F.count("*").alias("cells"), q(F.sum("local_cost")).alias("cost"))
+
+
+@query
+def local_cost_long(spark: SparkSession, d: str) -> DataFrame:
+    """Series as rows, joined on (pair, j); the short series, of which all cells are returned."""
+    p = fx.series_pairs(spark, d, fx.BLOCK)
     left, right = p.select("pair", F.posexplode("a").alias("i", "z")), p.select("pair", F.posexplode("b").alias("j", "z"))
-    return alignment.local_costs(left, right, 0.1).groupBy("pair", "i").agg(F.count("*").alias("cells"), q(F.sum("local_cost")).alias("cost"))
+    return alignment.local_costs(left, right, 0.1).select("pair", "i", "j", q("local_cost").alias("local_cost"))
 
 
 @query
