@@ -11,7 +11,6 @@ an id are one item. No rows from an empty table; without items nothing is hit.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
