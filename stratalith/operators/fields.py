@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.covariances import correlation, covariance, signed_lag
-from ..options import Correlation
+from ..options import Correlation, require
 
 
 def conditioning_diagonal(stencil: DataFrame, surfaces: DataFrame, major: float, minor: float, azimuth: float, variance: float, nugget: float, model: Correlation) -> DataFrame:
@@ -35,7 +35,8 @@ def embedding_kernel(spark: SparkSession, px: int, py: int, dx: float, dy: float
 
 
 def spectrum(kernel: DataFrame, px: int, py: int) -> DataFrame:
-    """fx, fy, eigenvalue by the definition of the transform: for small grids, to check the kernel's own."""
+    """fx, fy, eigenvalue by the definition of the transform: for grids of at most 4096 nodes, to check the kernel's own."""
+    require(px * py <= 4096, "the transform by definition is for 4096 nodes at most")
     f = kernel.select(F.col("kx").alias("fx"), F.col("ky").alias("fy"))
     packed = kernel.agg(F.collect_list(F.struct("kx", "ky", "c")).alias("k"))
     angle = lambda q: (F.col("fx") * q["kx"] / px + F.col("fy") * q["ky"] / py) * (2 * math.pi)
