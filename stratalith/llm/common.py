@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,6 +53,28 @@ def ids_unique(df: DataFrame, name: str) -> bool:
     return df.groupBy(name).count().filter("count > 1").isEmpty()
 
 
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system: workers live on between tasks, and what they hold counts for their executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library; it keeps the memory for the next task
+
+
+def tidy(each: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that gives memory back when it ends."""
+
+    @functools.wraps(each)
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def line_key(line: Column) -> Column:
     """A line without blanks at its ends, A-Z lower-cased."""
     return F.translate(F.btrim(line, F.lit(BLANKS)), UPPER, LOWER)

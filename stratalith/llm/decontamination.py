@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, tidy
 
 WINDOW, MIN_ITEMS, MAX_WORDS = 8, 2, 50_000
 #: The items pass through the driver: more text than this is refused before any of it is read there.
@@ -144,7 +144,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("row"))
     if len(shards) > 1:  # rows need a number that all automata agree on
         rows = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row")))
-    parts = [rows.mapInArrow(_scan_with(s, window, make), f"doc_id long, row long, {RESULT}") for s in shards]
+    parts = [rows.mapInArrow(tidy(_scan_with(s, window, make)), f"doc_id long, row long, {RESULT}") for s in shards]
     found = parts[0]
     if len(parts) > 1:
         every = parts[0]
@@ -177,4 +177,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_items
             scanners = scanners or [Scanner(s, window) for s in shards]
             yield b.filter(pa.array([len(set().union(*(s.scan(t.as_py())[2] for s in scanners))) < min_items for t in b.column("text")], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(tidy(each), docs.schema)

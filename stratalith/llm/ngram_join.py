@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, n_parts
+from .common import cut, give_back, n_parts, tidy
 
 SIZE, PERCENT, FREQUENT, BLOCK = 5, 75, 64, 512
 BITS = 48
@@ -183,7 +183,7 @@ def hot_tokens(docs: DataFrame, size: int, least: int) -> np.ndarray:
                 if often.any():
                     yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
 
-    found = docs.select("text").mapInArrow(each, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    found = docs.select("text").mapInArrow(tidy(each), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return np.sort(np.array([r["token"] for r in found.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toLocalIterator()], np.int64).view(np.uint64))
 
 
@@ -228,6 +228,9 @@ def _share(t: pa.Table) -> pa.Table:
             own = by[edges[k] : edges[k + 1]]
             if len(own):
                 rows.append((1, number, 0, token[own].tobytes(), place[own].tobytes(), level[own].tobytes()))
+        del token, place, block, level, count, order, by, starts, counts, twice
+    if t.nbytes > 1 << 20:
+        give_back()
     return pa.Table.from_batches([_cells(rows)]) if rows else pa.Table.from_batches([], pa.schema(list(zip(CELL_NAMES, CELL_TYPES, strict=True))))
 
 
@@ -304,6 +307,10 @@ def _emit(percent: int, frequent: int):
                 if len(keys):
                     own = np.argsort(tokens[a:b])
                     out.append((i, n, n - (b - a), tokens[a:b][own].tobytes(), lv[a:b][own].tobytes(), keys.view(np.int64).tolist()))
+            del tokens, places, lv, order
+        token, place, level = [], [], []
+        if t.nbytes > 1 << 20:
+            give_back()
         cols = list(zip(*out, strict=True)) or [()] * 6
         types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
         return pa.table([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["id", "n", "alone", "tokens", "counts", "keys"])
@@ -514,7 +521,7 @@ def shingle_nodes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fre
     hot, n = None, docs.count()
     if n >= hot_least:  # below that no token can be in so many documents
         hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(docs, size, max(hot_least, n // 512)))
-    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_to_blocks(size, parts, hot), CELL)
+    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_to_blocks(size, parts, hot)), CELL)
     shared = cut(cells.groupBy("part").applyInArrow(_share, CELL))
 
     def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hashed, ids_unique, line_key, same
+from .common import hashed, ids_unique, line_key, same, tidy
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -117,7 +117,7 @@ def _failed(words: str, repeated: str):
 
 def score(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """doc_id, source, the features, base_failed, removed_chars, depleted, kept, for each row of docs (doc_id, text, source). Texts are not shuffled."""
-    base, lost = _keyed(docs).mapInArrow(_features, SCHEMA), _lost(docs, min_docs, max_percent).drop("hs")
+    base, lost = _keyed(docs).mapInArrow(tidy(_features), SCHEMA), _lost(docs, min_docs, max_percent).drop("hs")
     at = base["doc_id"].eqNullSafe(lost["_id"]) & base["source"].eqNullSafe(lost["_source"]) & base["th"].eqNullSafe(lost["_row"])
     out = base.join(lost, at, "left").select("doc_id", "source", *FEATURES, _failed("n_words", "n_repeat_words").alias("base_failed"), F.coalesce("removed", F.lit(0)).alias("removed_chars"))
     depleted = (F.col("line_chars") - F.col("removed_chars")) * 100 < F.col("line_chars") * min_kept_percent
@@ -135,7 +135,7 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERC
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "_words", "_repeated", "_keyed"])
 
     rows = docs.withColumn("_th", F.xxhash64("text"))
-    scored = rows.mapInArrow(each, T.StructType([*rows.schema.fields, *(T.StructField(x, T.LongType()) for x in ("_words", "_repeated", "_keyed"))]))
+    scored = rows.mapInArrow(tidy(each), T.StructType([*rows.schema.fields, *(T.StructField(x, T.LongType()) for x in ("_words", "_repeated", "_keyed"))]))
     lost = _lost(docs, min_docs, max_percent).select("_id", "_source", "_row", F.col("removed").alias("_removed"), F.col("hs").alias("_hs"))
     at = scored["doc_id"].eqNullSafe(lost["_id"]) & scored["source"].eqNullSafe(lost["_source"]) & scored["_th"].eqNullSafe(lost["_row"])
     both = scored.filter(~_failed("_words", "_repeated")).join(lost.hint("shuffle_hash"), at, "left")
