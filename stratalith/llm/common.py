@@ -62,11 +62,21 @@ def give_back() -> None:
         pass  # another C library; it keeps the memory for the next task
 
 
-def tidy(each: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A function over batches that gives memory back when it ends."""
+#: Caches of a worker that outlive a task, by operator: how to empty each.
+_caches: dict[str, Callable[[], None]] = {}
+
+
+def outlives(name: str, clear: Callable[[], None]) -> None:
+    _caches[name] = clear
+
+
+def tidy(each: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], name: str = "") -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A function over batches that gives memory back when it ends, and before it begins empties the caches that other operators left in its worker."""
 
     @functools.wraps(each)
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for other in [k for k in _caches if k != name]:
+            _caches.pop(other)()
         try:
             yield from each(batches)
         finally:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, tidy
+from .common import cut, outlives, tidy
 
 LIMIT, SLACK, CAPACITY, LOCAL = 4096, 8, 50_000, 200_000
 REMEMBERED = 300_000
@@ -172,6 +172,7 @@ def _packed(pieces: list[tuple], limit: int) -> Iterator[pa.RecordBatch]:
 def _tokenise(path: str, end_id: int, limit: int, batch_chars: int = 1_000_000):
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, pieces = encoder(path), []
+        outlives("packing", encoder.cache_clear)
 
         def add(ids: list, texts: list[str]) -> None:
             flat, sizes = e.encode(texts)
@@ -227,7 +228,7 @@ def pack(docs: DataFrame, path: str, end_id: int = 1, limit: int = LIMIT, slack:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece of each row of docs (doc_id, text)."""
     if not 0 <= slack < limit or capacity < 2:
         raise ValueError("0 <= slack < limit and capacity >= 2 are needed")
-    bins = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_tokenise(path, end_id, limit)), SCHEMA))
+    bins = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_tokenise(path, end_id, limit), "packing"), SCHEMA))
     full = F.col("fill") >= limit - slack
     done, before = [], None
     while True:

@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import tidy
+from .common import outlives, tidy
 
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 REMEMBERED, LONGEST = 400_000, 64
@@ -130,6 +130,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, batch_chars: int
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = merger(path)
+        outlives("tokens", merger.cache_clear)
         for b in batches:
             texts = [t.as_py() or "" for t in b.column("text")]
             tokens, part, size = [], [], 0
@@ -144,4 +145,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 1024, batch_chars: int
             cols = [pa.array(n_bytes, pa.int64()), pa.array(tokens, pa.int64()), pa.array([n > limit for n in tokens], pa.bool_())]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *cols], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(each), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(each, "tokens"), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
