@@ -1,14 +1,19 @@
 """License scans in DataFrame functions only: sparse TF-IDF cosine to templates, then nearest-ancestor directory inheritance.
 
-Of each file the notice is taken: its lines that name a licence, a copyright or an SPDX id. Notices and templates are bags of words;
+Of each file several passages are taken, each for itself: its notice (the lines that name a licence, a copyright or an SPDX id, pooled),
+each such line, each paragraph and each run of comment lines that speaks of licences or grants (``HINT``), these paragraphs pooled, and of
+files named LICENSE, COPYING, NOTICE, ... the whole text. Paragraphs are divided by lines without letters and digits. Passages and
+templates are bags of words;
 a word weighs its count times the inverse document frequency among the templates (words of none weigh as much as the rarest), in whole
-millionths, so that sums do not depend on their order. The best template by cosine, if it reaches ``min_percent``, is the file's own
-licence. A file is a licence file if its name says so (LICENSE, COPYING, NOTICE, ...) or if its notice makes up most of its text; then it
+millionths, so that sums do not depend on their order. The best template by cosine, if it reaches ``min_percent``, is the passage's
+licence; the file's own is that of its best passage: a whole text before parts, then the higher score, then the longer passage. A mere
+reservation of rights (``RESERVED``) counts only where no passage has another licence. A file is a licence file if its name says so or if
+its best passage makes up most of its text; then it
 also holds for its directory and those below. Any other file without a licence of its own inherits from the nearest ancestor directory
 that has a licence file.
 
 Templates are a parameter, held in every task; more than ``MAX_TEMPLATE_WORDS`` of their words are joined by a shuffle instead.
-Nulls: a null text has no notice, a null path is in no directory. Ties go to the template, or licence file, of the smallest name. Rows
+Nulls: a null text has no passage, a null path is in no directory. Ties go to the template, or licence file, of the smallest name. Rows
 that repeat give one result each. No rows from an empty table. Other columns of files are not read.
 """
 
@@ -43,6 +48,13 @@ TEMPLATES = (
 NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)([.-].*)?$"
 CUE = r"licen[sc]e|copyright|spdx|all rights reserved|public domain"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: What a paragraph or comment must hold to be a passage: a cue, or a word of grants and disclaimers.
+HINT = CUE + r"|permission|redistribut|warrant|unencumbered"
+# possessive, so that long runs take no stack
+PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
+COMMENTS = r"(?m)(?:^[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*+(?:\n|\z))++"
+WORDS = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
+RESERVED = "Proprietary"
 MIN_PERCENT, FILE_PERCENT, MAX_TEMPLATE_WORDS = 60, 50, 100_000
 UNIT = 1_000_000
 
@@ -52,7 +64,7 @@ def low(text: Column) -> Column:
 
 
 def bag(text: Column) -> Column:
-    return F.regexp_extract_all(low(text), F.lit(WORD), F.lit(0))
+    return F.regexp_extract_all(low(text), F.lit(WORDS), F.lit(0))
 
 
 def template_words(templates: DataFrame) -> DataFrame:
@@ -85,6 +97,23 @@ def default_templates(files: DataFrame) -> DataFrame:
     return files.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(number, license, text)")
 
 
+def named(path: Column) -> Column:
+    """Whether the path's last part is a licence file's name."""
+    return F.regexp_extract(path, r"[^/]*$", 0).rlike(NAMES)
+
+
+def passages() -> Column:
+    """The passages of a file (path, text): array of structs text, whole; empty for most files."""
+    text, whole = F.coalesce(F.col("text"), F.lit("")), F.coalesce(named(F.col("path")), F.lit(False))
+    cues = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("(?i)" + CUE))
+    hints = F.filter(F.split(text, PARAGRAPHS, -1), lambda x: x.rlike("(?i)" + HINT))
+    comments = F.filter(F.regexp_extract_all(text, F.lit(COMMENTS), F.lit(0)), lambda x: x.rlike("(?i)" + HINT))
+    parts = F.array_distinct(F.concat(F.array(F.array_join(cues, "\n"), F.array_join(hints, "\n")), cues, hints, comments))
+    parts = F.when(text.rlike("(?i)" + HINT), parts).otherwise(F.array().cast("array<string>"))
+    parts = F.when(whole, F.array_union(F.array(text), parts)).otherwise(parts)
+    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(x.alias("text"), (whole & (x == text)).alias("whole")))
+
+
 def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int = MIN_PERCENT, file_percent: int = FILE_PERCENT) -> DataFrame:
     """path, file_id, license, score (whole percent of the own match), origin (own, file, inherited, none), license_path, for each row of files (file_id, path, text)."""
     templates = default_templates(files) if templates is None else templates
@@ -92,14 +121,9 @@ def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int
     vocabulary = words.groupBy("word").agg(F.max("df").alias("df"))
     if words.count() <= MAX_TEMPLATE_WORDS:
         words, vocabulary = F.broadcast(words), F.broadcast(vocabulary)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.split(text, "\n", -1)
-    cues = F.filter(lines, lambda x: low(x).rlike(CUE))
-    rows = files.select("file_id", "path", F.array_join(cues, "\n").alias("notice"), F.length(text).alias("n_text"))
-    rows = rows.withColumn("key", F.xxhash64("notice"))
-    # equal notices are matched once, however many files have them
-    notices = rows.filter("notice <> ''").groupBy("key").agg(F.min("notice").alias("notice"))
-    tf = notices.select("key", F.explode(bag(F.col("notice"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf"))
+    # equal passages are matched once, however many files have them
+    texts = files.select(F.explode(passages()).alias("p")).select("p.text", F.xxhash64("p.text").alias("key")).groupBy("key").agg(F.min("text").alias("text"))
+    tf = cut(texts.select("key", F.explode(bag(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf")))
     n = templates.count()
     tf = tf.join(vocabulary, "word", "left").select("key", "word", (F.col("tf") * _idf(F.coalesce("df", F.lit(1)), n)).alias("w"))
     norms = tf.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("n2"))
@@ -107,13 +131,15 @@ def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int
     score = F.floor(F.col("dot") * 100.0 / F.sqrt(F.col("n2").cast("double") * F.col("norm2")) + F.lit(1e-6)).cast("long")
     best = dots.join(norms, "key").select("key", score.alias("score"), "license", "template").filter(F.col("score") >= min_percent)
     best = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "template")).alias("b")).select("key", (-F.col("b.s")).alias("score"), F.col("b.license").alias("license"))
-    # a table of its own, so that a notice of many files can be split; files without notice are dealt evenly and match nothing
+    # tables of their own, so that a passage of many files can be split; rows get a number, as ids may repeat
     best = cut(best)
-    rows = rows.withColumn("key", F.when(F.col("notice") == "", F.xxhash64("file_id", "path")).otherwise(F.col("key")))
-    has = F.col("notice") != ""
-    owned = rows.join(best, "key", "left").select("file_id", "path", *(F.when(has, F.col(c)).alias(c) for c in ("license", "score")), "n_text", F.length("notice").alias("n_notice"))
-    name = F.regexp_extract("path", r"[^/]*$", 0)
-    is_file = F.col("license").isNotNull() & F.coalesce(name.rlike(NAMES) | (F.col("n_notice") * 100 >= F.col("n_text") * file_percent), F.lit(False))
+    keys = F.transform(passages(), lambda p: F.struct(p["whole"].alias("whole"), F.length(p["text"]).alias("n"), F.xxhash64(p["text"]).alias("key")))
+    rows = cut(files.select(F.monotonically_increasing_id().alias("row"), "file_id", "path", F.length(F.coalesce("text", F.lit(""))).alias("n_text"), keys.alias("passages")))
+    held = rows.select("row", F.explode("passages").alias("p")).select("row", "p.*").join(best, "key")
+    order = F.struct((F.col("license") == RESERVED).alias("reserved"), (~F.col("whole")).alias("part"), (-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "license")
+    own = held.groupBy("row").agg(F.min(order).alias("b")).select("row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), (-F.col("b.n")).alias("n_held"))
+    owned = rows.drop("passages").join(own, "row", "left")
+    is_file = F.col("license").isNotNull() & F.coalesce(named(F.col("path")) | (F.col("n_held") * 100 >= F.col("n_text") * file_percent), F.lit(False))
     owned = cut(owned.select("file_id", "path", "license", "score", is_file.alias("is_file"), directory(F.col("path")).alias("dir")))
     heads = owned.filter(F.col("is_file") & F.col("dir").isNotNull()).groupBy("dir").agg(F.min(F.struct("path", "license")).alias("head"))
     # each directory finds its nearest head once; then files look up their directory

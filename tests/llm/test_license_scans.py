@@ -53,3 +53,25 @@ def test_edges(spark):
 def test_native(spark):
     plan = scan(files(spark, [("a", MIT)]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_passages_decide_alone(spark):
+    """Neither code that names licences nor lines without a cue keep a notice from being found."""
+    code = "".join(f"    license_check_{k} = load(license_file_{k})\n" for k in range(10))
+    wrapped = "Permission is hereby granted, free of charge, to any person\nobtaining a copy of this software and associated documentation\nfiles, to deal in the Software without restriction.\nMIT License.\n"
+    comment = "".join("# " + x + "\n" for x in wrapped.splitlines())
+    rows = [
+        ("a/code.py", "# " + APACHE + "\nimport x\n" + code), ("b/header.py", comment + "import x\n" + code), ("c/text.txt", "words of prose\n" * 50 + "\n" + wrapped + "\nmore prose about a licence"),
+        ("d/LICENSE", wrapped), ("e/both.py", "# All rights reserved.\n# " + APACHE + "\n" + "code\n" * 50), ("f/none.py", code), ("g/LICENSE", "nothing of the kind"),
+    ]
+    got = {r.path: (r.license, r.score, r.origin) for r in scan(files(spark, rows)).collect()}
+    assert got["a/code.py"] == ("Apache-2.0", 100, "own")
+    assert got["b/header.py"] == got["c/text.txt"] == ("MIT", 100, "own")
+    assert got["d/LICENSE"] == ("MIT", 100, "file")
+    assert got["e/both.py"][0] == "Apache-2.0"
+    assert got["f/none.py"] == got["g/LICENSE"] == (None, None, "none")
+
+
+def test_long_runs_take_no_stack(spark):
+    rows = [("a/x.py", "# license\n" * 50_000), ("b/LICENSE", "a-1." * 50_000 + "license"), ("c/y", "\n-- \n" * 50_000 + APACHE)]
+    assert {r.path: r.license for r in scan(files(spark, rows)).collect()}["c/y"] == "Apache-2.0"
