@@ -12,7 +12,7 @@ its best passage makes up most of its text; then it
 also holds for its directory and those below. Any other file without a licence of its own inherits from the nearest ancestor directory
 that has a licence file.
 
-Templates are a parameter, held in every task; more than ``MAX_TEMPLATE_WORDS`` of their words are joined by a shuffle instead.
+Templates (by default ``TEMPLATES`` and ``license_texts``) are a parameter, held in every task; more than ``MAX_TEMPLATE_WORDS`` of their words are joined by a shuffle instead.
 Nulls: a null text has no passage, a null path is in no directory. Ties go to the template, or licence file, of the smallest name. Rows
 that repeat give one result each. No rows from an empty table. Other columns of files are not read.
 """
@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import license_texts
 from .common import LOWER, UPPER, cut
 
 # Short notices as licensors word them, by SPDX id.
@@ -54,6 +55,7 @@ HINT = CUE + r"|permission|redistribut|warrant|unencumbered"
 PARAGRAPHS = r"\n(?:[^\p{L}\p{N}\n]*+\n)++"
 COMMENTS = r"(?m)(?:^[ \t]*+(?:#|//|/\*|\*|--|;|%|<!--)[^\n]*+(?:\n|\z))++"
 WORDS = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
+COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[^\n]*?(?:\(c\)|©|[0-9]{4}|<year>|\[y+\])|\(c\)|©)[^\n]*?(?=all rights reserved|$)"
 RESERVED = "Proprietary"
 MIN_PERCENT, FILE_PERCENT, MAX_TEMPLATE_WORDS = 60, 50, 100_000
 UNIT = 1_000_000
@@ -64,7 +66,9 @@ def low(text: Column) -> Column:
 
 
 def bag(text: Column) -> Column:
-    return F.regexp_extract_all(low(text), F.lit(WORDS), F.lit(0))
+    """Words, without copyright lines (but for a reservation of rights at their end); an id's 2.0+ is 2.0-or-later."""
+    plain = F.regexp_replace(low(text), COPYRIGHT, "")
+    return F.regexp_extract_all(F.regexp_replace(plain, r"(gpl-[0-9.]+)\+", "$1-or-later"), F.lit(WORDS), F.lit(0))
 
 
 def template_words(templates: DataFrame) -> DataFrame:
@@ -92,8 +96,8 @@ def ancestors(folder: Column) -> Column:
 
 
 def default_templates(files: DataFrame) -> DataFrame:
-    rows = [(k, name, text) for k, (name, text) in enumerate(TEMPLATES)]
-    values = ", ".join("({}L, '{}', '{}')".format(k, a, b.replace("'", "\\'")) for k, a, b in rows)
+    rows = [(k, name, text) for k, (name, text) in enumerate([*TEMPLATES, *license_texts.templates()])]
+    values = ", ".join("({}L, '{}', '{}')".format(k, a, b.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")) for k, a, b in rows)
     return files.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(number, license, text)")
 
 

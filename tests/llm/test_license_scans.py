@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import pkgutil
+
 from edge_cases import ROWS, documents
 from pyspark.sql import functions as F
 
-from stratalith.llm import license_scans
+from stratalith.llm import license_scans, license_texts
 from stratalith.llm.license_scans import TEMPLATES, ancestors, directory, scan
 
 MIT, APACHE, GPL = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3."
@@ -75,3 +77,21 @@ def test_passages_decide_alone(spark):
 def test_long_runs_take_no_stack(spark):
     rows = [("a/x.py", "# license\n" * 50_000), ("b/LICENSE", "a-1." * 50_000 + "license"), ("c/y", "\n-- \n" * 50_000 + APACHE)]
     assert {r.path: r.license for r in scan(files(spark, rows)).collect()}["c/y"] == "Apache-2.0"
+
+
+def test_real_headers(spark):
+    """Headers, SPDX lines and full texts as projects have them, not as the templates word them."""
+    gpl = "{0} This program is free software; you can redistribute it and/or modify\n{0} it under the terms of the GNU General Public License as published by\n{0} the Free Software Foundation; either version {1} of the License, or\n{0} (at your option) any later version.\n{0}\n{0} This program is distributed in the hope that it will be useful,\n{0} but WITHOUT ANY WARRANTY; without even the implied warranty of\n{0} MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\n{0} GNU General Public License for more details.\n"
+    apache = '// Copyright 2015 The Authors. All rights reserved.\n//\n// Licensed under the Apache License, Version 2.0 (the "License");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0\n//\n// Unless required by applicable law or agreed to in writing, software\n// distributed under the License is distributed on an "AS IS" BASIS,\n// WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.\n// See the License for the specific language governing permissions and\n// limitations under the License.\n'
+    bodies = {k: pkgutil.get_data("stratalith.llm", f"licenses/{k}.txt").decode() for k in license_texts.FULL}
+    named = {k: v.replace("<year>", "2019").replace("<holder>", "Jane Doe and others <jane@example.org>") for k, v in bodies.items()}
+    code = "import os\n" * 80
+    rows = [(f"{k}/LICENSE", v, k) for k, v in named.items()]
+    rows += [(f"{k}.c", "/*\n" + "".join(f" * {x}\n" for x in named[k].splitlines()) + " */\n" + code, k) for k in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause")]
+    rows += [(f"{k}.py", f"# SPDX-License-Identifier: {k}\n" + code, k) for k in license_texts.IDS]
+    rows += [("old.h", "/* SPDX-License-Identifier: GPL-2.0 */\n" + code, "GPL-2.0-only"), ("plus.h", "// SPDX-License-Identifier: GPL-2.0+\n" + code, "GPL-2.0-or-later")]
+    rows += [("g3.py", gpl.format("#", 3) + code, "GPL-3.0-or-later"), ("g2.c", gpl.format(" *", 2) + code, "GPL-2.0-or-later"), ("a.go", apache + code, "Apache-2.0")]
+    rows += [("m.py", "# Copyright (c) 2020 Jane Doe\n# Released under the MIT License.\n" + code, "MIT"), ("p.py", "# Copyright (c) 2020 Acme. All rights reserved.\n" + code, "Proprietary"), ("n.py", "# Copyright (c) 2020 Acme\n" + code, None), ("u.py", "# SPDX-License-Identifier: Foo-1.0\n" + code, None)]
+    want = {f"r{k}/{p}": w for k, (p, _, w) in enumerate(rows)}
+    got = {r.path: r.license for r in scan(files(spark, [(f"r{k}/{p}", t) for k, (p, t, _) in enumerate(rows)])).collect()}
+    assert {p: got[p] for p in got if got[p] != want[p]} == {}
