@@ -17,6 +17,7 @@ capture. A group whose ids are all null has a response for each row. Without row
 from __future__ import annotations
 
 import gzip
+import hashlib
 import io
 from collections.abc import Iterable, Iterator
 
@@ -103,23 +104,25 @@ def parse_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], b
         yield headers, block
 
 
-RECORD = ("record_id", "kind", "concurrent_to", "url", "payload_digest", "refers_to", "content_length", "fields", "payload_bytes", "payload")
-SCHEMA = "record_id string, kind string, concurrent_to string, url string, payload_digest string, refers_to string, content_length long, fields string, payload_bytes long, payload binary"
-TYPES = (*[pa.string()] * 6, pa.int64(), pa.string(), pa.int64(), pa.binary())
+RECORD = ("record_id", "kind", "concurrent_to", "url", "payload_digest", "refers_to", "content_length", "fields", "payload_bytes", "digest", "payload")
+SCHEMA = "record_id string, kind string, concurrent_to string, url string, payload_digest string, refers_to string, content_length long, fields string, payload_bytes long, digest string, payload binary"
+TYPES = (*[pa.string()] * 6, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary())
 
 
 def _row(headers: dict[str, str], block: bytes, payload: bool) -> tuple:
-    kind, fields, n, body = headers.get("warc-type"), None, None, None
+    kind, fields, n, digest, body = headers.get("warc-type"), None, None, None, None
     if kind in ("response", "revisit"):
         head, _, content = block.partition(b"\r\n\r\n")
         n = len(content)
         if kind == "revisit":
             named = [x.split(b":", 1)[1] for x in head.split(b"\r\n") if x.lower().startswith(b"content-length:")]
             n = int(named[0]) if named else None
+        else:
+            digest = "sha256:" + hashlib.sha256(content).hexdigest()
         body = content if payload and kind == "response" else None
     elif kind == "metadata":
         fields = block.decode("utf-8", "replace")
-    return (headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest"), headers.get("warc-refers-to"), len(block), fields, n, body)
+    return (headers.get("warc-record-id"), kind, headers.get("warc-concurrent-to"), headers.get("warc-target-uri"), headers.get("warc-payload-digest"), headers.get("warc-refers-to"), len(block), fields, n, digest, body)
 
 
 def _emit(stream: io.BufferedIOBase, payload: bool) -> Iterator[pa.RecordBatch]:
@@ -172,12 +175,20 @@ def _field(name: str) -> Column:
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response (or revisit), its request and its metadata, joined by the ids they name."""
+    """One nested row per capture: response (or revisit), its request and its metadata, joined by the ids they name.
+
+    payload_digest is that of the payload as read, a revisit's that of the response it refers to (null if that is not there);
+    digest_agrees says whether it is the one in the record's header.
+    """
     main = records.filter("kind IN ('response', 'revisit')").dropDuplicates(["record_id"])
     side = records.filter("concurrent_to IS NOT NULL").dropDuplicates(["record_id"])
     requests = side.filter("kind = 'request'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct(F.col("record_id").alias("id"), "url")).alias("request"))
     metas = side.filter("kind = 'metadata'").groupBy(F.col("concurrent_to").alias("record_id")).agg(F.min(F.struct(F.col("record_id").alias("id"), "fields")).alias("metadata"))
-    response = F.struct(F.col("record_id").alias("id"), "kind", "url", "payload_digest", "refers_to", "payload_bytes", "payload").alias("response")
+    read = records.filter("kind = 'response'").groupBy(F.col("record_id").alias("refers_to")).agg(F.min("digest").alias("referred"))
+    # a response refers to nothing; its null key is replaced, so that responses are dealt evenly
+    main = main.withColumn("refers", F.coalesce("refers_to", "record_id")).join(read.withColumnRenamed("refers_to", "refers"), "refers", "left")
+    digest = F.coalesce("digest", "referred")
+    response = F.struct(F.col("record_id").alias("id"), "kind", "url", digest.alias("payload_digest"), digest.eqNullSafe(F.col("payload_digest")).alias("digest_agrees"), "refers_to", "payload_bytes", "payload").alias("response")
     return main.select("record_id", response).join(requests, "record_id", "left").join(metas, "record_id", "left").drop("record_id")
 
 

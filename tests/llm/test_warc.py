@@ -91,3 +91,18 @@ def test_foreign_records_and_errors(spark, tmp_path):
         with pytest.raises(ValueError):
             list(warc.parse_records(io.BytesIO(bad)))
     assert Path(tmp_path / "in").exists()
+
+
+def test_altered_payload_shows(spark, tmp_path):
+    """The digest is that of the payload as read, for its revisits too, whatever the headers say."""
+    folder = tmp_path / "w"
+    warc.write_archives(pages(spark, [(1, "u", BIG), (2, "v", BIG), (3, "w", "sound")]).coalesce(1), str(folder))
+    altered = BIG.replace("x", "y")
+    for path in folder.glob("*.gz"):
+        data = gzip.decompress(path.read_bytes()).replace(BIG.encode(), altered.encode())
+        (folder / f".{path.name}.crc").unlink(missing_ok=True)
+        path.write_bytes(gzip.compress(data))
+    rows = warc.assemble(warc.read_records(spark, str(folder), False)).collect()
+    got = {r.response.url: (r.response.payload_digest, r.response.digest_agrees) for r in rows}
+    wrong, right = (f"sha256:{hashlib.sha256(x.encode()).hexdigest()}" for x in (altered, "sound"))
+    assert got == {"u": (wrong, False), "v": (wrong, False), "w": (right, True)}
