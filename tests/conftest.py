@@ -1,4 +1,4 @@
-"""One local session for all tests; the repository's root is importable, for workers too."""
+"""One local session for all tests; the repository's root is importable, for workers too, and so are the helpers beside this file."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pathlib import Path
 import pytest
 
 ROOT = str(Path(__file__).resolve().parents[1])
-sys.path.insert(0, ROOT)
+sys.path[:0] = [ROOT, str(Path(__file__).resolve().parent)]
 os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -36,25 +36,3 @@ def duck(sf_dir):
     for name in "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split():
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf_dir}/{name}.parquet'")
     return con
-
-
-def rows_of(frame) -> list[tuple]:
-    """Rows with columns in order of their names, sorted; lists as tuples, NaN as None."""
-    import numpy as np
-    import pandas as pd
-
-    def plain(x):
-        if isinstance(x, list | tuple | np.ndarray):
-            return tuple(plain(y) for y in x)
-        if hasattr(x, "item"):
-            x = x.item()
-        return None if x is None or x is pd.NA or x != x else x
-
-    names = sorted(frame.columns)
-    return sorted((tuple(plain(x) for x in r) for r in frame[names].astype(object).itertuples(index=False)), key=repr)
-
-
-def same_as_sql(spark, duck, sf_dir: str, query, sql: str) -> None:
-    ours, theirs = query(spark, sf_dir).toPandas(), duck.sql(sql).df()
-    assert sorted(ours.columns) == sorted(theirs.columns)
-    assert rows_of(ours) == rows_of(theirs)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import same_as_sql
+from sql_compare import same_as_sql
 
 from stratalith.oracles import ORACLES
 from stratalith.registry import QUERIES
