@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,10 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set and all run in one process."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="shared-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
@@ -95,6 +98,37 @@ def hashed(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.hash(text).alias("h2")]
 
 
+def hashed_lines(docs: DataFrame, least: int, *more: Column) -> DataFrame:
+    """The columns named in more, th (the text's hash) and, line by line, h1, h2 (hashes of the keys) and n (their lengths; -1 below least): texts are cut and hashed here only.
+
+    Kept as a table, of 16 bytes a line: what counts keys and what looks for them read it instead of the texts.
+    """
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
+    keys = F.transform(lines, lambda k: F.struct(*hashed(k), F.when(F.length(k) >= least, F.length(k)).otherwise(-1).alias("n")))
+    each = docs.select(*more, F.xxhash64("text").alias("th"), keys.alias("k"))
+    return cut(each.select(*(c for c in each.columns if c != "k"), F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.col("k.n").alias("n")))
+
+
+def keys_once(lines: DataFrame, *more: str) -> DataFrame:
+    """h1, h2 of each row's distinct keys, for hashed_lines."""
+    zipped = F.filter(F.arrays_zip("h1", "h2", "n"), lambda k: k["n"] >= 0)
+    return lines.select(*more, F.inline(F.array_distinct(F.transform(zipped, lambda k: F.struct(k["h1"], k["h2"])))))
+
+
+def keys_placed(lines: DataFrame, *more: str) -> DataFrame:
+    """pos, h1, h2, n for each line that has a key, for hashed_lines."""
+    placed = lines.select(*more, F.posexplode(F.arrays_zip("h1", "h2", "n")).alias("pos", "k")).filter("k.n >= 0")
+    return placed.select(*more, "pos", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.col("k.n").cast("long").alias("n"))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with underscores after it until none of the taken ones is equal to it."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def same(left: DataFrame, right: DataFrame, *names: str) -> Column:
     """Null-safe equality of the named columns; nulls equal each other."""
     out = F.lit(True)

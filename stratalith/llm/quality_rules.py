@@ -7,7 +7,9 @@ so that of a group of copies one stays whole. A document is depleted, and reject
 characters of its keys are left.
 
 Nulls: a null text is empty, has no words and fails; null hosts are one host; null ids are one id. Rows that repeat an id
-count once for a line; each gives its own result row. An empty table gives no rows. Of extra columns, none is read or returned.
+count once for a line; each gives its own result row, with what it loses itself, and so do wholly repeated rows. An empty table
+gives no rows. score() reads doc_id, source and text only; clean() keeps all columns, whatever their names. Very long texts: a
+row holds its words' and windows' ranks, about 40 bytes a word, and 16 bytes for each line.
 """
 
 from __future__ import annotations
@@ -16,11 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hashed, ids_unique, line_key, same, tidy
+from .common import cut, hashed_lines, ids_unique, keys_once, keys_placed, line_key, same, tidy
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -83,32 +85,46 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text", F.xxhash64("text").alias("th"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
 
 
-def _lines(docs: DataFrame, distinct: bool) -> DataFrame:
-    """A row for each line with a key: its hash and length; distinct: for each key of a row once, without the length."""
-    keys = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key), lambda k: F.length(k) > 0)
-    if distinct:
-        return docs.select("doc_id", "source", F.inline(F.array_distinct(F.transform(keys, lambda k: F.struct(*hashed(k))))))
-    return docs.select("doc_id", "source", "th", F.inline(F.transform(keys, lambda k: F.struct(*hashed(k), F.length(k).cast("long").alias("n")))))
+def _above(lines: DataFrame, docs: DataFrame, min_docs: int, max_percent: int) -> DataFrame:
+    """source, h1, h2, first: the keys above the limits and the smallest id that has each."""
+    count = F.count("*") if ids_unique(docs, "doc_id") else F.count_distinct(F.struct("doc_id"))
+    often = keys_once(lines, "doc_id", "source").groupBy("source", "h1", "h2").agg(count.alias("c"), F.min("doc_id").alias("first")).filter(F.col("c") > min_docs)
+    hosts = docs.groupBy("source").agg(F.count("*").alias("n_host"))
+    return often.join(hosts, same(often, hosts, "source")).filter(F.col("c") * 100 > F.col("n_host") * max_percent).select(often["source"], "h1", "h2", "first")
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    return hashed_lines(docs, 1, "doc_id", "source")
 
 
 def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT) -> DataFrame:
     """source, h1, h2, first: the keys above the limits and the smallest id that has each."""
-    docs = _keyed(docs).drop("th")
-    count = F.count("*") if ids_unique(docs, "doc_id") else F.count_distinct(F.struct("doc_id"))
-    often = _lines(docs, True).groupBy("source", "h1", "h2").agg(count.alias("n"), F.min("doc_id").alias("first")).filter(F.col("n") > min_docs)
-    hosts = docs.groupBy("source").agg(F.count("*").alias("n_host"))
-    return often.join(hosts, same(often, hosts, "source")).filter(F.col("n") * 100 > F.col("n_host") * max_percent).select(often["source"], "h1", "h2", "first")
+    docs = _keyed(docs)
+    return _above(_lines(docs), docs, min_docs, max_percent)
 
 
 def _lost(docs: DataFrame, min_docs: int, max_percent: int) -> DataFrame:
-    """_id, _source, _row (the text's hash), removed, hs: characters and hashes of the keys that a row loses; rows that lose none are not there."""
-    lines, gone = _lines(_keyed(docs), False), removed_lines(docs, min_docs, max_percent)
-    hit = lines.join(gone, same(lines, gone, "source", "h1", "h2") & ~lines["doc_id"].eqNullSafe(gone["first"]))
-    hit = hit.select(lines["doc_id"].alias("_id"), lines["source"].alias("_source"), lines["th"].alias("_row"), lines["h1"], "n")
-    return hit.groupBy("_id", "_source", "_row").agg(F.sum("n").alias("removed"), F.collect_set("h1").alias("hs"))
+    """lost_id, lost_source, lost_th (the text's hash), removed, hs: characters and hashes of the keys that a row loses; rows that lose none are not there.
+
+    Equal rows lose the same lines, each in the same place: as a set of places they count once.
+    """
+    docs = _keyed(docs)
+    lines = _lines(docs)
+    # as a table of its own it is dealt anew for the join below, whose hot keys can then be split
+    gone = cut(_above(lines, docs, min_docs, max_percent))
+    own = keys_placed(lines, "doc_id", "source", "th")
+    hit = own.join(gone, same(own, gone, "source", "h1", "h2") & ~own["doc_id"].eqNullSafe(gone["first"]))
+    hit = hit.select(own["doc_id"].alias("lost_id"), own["source"].alias("lost_source"), own["th"].alias("lost_th"), F.struct("pos", own["h1"], own["n"]).alias("line"))
+    hit = hit.groupBy("lost_id", "lost_source", "lost_th").agg(F.collect_set("line").alias("ls"))
+    removed = F.aggregate("ls", F.lit(0).cast("long"), lambda x, y: x + y["n"])
+    return hit.select("lost_id", "lost_source", "lost_th", removed.alias("removed"), F.array_distinct("ls.h1").alias("hs"))
+
+
+def _at(id_: Column, source: Column, th: Column) -> Column:
+    return id_.eqNullSafe(F.col("lost_id")) & source.eqNullSafe(F.col("lost_source")) & th.eqNullSafe(F.col("lost_th"))
 
 
 def _failed(words: str, repeated: str):
@@ -117,30 +133,34 @@ def _failed(words: str, repeated: str):
 
 def score(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """doc_id, source, the features, base_failed, removed_chars, depleted, kept, for each row of docs (doc_id, text, source). Texts are not shuffled."""
-    base, lost = _keyed(docs).mapInArrow(tidy(_features), SCHEMA), _lost(docs, min_docs, max_percent).drop("hs")
-    at = base["doc_id"].eqNullSafe(lost["_id"]) & base["source"].eqNullSafe(lost["_source"]) & base["th"].eqNullSafe(lost["_row"])
-    out = base.join(lost, at, "left").select("doc_id", "source", *FEATURES, _failed("n_words", "n_repeat_words").alias("base_failed"), F.coalesce("removed", F.lit(0)).alias("removed_chars"))
+    base = _keyed(docs).withColumn("th", F.xxhash64("text")).mapInArrow(tidy(_features), SCHEMA)
+    lost = _lost(docs, min_docs, max_percent).drop("hs")
+    out = base.join(lost, _at(base["doc_id"], base["source"], base["th"]), "left").select("doc_id", "source", *FEATURES, _failed("n_words", "n_repeat_words").alias("base_failed"), F.coalesce("removed", F.lit(0)).alias("removed_chars"))
     depleted = (F.col("line_chars") - F.col("removed_chars")) * 100 < F.col("line_chars") * min_kept_percent
     return out.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~depleted)
 
 
 def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """The kept rows of docs, with all their columns, less the lines above the limits; n_chars, if there, follows the text."""
-    names = docs.columns
+    whole = docs.schema.fields
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [text_features(t.as_py()) for t in b.column("text")]
+            rows = [text_features(t.as_py()) for t in b.column("row").field("text")]
             cols = [pa.array([r[k] for r in rows], pa.int64()) for k in (0, 4, 5)]
-            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "_words", "_repeated", "_keyed"])
-
-    rows = docs.withColumn("_th", F.xxhash64("text"))
-    scored = rows.mapInArrow(tidy(each), T.StructType([*rows.schema.fields, *(T.StructField(x, T.LongType()) for x in ("_words", "_repeated", "_keyed"))]))
-    lost = _lost(docs, min_docs, max_percent).select("_id", "_source", "_row", F.col("removed").alias("_removed"), F.col("hs").alias("_hs"))
-    at = scored["doc_id"].eqNullSafe(lost["_id"]) & scored["source"].eqNullSafe(lost["_source"]) & scored["_th"].eqNullSafe(lost["_row"])
-    both = scored.filter(~_failed("_words", "_repeated")).join(lost.hint("shuffle_hash"), at, "left")
-    left = F.col("_keyed") - F.coalesce("_removed", F.lit(0))
-    rest = F.array_join(F.filter(F.split("text", "\n", -1), lambda x: ~F.array_contains("_hs", F.xxhash64(line_key(x)))), "\n")
-    kept = both.filter(left * 100 >= F.col("_keyed") * min_kept_percent).withColumn("text", F.when(F.col("_hs").isNull(), F.col("text")).otherwise(rest))
-    n = {"n_chars": F.when(F.col("_hs").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))} if "n_chars" in names else {}
-    return kept.select(*(n.get(c, F.col(c)).alias(c) for c in names))
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, "n_words", "n_repeated", "n_keyed"])
+
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("th"))
+    scored = rows.mapInArrow(tidy(each), T.StructType([*rows.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_words", "n_repeated", "n_keyed"))]))
+    lost = _lost(docs, min_docs, max_percent)
+    at = _at(F.col("row.doc_id").cast("long"), F.col("row.source").cast("string"), F.col("th"))
+    both = scored.filter(~_failed("n_words", "n_repeated")).join(lost.hint("shuffle_hash"), at, "left")
+    left = F.col("n_keyed") - F.coalesce("removed", F.lit(0))
+    rest = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x: ~F.array_contains("hs", F.xxhash64(line_key(x)))), "\n")
+    text = F.when(F.col("hs").isNull(), F.col("row.text")).otherwise(rest)
+    kept = both.filter(left * 100 >= F.col("n_keyed") * min_kept_percent).select("row", "hs", text.alias("rest"))
+    new = {"text": F.col("rest")}
+    for f in whole:
+        if f.name == "n_chars":
+            new["n_chars"] = F.when(F.col("hs").isNull(), F.col("row.n_chars")).otherwise(F.length("rest").cast(f.dataType))
+    return kept.select(*(new.get(f.name, F.col("row")[f.name]).alias(f.name) for f in whole))

@@ -20,7 +20,7 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use themselves.
-CLASHES = "th row n n_words kept h1 h2 n_lines n_dropped kept_text hs removed first label key id block items spans members fill sequence_id n_host".split()
+CLASHES = "th row n n_words kept h1 h2 n_lines n_dropped kept_text removed first label key id block items spans members fill sequence_id n_host pos c ls hs lost lost_id lost_th n_keyed n_repeated rest doc lines url digest n_items contaminated _id _lost _own _th text_ component_id N_SHINGLES".split()
 
 
 def documents(spark, rows=ROWS, clashes=True):
