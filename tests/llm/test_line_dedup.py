@@ -3,11 +3,11 @@ from __future__ import annotations
 import hashlib
 from collections import defaultdict
 
-from edge_cases import ROWS, documents
+from edge_cases import CLASHES, ROWS, documents
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from stratalith.llm.line_dedup import dedup_lines
+from stratalith.llm.line_dedup import clean, dedup_lines
 
 BLANKS = " \t\n\v\f\r"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -44,8 +44,25 @@ def test_brute_force(spark, rows, min_docs, min_chars):
 
 def test_edges(spark):
     assert got(spark, ROWS, min_docs=2) == plain(ROWS, 1, 2)
-    out = dedup_lines(documents(spark).drop("n_lines", "n_dropped", "kept_text"), min_docs=2)
-    assert out.count() == len(ROWS) and {r.th for r in out.collect()} == {"clash"}
+    out = dedup_lines(documents(spark), min_docs=2)
+    assert out.columns == [*documents(spark).columns, "n_lines_", "n_dropped_", "kept_text_"]
+    rows = out.collect()
+    assert {tuple(r[c] for c in CLASHES) for r in rows} == {("clash",) * len(CLASHES)}
+    assert sorted(((r.doc_id, r.n_lines_, r.n_dropped_, r.kept_text_) for r in rows), key=repr) == plain(ROWS, 1, 2)
+
+
+def test_clean(spark):
+    docs = documents(spark)
+    out = clean(docs, min_docs=2)
+    assert out.schema == docs.schema
+    rows = out.collect()
+    assert {tuple(r[c] for c in CLASHES) for r in rows} == {("clash",) * len(CLASHES)}
+    lost = [(i, d, t) for i, _, d, t in plain(ROWS, 1, 2)]
+    assert sorted(((r.doc_id, r.text or "") for r in rows), key=repr) == sorted(((i, t) for i, _, t in lost), key=repr)
+    assert any(r.text is None for r in rows) and all(r.n_chars == len(r.text) for r in rows if r.doc_id == 1)
+
+
+def test_no_rows(spark):
     assert got(spark, []) == []
 
 
