@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import re
 
 import pytest
@@ -7,7 +8,7 @@ from edge_cases import ROWS, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratalith.llm.decontamination import Scanner, clean, original_spans, scan
+from stratalith.llm.decontamination import Automaton, Scanner, clean, original_spans, scan
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -74,9 +75,34 @@ def test_empty(spark):
     assert clean(documents(spark), bench(spark, [])).count() == len(ROWS)
 
 
-def test_size_is_checked(spark, monkeypatch):
-    from stratalith.llm import decontamination
-
-    monkeypatch.setattr(decontamination, "MAX_BENCHMARK_BYTES", 10)
-    with pytest.raises(ValueError, match="more than 10"):
-        scan(documents(spark), bench(spark, ITEMS))
+def test_saved_and_mapped(tmp_path):
+    """An automaton read from its file finds what the one in memory does, in pieces and across their edges."""
+    rng = random.Random(3)
+    vocabulary = [f"v{k}" for k in range(40)] + ["ä", "7"]
+    items = [(k, " ".join(rng.choices(vocabulary, k=rng.randrange(0, 30)))) for k in range(60)]
+    texts = [" ".join(rng.choices([*vocabulary, "other"], k=rng.randrange(0, 900))) for _ in range(20)]
+    texts += [" ".join(rng.choices(vocabulary, k=p)) + " " + items[1][1] + " tail" for p in range(115, 135)]
+    built = Automaton.of(items, 3)
+    built.save(str(tmp_path / "a"))
+    for scanner in (Scanner(automata=[built]), Scanner(automata=[Automaton.load(str(tmp_path / "a"))])):
+        for t, (n, hit, found) in zip(texts, scanner.scan_all(texts), strict=True):
+            assert (n, set(hit.nonzero()[0].tolist()), found) == plain(t, items, 3)
+
+
+def test_several_automata_in_one_pass(spark):
+    """Items beyond max_words are dealt to more automata; texts are read once whatever their number is."""
+    rows = [*ROWS, (20, "x ALPHA, beta gamma delta: epsilon zeta eta theta y short item", None, None, None)]
+    one, many = (scan(documents(spark, rows), bench(spark, ITEMS), max_words=m) for m in (1_000, 3))
+    assert sorted(map(repr, one.collect())) == sorted(map(repr, many.collect()))
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+
+
+def test_many_items():
+    """A large suite in one automaton: its size is a fixed number of bytes a word."""
+    rng = random.Random(1)
+    items = [(k, " ".join(f"w{rng.randrange(30_000)}" for _ in range(100))) for k in range(2_000)]
+    made = Automaton.of(items, 8)
+    assert sum(getattr(made, x).nbytes for x in Automaton.ARRAYS) < 200 * 200_000
+    text = "a b " + " ".join(items[77][1].split()[20:60]) + " c " + items[1999][1]
+    n, hit, found = Scanner(automata=[made]).scan(text)
+    assert (n, int(hit.sum()), found) == (143, 140, {77, 1999})
