@@ -28,6 +28,31 @@ def test_same_as_library(library, text):
     assert merger(PATH).counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
 
 
+long = st.sampled_from(["abcdefghijklmnopqrstuvwxyz", "etaoin", "a", "ab", "日本語の文字", "=-", " ", "0123", "аеиоу", "ÿ\u0301"])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(long, st.integers(1, 400)), min_size=1, max_size=12), st.randoms(use_true_random=False))
+def test_long_pretokens(library, parts, rng):
+    """Long sequences take another route, to the same symbols: by round, and by the library."""
+    text = "".join("".join(rng.choices(letters, k=n)) for letters, n in parts)
+    m = merger(PATH)
+    assert m.counts([text]) == [len(library.encode(text, add_special_tokens=False).ids)]
+    raw = text.encode()
+    assert m.linked(raw) == m.survivors([raw])[0]
+
+
+def test_time_is_linear(library):
+    import random
+    import string
+    import time
+
+    text = "".join(random.Random(1).choices(string.ascii_lowercase, k=300_000))
+    begin = time.perf_counter()
+    assert merger(PATH).counts([text]) == [len(library.encode(text).ids)]
+    assert time.perf_counter() - begin < 20  # whole-sequence rounds took minutes
+
+
 def test_forgetting(library, monkeypatch):
     monkeypatch.setattr(token_counts, "REMEMBERED", 5)
     m = token_counts.RankMerger(PATH)
