@@ -44,6 +44,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_parts(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Shuffle partitions: the session's, or more if df's size asks for them."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

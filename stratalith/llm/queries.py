@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_formatting, decontamination, license_scans, line_dedup, ngram_join, packing, quality_rules, secret_scans, token_counts, warc
-from .common import new_folder, table
+from .common import new_folder, remove, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -42,7 +42,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.captures(table(spark, sf_dir, "pages"), new_folder(spark, "warc"), payload=False)
+    folder = new_folder(spark, "warc")
+    found = warc.captures(table(spark, sf_dir, "pages"), folder, payload=False)
+    remove(spark, folder)  # what was read stands in a table
     digest = F.regexp_replace("response.payload_digest", "^sha256:", "")
     return found.select("page_id", F.col("response.payload_bytes").alias("payload_bytes"), digest.alias("payload_digest"), F.col("response.kind").alias("record_type"), "refers_to")
 

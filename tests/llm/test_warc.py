@@ -27,12 +27,12 @@ def plain(rows):
     for i, _, html in rows:
         if len((html or "").encode()) >= 100 and i is not None:
             first[html] = min(first.get(html, i), i)
-    out = set()
+    out = []
     for i, url, html in rows:
         data = (html or "").encode()
         f = first.get(html) if len(data) >= 100 else None
         revisit = f is not None and (i is None or i > f)
-        out.add((i, url, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", f if revisit else None))
+        out.append((i, url, len(data), hashlib.sha256(data).hexdigest(), "revisit" if revisit else "response", f if revisit else None))
     return sorted(((a, *rest) for a, _, *rest in out), key=repr)
 
 
@@ -42,11 +42,16 @@ ROWS = [
 ]
 
 
-@pytest.mark.parametrize("whole_mb", [64, 0])
-def test_round_trip(spark, tmp_path, whole_mb):
+@pytest.mark.parametrize("gz", [True, False])
+def test_round_trip(spark, tmp_path, gz):
     folder = str(tmp_path / "w")
     warc.write_archives(pages(spark, ROWS).repartition(3), folder)
-    rows = warc.assemble(warc.read_records(spark, folder, True, whole_mb)).collect()
+    if not gz:
+        for path in (tmp_path / "w").glob("*.gz"):
+            path.with_suffix("").write_bytes(gzip.decompress(path.read_bytes()))
+            path.unlink()
+    rows = warc.assemble(warc.read_records(spark, folder)).collect()
+    assert len(rows) == len(ROWS)
     bodies = {bytes(r.response.payload) for r in rows if r.response.kind == "response"}
     assert bodies == {(h or "").encode() for _, _, h in ROWS}
     for r in rows:
@@ -62,6 +67,27 @@ def test_contract(spark, tmp_path):
     assert result(warc.captures(pages(spark, nulls), str(tmp_path / "b"))) == plain(nulls)
 
 
+def test_repeated_rows(spark, tmp_path):
+    """Each row has records of its own, equal ones too; a revisit refers to one of the responses of the smallest page."""
+    rows = [(2, "u", BIG)] * 3 + [(1, "v", BIG)] * 2 + [(1, "w", BIG), (7, "u", "small"), (7, "u", "small")]
+    got = warc.captures(pages(spark, rows).repartition(4), str(tmp_path / "a")).collect()
+    assert sorted((r.page_id, r.response.kind, r.refers_to) for r in got if r.page_id == 2) == [(2, "revisit", 1)] * 3
+    assert [r.response.kind for r in got if r.page_id != 2] == ["response"] * 5
+    assert len({r.response.id for r in got}) == len({r.request.id for r in got}) == len({r.metadata.id for r in got}) == len(rows)
+    assert {r.response.refers_to for r in got if r.page_id == 2} <= {r.response.id for r in got if r.page_id == 1}
+
+
+def test_archive_larger_than_its_chunks(spark, tmp_path):
+    """One archive through many Arrow batches, members of its own for each record, lines of any bytes and no line feed at its end."""
+    blocks = [bytes(range(256)) * 40, b"\r\n\r\n" * 500, b"", b"\n" * 30_000, "\u0085\u2028é".encode() * 999, b"\xff\xfe no line end"]
+    record = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <%d>\r\nContent-Length: %d\r\n\r\nHTTP/1.1 200\r\n\r\n%b"
+    raw = [record % (k, 16 + len(b), b) for k, b in enumerate(blocks)]
+    (tmp_path / "x.warc.gz").write_bytes(b"".join(gzip.compress(r + (b"\r\n\r\n" if k < 5 else b"")) for k, r in enumerate(raw)))
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(record.replace(b"<%d>", b"<y%d>") % (0, 16 + 3, b"end")))
+    rows = warc.read_records(spark, str(tmp_path)).collect()
+    assert {r.record_id: bytes(r.payload) for r in rows} == {**{f"<{k}>": b for k, b in enumerate(blocks)}, "<y0>": b"end"}
+
+
 def test_clashing_columns_and_empty(spark, tmp_path):
     df = pages(spark, ROWS).selectExpr("*", "'x' AS digest", "'x' AS rid", "'x' AS first", "'x' AS n_bytes")
     assert result(warc.captures(df, str(tmp_path / "a"), payload=False)) == plain(ROWS)
