@@ -70,10 +70,30 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(length('<|turn|>' || r || '<|body|>' || body || '<|end|>' || chr(10))) AS BIGINT) AS formatted_chars,
-       CAST(sum(len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]'))) AS BIGINT) AS n_tokens
+       CAST(sum(len(regexp_extract_all(text, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]'))) AS BIGINT) AS n_words
 FROM e GROUP BY conv_id
 """
 
+ESCAPED = r"regexp_replace({}, '([<\[])(\\*)" + CONTROL + r"', '\1\\\2\3', 'g')"
+WORDS_AND_MARKS = r"len(regexp_extract_all({}, '[\p{{L}}\p{{M}}]+|\p{{N}}|[^\s\p{{L}}\p{{M}}\p{{N}}]'))"
+CHAT_PARTS = rf"""
+WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, turn % 2 = 0 AS many FROM conversations),
+o AS (SELECT *, row_number() OVER w AS pos, 3 * (sum(CASE WHEN many THEN 1 ELSE 0 END) OVER w - 1) AS k FROM m WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING)),
+a AS (SELECT *, lpad(CAST(k + 1 AS VARCHAR), 10, '0') AS k1, lpad(CAST(k + 2 AS VARCHAR), 10, '0') AS k2, lpad(CAST(k + 3 AS VARCHAR), 10, '0') AS k3,
+        CAST(ceil(100 * (turn + 1) / 336.0) * ceil(500 / 336.0) * 144 AS BIGINT) AS t1, CAST(ceil(turn * 1.5 * 25) AS BIGINT) AS t2, CAST(greatest(turn, 1) * 600 AS BIGINT) AS t3,
+        {ESCAPED.format("text")} AS body, {ESCAPED.format("role")} AS rbody, replace(replace(replace(role, '%', '%25'), '<', '%3C'), chr(10), '%0A') AS r FROM o),
+f AS (SELECT *, '<|turn|>' || r || '<|body|>' || CASE WHEN many THEN '<|text|>' || body || '<|image:' || k1 || '|><|text|>' || rbody || '<|audio:' || k2 || '|><|document:' || k3 || '|>' ELSE body END || '<|end|>' || chr(10) AS out,
+        CASE WHEN many THEN concat_ws(',', concat_ws(':', k + 1, 'image', 'i' || turn, t1), concat_ws(':', k + 2, 'audio', 'a' || turn, t2), concat_ws(':', k + 3, 'document', 'd' || turn, t3)) END AS refs,
+        CASE WHEN many THEN 'text=' || text || chr(10) || 'image=' || (k + 1) || ':i' || turn || chr(10) || 'text=' || role || chr(10) || 'audio=' || (k + 2) || ':a' || turn || chr(10) || 'document=' || (k + 3) || ':d' || turn || chr(10)
+             ELSE 'text=' || text || chr(10) END AS parts FROM a)
+SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN many THEN 3 ELSE 0 END) AS BIGINT) AS n_attachments, CAST(sum(CASE WHEN many THEN t1 + t2 + t3 ELSE 0 END) AS BIGINT) AS expanded_tokens,
+       CAST(sum({WORDS_AND_MARKS.format("text")} + CASE WHEN many THEN {WORDS_AND_MARKS.format("role")} ELSE 0 END) AS BIGINT) AS n_words,
+       CAST(length(string_agg(out, '' ORDER BY pos)) AS BIGINT) AS formatted_chars, sha256(string_agg(out, '' ORDER BY pos)) AS formatted_sha256,
+       sha256(coalesce(string_agg(refs, ',' ORDER BY pos), '')) AS refs_sha256, sha256(string_agg(parts, '' ORDER BY pos)) AS parts_sha256,
+       sha256(coalesce(string_agg(text || CASE WHEN many THEN role ELSE '' END, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256
+FROM f GROUP BY conv_id
+"""
+
 SPLIT = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')".format(ASCII_LOWER.format("coalesce(text, '')"))
 OP9 = f"""
 WITH RECURSIVE d AS (SELECT doc_id, {SPLIT} AS w FROM documents),
@@ -120,4 +140,4 @@ FROM o LEFT JOIN i USING (dir)
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op6_license_scans": op6(), "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10}
+ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op6_license_scans": op6(), "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10, "chat_typed_parts": CHAT_PARTS}

@@ -57,10 +57,31 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(
         "conv_id", "n_turns", F.sha2(turns, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"),
-        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "n_tokens",
+        F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars", "n_words",
     )
 
 
+def chat_typed_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conversations with typed parts: every second turn holds its text, an image, its role as a text, an audio and a document part."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    at, fields = "CAST(turn AS STRING)", "'type', {}, 'text', {}, 'ref', {}, 'width', {}, 'height', {}, 'seconds', {}, 'pages', {}"
+    none = "CAST(NULL AS {})".format
+    part = lambda kind, text="CAST(NULL AS STRING)", ref="CAST(NULL AS STRING)", width=none("LONG"), height=none("LONG"), seconds=none("DOUBLE"), pages=none("LONG"): f"named_struct({fields.format(repr(kind), text, ref, width, height, seconds, pages)})"
+    parts = [
+        part("text", "text"), part("image", ref=f"concat('i', {at})", width="CAST(100 * (turn + 1) AS LONG)", height="500L"), part("text", "role"),
+        part("audio", ref=f"concat('a', {at})", seconds="turn * 1.5D"), part("document", ref=f"concat('d', {at})", pages="CAST(turn AS LONG)"),
+    ]
+    rows = rows.withColumn("parts", F.expr(f"CASE WHEN turn % 2 = 0 THEN array({', '.join(parts)}) END"))
+    back = chat_formatting.read_back(chat_formatting.format_chats(rows))
+    refs = F.array_join(F.transform("attachments", lambda a: F.concat_ws(":", a["number"].cast("string"), a["type"], a["ref"], a["tokens"].cast("string"))), ",")
+    parsed = F.flatten(F.transform("turns", lambda t: F.transform(t["parts"], lambda p: F.concat(p["type"], F.lit("="), F.coalesce(p["text"], F.concat_ws(":", p["number"].cast("string"), p["ref"])), F.lit("\n")))))
+    return back.select(
+        "conv_id", "n_turns", F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens", "n_words", "formatted_chars",
+        F.sha2("formatted", 256).alias("formatted_sha256"), F.sha2(refs, 256).alias("refs_sha256"), F.sha2(F.array_join(parsed, ""), 256).alias("parts_sha256"),
+        F.sha2("loss_text", 256).alias("loss_sha256"),
+    )
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -84,4 +105,5 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "chat_typed_parts": chat_typed_parts,
 }

@@ -59,9 +59,42 @@ def test_parts(spark):
     df = spark.createDataFrame([(1, 0, "user", None, json.dumps(parts)), (1, 1, "assistant", "two words", None)], MESSAGES + ", j string")
     df = df.withColumn("parts", F.from_json("j", "array<struct<type:string,text:string,ref:string,width:long,height:long,seconds:double,pages:long>>"))
     r = format_chats(df).first()
-    assert "look <\\|<|image|><|audio|><|document|><|end|>" in r.formatted
+    assert "<|text|>look <\\|<|image:0000000001|><|audio:0000000002|><|document:0000000003|><|text|><|end|>" in r.formatted
     assert [(a.number, a.type, a.ref, a.tokens) for a in r.attachments] == [(1, "image", "a.png", 432), (2, "audio", "b.wav", 50), (3, "document", "c.pdf", 1800)]
-    assert r.n_tokens == 432 + 50 + 1800 + 3 + 2
+    assert (r.expanded_tokens, r.n_words) == (432 + 50 + 1800, 3 + 2)
+    turns = read_back(format_chats(df)).first().turns
+    assert [tuple(p) for p in turns[0].parts] == [("text", "look <|", None, None), ("image", None, 1, "a.png"), ("audio", None, 2, "b.wav"), ("document", None, 3, "c.pdf"), ("text", "", None, None)]
+
+
+piece = st.one_of(nasty.map(lambda t: ("text", t, None)), st.tuples(st.sampled_from(["image", "audio", "document"]), st.none(), st.sampled_from(["r1", "<|text|>", None])))
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from(["user", "assistant"]), st.lists(piece, min_size=1, max_size=5)), min_size=1, max_size=8), st.integers(1, 3))
+def test_parts_round_trip(spark, turns, chunk):
+    """Texts whose ends make a control string together, placeholders spelt out in texts, empty texts: all parts come back, numbered through the conversation."""
+    rows = [(7, k, role, None, [(kind, text, ref, None, None, None, None) for kind, text, ref in parts]) for k, (role, parts) in enumerate(turns)]
+    df = spark.createDataFrame(rows, MESSAGES + ", parts array<struct<type:string,text:string,ref:string,width:long,height:long,seconds:double,pages:long>>")
+    got = read_back(format_chats(df, chunk)).first()
+    n, want = 0, []
+    for _, parts in turns:
+        own = []
+        for kind, text, ref in parts:
+            n += kind != "text"
+            own.append((kind, text, None, None) if kind == "text" else (kind, None, n, ref))
+        want.append(own)
+    assert [[tuple(p) for p in t.parts] for t in got.turns] == want
+    assert [(a.number, a.type, a.ref) for a in got.attachments] == [(p[2], p[0], p[3]) for own in want for p in own if p[2]]
+    assert got.loss_text == "".join(p[1] for (role, _), own in zip(turns, want, strict=True) if role == "assistant" for p in own if p[0] == "text")
+
+
+def test_parts_that_meet(spark):
+    """Neither two texts nor a text and a mark make a control string where they meet."""
+    for a, b in (("x<", "|image:0000000000|>"), ("[", "INST]"), ("<", "/s>"), ("<", "|end|>\n")):
+        rows = [(1, 0, "user", None, [("text", a, *[None] * 5), ("text", b, *[None] * 5)])]
+        df = spark.createDataFrame(rows, MESSAGES + ", parts array<struct<type:string,text:string,ref:string,width:long,height:long,seconds:double,pages:long>>")
+        got = read_back(format_chats(df)).first()
+        assert [p.text for p in got.turns[0].parts] == [a, b] and got.n_turns == 1 and not got.attachments
 
 
 def test_clashing_columns_empty_and_native(spark):

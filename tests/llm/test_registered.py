@@ -15,7 +15,7 @@ def test_same_as_sql(spark, duck, sf_dir, name):
 
 
 def test_names():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert [n.split("_")[0] for n in QUERIES if n.startswith("op")] == [f"op{k}" for k in range(1, 11)]
     assert set(QUERIES) - set(ORACLES) == {"op2_secret_scans", "op3_best_fit_packing", "op5_token_counts"}
 
 
