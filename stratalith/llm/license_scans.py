@@ -5,7 +5,7 @@ each such line, each paragraph and each run of comment lines that speaks of lice
 files named LICENSE, COPYING, NOTICE, ... the whole text. Paragraphs are divided by lines without letters and digits. Passages and
 templates are bags of words;
 a word weighs its count times the inverse document frequency among the templates (words of none weigh as much as the rarest), in whole
-millionths, so that sums do not depend on their order. The best template by cosine, if it reaches ``min_percent``, is the passage's
+thousandths, so that sums do not depend on their order. The best template by cosine, if it reaches ``min_percent``, is the passage's
 licence; the file's own is that of its best passage: a whole text before parts, then the higher score, then the longer passage. A mere
 reservation of rights (``RESERVED``) counts only where no passage has another licence. A file is a licence file if its name says so or if
 its best passage makes up most of its text; then it
@@ -14,7 +14,8 @@ that has a licence file.
 
 Templates (by default ``TEMPLATES`` and ``license_texts``) are a parameter, held in every task; more than ``MAX_TEMPLATE_WORDS`` of their words are joined by a shuffle instead.
 Nulls: a null text has no passage, a null path is in no directory. Ties go to the template, or licence file, of the smallest name. Rows
-that repeat give one result each. No rows from an empty table. Other columns of files are not read.
+that repeat give one result each. No rows from an empty table. Other columns of files are not read. Equal passages are matched once; two are
+taken for equal if 96 bits of hashes agree. Very long texts: a file's passages are held twice at most, beside its text.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import license_texts
-from .common import LOWER, UPPER, cut
+from .common import LOWER, UPPER, cut, hashed
 
 # Short notices as licensors word them, by SPDX id.
 TEMPLATES = (
@@ -58,7 +59,6 @@ WORDS = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[^\n]*?(?:\(c\)|©|[0-9]{4}|<year>|\[y+\])|\(c\)|©)[^\n]*?(?=all rights reserved|$)"
 RESERVED = "Proprietary"
 MIN_PERCENT, FILE_PERCENT, MAX_TEMPLATE_WORDS = 60, 50, 100_000
-UNIT = 1_000_000
 
 
 def low(text: Column) -> Column:
@@ -107,7 +107,7 @@ def named(path: Column) -> Column:
 
 
 def passages() -> Column:
-    """The passages of a file (path, text): array of structs text, whole; empty for most files."""
+    """The passages of a file (path, text): array of structs text, whole, n (its length), key (hashes); empty for most files."""
     text, whole = F.coalesce(F.col("text"), F.lit("")), F.coalesce(named(F.col("path")), F.lit(False))
     cues = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("(?i)" + CUE))
     hints = F.filter(F.split(text, PARAGRAPHS, -1), lambda x: x.rlike("(?i)" + HINT))
@@ -115,7 +115,7 @@ def passages() -> Column:
     parts = F.array_distinct(F.concat(F.array(F.array_join(cues, "\n"), F.array_join(hints, "\n")), cues, hints, comments))
     parts = F.when(text.rlike("(?i)" + HINT), parts).otherwise(F.array().cast("array<string>"))
     parts = F.when(whole, F.array_union(F.array(text), parts)).otherwise(parts)
-    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(x.alias("text"), (whole & (x == text)).alias("whole")))
+    return F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.struct(x.alias("text"), (whole & (x == text)).alias("whole"), F.length(x).alias("n"), F.struct(*hashed(x)).alias("key")))
 
 
 def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int = MIN_PERCENT, file_percent: int = FILE_PERCENT) -> DataFrame:
@@ -125,8 +125,10 @@ def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int
     vocabulary = words.groupBy("word").agg(F.max("df").alias("df"))
     if words.count() <= MAX_TEMPLATE_WORDS:
         words, vocabulary = F.broadcast(words), F.broadcast(vocabulary)
+    # texts are searched once; rows get a number, as ids may repeat
+    rows = cut(files.select(F.monotonically_increasing_id().alias("row"), "file_id", "path", F.length(F.coalesce("text", F.lit(""))).alias("n_text"), passages().alias("passages")))
     # equal passages are matched once, however many files have them
-    texts = files.select(F.explode(passages()).alias("p")).select("p.text", F.xxhash64("p.text").alias("key")).groupBy("key").agg(F.min("text").alias("text"))
+    texts = rows.select(F.explode("passages").alias("p")).groupBy("p.key").agg(F.min("p.text").alias("text"))
     tf = cut(texts.select("key", F.explode(bag(F.col("text"))).alias("word")).groupBy("key", "word").agg(F.count("*").alias("tf")))
     n = templates.count()
     tf = tf.join(vocabulary, "word", "left").select("key", "word", (F.col("tf") * _idf(F.coalesce("df", F.lit(1)), n)).alias("w"))
@@ -135,11 +137,9 @@ def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int
     score = F.floor(F.col("dot") * 100.0 / F.sqrt(F.col("n2").cast("double") * F.col("norm2")) + F.lit(1e-6)).cast("long")
     best = dots.join(norms, "key").select("key", score.alias("score"), "license", "template").filter(F.col("score") >= min_percent)
     best = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "template")).alias("b")).select("key", (-F.col("b.s")).alias("score"), F.col("b.license").alias("license"))
-    # tables of their own, so that a passage of many files can be split; rows get a number, as ids may repeat
+    # a table of its own, so that a passage of many files can be split
     best = cut(best)
-    keys = F.transform(passages(), lambda p: F.struct(p["whole"].alias("whole"), F.length(p["text"]).alias("n"), F.xxhash64(p["text"]).alias("key")))
-    rows = cut(files.select(F.monotonically_increasing_id().alias("row"), "file_id", "path", F.length(F.coalesce("text", F.lit(""))).alias("n_text"), keys.alias("passages")))
-    held = rows.select("row", F.explode("passages").alias("p")).select("row", "p.*").join(best, "key")
+    held = rows.select("row", F.explode("passages").alias("p")).select("row", "p.whole", "p.n", "p.key").join(best, "key")
     order = F.struct((F.col("license") == RESERVED).alias("reserved"), (~F.col("whole")).alias("part"), (-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "license")
     own = held.groupBy("row").agg(F.min(order).alias("b")).select("row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), (-F.col("b.n")).alias("n_held"))
     owned = rows.drop("passages").join(own, "row", "left")

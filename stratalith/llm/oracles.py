@@ -5,13 +5,14 @@ BLANK = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 ASCII_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 KEY = ASCII_LOWER.format(f"trim(line, {BLANK})")
 
-OP1 = f"""
+def op1(min_docs: int, max_percent: int, min_kept_percent: int) -> str:
+    return f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 l AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line FROM d),
 k AS (SELECT doc_id, source, line, {KEY} AS k FROM l),
 f AS (SELECT source, k, count(DISTINCT doc_id) AS n, min(doc_id) AS first FROM k WHERE k <> '' GROUP BY ALL),
 h AS (SELECT source, count(*) AS n_host FROM documents GROUP BY source),
-gone AS (SELECT f.source, k, first FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE n > 20 AND n * 100 > n_host),
+gone AS (SELECT f.source, k, first FROM f JOIN h ON f.source IS NOT DISTINCT FROM h.source WHERE n > {min_docs} AND n * 100 > n_host * {max_percent}),
 per AS (
   SELECT k.doc_id, CAST(sum(length(k.k)) AS BIGINT) AS line_chars,
          CAST(coalesce(sum(length(k.k)) FILTER (g.k IS NOT NULL AND k.doc_id <> g.first), 0) AS BIGINT) AS removed_chars
@@ -24,7 +25,7 @@ b AS (
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, line_chars, removed_chars
   FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) JOIN per USING (doc_id)),
-v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (line_chars - removed_chars) * 100 < line_chars * 20 AS depleted FROM b)
+v AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, (line_chars - removed_chars) * 100 < line_chars * {min_kept_percent} AS depleted FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT depleted AS kept, line_chars, removed_chars, depleted FROM v
 """
 
@@ -120,7 +121,7 @@ df AS (SELECT word, count(*) AS df FROM ttf GROUP BY word),
 w AS (SELECT number, license, word, tf * CAST(floor(ln((SELECT count(*) + 1 FROM t) / CAST(df AS DOUBLE)) * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS weight, df FROM ttf JOIN df USING (word)),
 nt AS (SELECT number, sum(weight * weight) AS norm2 FROM w GROUP BY number),
 l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches({low("x")}, '{CUE}')) AS ls, length(coalesce(text, '')) AS n_text,
-        concat_ws('/', source, lang, CAST(doc_id AS VARCHAR)) AS path FROM documents),
+        concat_ws('/', source, CASE WHEN h[1] < '2' THEN 'LICENSE.' || doc_id WHEN h[1] < '6' THEN h[2] || '/COPYING.' || doc_id ELSE h[2] || '/' || h[3] || '/' || doc_id END) AS path FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)),
 r AS (SELECT doc_id, path, n_text, coalesce(array_to_string(ls, chr(10)), '') AS notice FROM l),
 dw AS (SELECT doc_id, unnest(regexp_extract_all({low("notice")}, '{WORD}')) AS word FROM r),
 dtf AS (SELECT doc_id, word, count(*) AS tf FROM dw GROUP BY ALL),
@@ -140,4 +141,4 @@ FROM o LEFT JOIN i USING (dir)
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": OP1, "op4_line_dedup": OP4, "op6_license_scans": op6(), "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10, "chat_typed_parts": CHAT_PARTS}
+ORACLES: dict[str, str] = {"op1_quality_rules": op1(20, 1, 20), "op4_line_dedup": OP4, "op6_license_scans": op6(), "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10, "chat_typed_parts": CHAT_PARTS, "quality_rules_tight": op1(2, 0, 90)}

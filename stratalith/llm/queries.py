@@ -15,7 +15,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = quality_rules.score(table(spark, sf_dir, "documents"))
+    return _op1(quality_rules.score(table(spark, sf_dir, "documents")))
+
+
+def quality_rules_tight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 with limits that bind on small tables too: lines of three documents go, documents that lose a tenth are depleted."""
+    return _op1(quality_rules.score(table(spark, sf_dir, "documents"), min_docs=2, max_percent=0, min_kept_percent=90))
+
+
+def _op1(scored: DataFrame) -> DataFrame:
     return scored.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "line_chars", "removed_chars", "depleted")
 
 
@@ -87,8 +95,11 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files: source is the repository, lang the directory in it."""
-    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    """documents as files: source is the repository; by the hex digits h of doc_id's MD5 they are licence files at its top (h1 of 0, 1) or in directory h2 (2 to 5), or other files in h2/h3."""
+    h, ident = F.md5(F.col("doc_id").cast("string")), F.col("doc_id").cast("string")
+    top, second = F.substring(h, 1, 1), F.substring(h, 2, 1)
+    inner = F.when(top < "2", F.concat(F.lit("LICENSE."), ident)).when(top < "6", F.concat(second, F.lit("/COPYING."), ident)).otherwise(F.concat(second, F.lit("/"), F.substring(h, 3, 1), F.lit("/"), ident))
+    path = F.concat_ws("/", "source", inner)
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
     found = license_scans.scan(files)
     return found.select(F.col("file_id").alias("doc_id"), "path", "license", "score", "origin", "license_path")
@@ -105,5 +116,6 @@ QUERIES: dict[str, Query] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "quality_rules_tight": quality_rules_tight,
     "chat_typed_parts": chat_typed_parts,
 }
