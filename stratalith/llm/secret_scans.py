@@ -1,19 +1,26 @@
 """Secret scans with structural confirmation.
 
 Base kinds are patterns: assign (a secret's name, = or :, a value of 6 characters or more), access (AKIA keys), hex (runs of 24
-digits or more). The method adds candidates that are decoded and parsed before they are reported: jwt (a signed token: header
-and payload are JSON objects, the header names its algorithm, the signature has that algorithm's length), pem (an armoured block
-whose base64 decodes to a key encoding), der (base64 or hex that decodes to one), ssh (the private format of OpenSSH, its nested
-lengths followed to the end). A DER key encoding is one SEQUENCE whose nested lengths fill their parents and whose first members
-are those of a PKCS#1, SEC 1 or PKCS#8 key. Public keys and certificates are no secrets and are not reported.
+digits or more). The method adds candidates that are decoded and parsed before they are reported:
 
-Spans are code points, end exclusive. A null text is empty. One row for each row, repeated ids too; no rows from an empty table.
+* jwt: a signed token; header and payload are JSON objects, the header names its algorithm, the signature has that algorithm's length;
+* pem: an armoured block whose base64 decodes to a key encoding, or, if its headers name a cipher, to whole blocks of that cipher; line
+  breaks may be escaped, as in JSON or source code; also the base64 of such a block, as configuration stores hold it;
+* der: base64 or hex that decodes to a key encoding; ssh: to the private format of OpenSSH, its nested lengths followed to the end.
+
+Base64 may be wrapped, with plain or escaped line breaks; what a candidate needs is told by its own outer length, so words after it do no
+harm. A DER key encoding is one SEQUENCE whose nested lengths fill their parents and whose first members are those of a PKCS#1, SEC 1 or
+PKCS#8 key; in PKCS#8 the key inside must be what the algorithm's identifier asks for. Public keys and certificates are no secrets.
+
+Spans are code points, end exclusive. A null text is empty. One row for each row, repeated ids too; no rows from an empty table. Of extra
+columns none is read. Very long texts: time is linear in a text's length; a candidate's decoded bytes are held once at a time.
 """
 
 from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -29,10 +36,19 @@ KINDS = ("assign", "access", "hex", "jwt", "pem", "der", "ssh")
 ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-ANYHEX = re.compile(r"(?<![0-9A-Fa-f])(?:30[0-9A-Fa-f]{46,})(?![0-9A-Fa-f])")
+# of base64 that begins with {, the second character is one of 16
+JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]+)\.([A-Za-z0-9_-]{2,})\.([A-Za-z0-9_-]*)")
+BEGIN = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
+END = re.compile(r"-----END ((?:[A-Z0-9]+ ){0,3}PRIVATE KEY)-----")
+BREAK = r"(?:\\r)?\\n|\r?\n"
+HEADER = re.compile(r"[A-Za-z][A-Za-z0-9-]*: [^\n]*")
+GLUE = re.compile(r"""["']\s*\+\s*["']|[\s"',]|\\[nrt]""")
+# a SEQUENCE, OpenSSH's magic, or the beginning of an armour, at the beginning of a run of base64 and on through its line breaks
+RUN = re.compile(rf"(?:(?<![A-Za-z0-9+/_-])|(?<=\\n)|(?<=\\r))(?=M[A-P]|b3BlbnNzaC1rZXktdjEA|LS0tLS1CRUdJTi)[A-Za-z0-9+/_-]{{40,}}={{0,2}}(?:(?:{BREAK})[ \t]*[A-Za-z0-9+/_-]+={{0,2}})*")
+HEXRUN = re.compile(r"(?<![0-9A-Fa-f])(?=30|6[Ff]70656[Ee]7373682[Dd]6[Bb]65792[Dd]763100)[0-9A-Fa-f]{48,}(?![0-9A-Fa-f])")
+BLOCKS = {"DES-EDE3-CBC": 8, "DES-CBC": 8, "BF-CBC": 8, "CAST5-CBC": 8, "AES-128-CBC": 16, "AES-192-CBC": 16, "AES-256-CBC": 16, "CAMELLIA-256-CBC": 16}
+#: Object identifiers of PKCS#8 keys, encoded: RSA, EC, and the four of RFC 8410.
+RSA_OID, EC_OID, CURVE_OIDS = bytes.fromhex("2a864886f70d010101"), bytes.fromhex("2a8648ce3d0201"), [bytes.fromhex(f"2b65{x:02x}") for x in (0x6E, 0x6F, 0x70, 0x71)]
 SIGNATURES = {"HS256": (32,), "HS384": (48,), "HS512": (64,), "ES256": (64,), "ES384": (96,), "ES512": (132,), "EdDSA": (64, 114), "none": (0,)}
 RSA = re.compile(r"[RP]S(256|384|512)")
 SSH_MAGIC = b"openssh-key-v1\0"
@@ -72,6 +88,29 @@ def der_members(data: bytes) -> list[tuple[int, bytes]] | None:
     return out
 
 
+def is_pkcs1(members: list[tuple[int, bytes]]) -> bool:
+    return [t for t, _ in members][:9] == [2] * 9 and members[0][1] in (b"\0", b"\1") and len(members[1][1]) >= 32
+
+
+def is_sec1(members: list[tuple[int, bytes]]) -> bool:
+    return [t for t, _ in members][:2] == [2, 4] and members[0][1] == b"\1" and len(members[1][1]) >= 16
+
+
+def fits(algorithm: bytes, key: bytes) -> bool:
+    """Whether the key in a PKCS#8 encoding is what its algorithm's identifier asks for; of others, whether it is DER at all."""
+    members = der_members(key)
+    if not members:
+        return False
+    inside = der_members(members[0][1]) if len(members) == 1 and members[0][0] == 0x30 else None
+    if algorithm == RSA_OID:
+        return bool(inside) and is_pkcs1(inside)
+    if algorithm == EC_OID:
+        return bool(inside) and is_sec1(inside)
+    if algorithm in CURVE_OIDS:
+        return len(members) == 1 and members[0][0] == 4 and len(members[0][1]) in (32, 56, 57)
+    return True
+
+
 def is_der_key(data: bytes) -> bool:
     """Whether data is a private key in PKCS#1, SEC 1 or PKCS#8 (plain or encrypted)."""
     top = der_members(data)
@@ -81,23 +120,31 @@ def is_der_key(data: bytes) -> bool:
     if not inner or len(inner) < 2:
         return False
     tags = [t for t, _ in inner]
-    if tags[:9] == [2] * 9 and inner[0][1] in (b"\0", b"\1"):
-        return len(inner[1][1]) >= 32
-    if tags[:2] == [2, 4] and inner[0][1] == b"\1":
-        return len(inner[1][1]) >= 16
+    if is_pkcs1(inner) or is_sec1(inner):
+        return True
     if tags[:3] == [2, 0x30, 4] and inner[0][1] in (b"\0", b"\1"):
         algorithm = der_members(inner[1][1])
-        return bool(algorithm) and algorithm[0][0] == 6 and len(inner[2][1]) >= 16
+        return bool(algorithm) and algorithm[0][0] == 6 and len(inner[2][1]) >= 16 and fits(algorithm[0][1], inner[2][1])
     if tags == [0x30, 4]:
         algorithm = der_members(inner[0][1])
-        return bool(algorithm) and len(algorithm) == 2 and algorithm[0][0] == 6 and algorithm[1][0] == 0x30 and len(inner[1][1]) >= 16
+        return bool(algorithm) and len(algorithm) == 2 and algorithm[0][0] == 6 and algorithm[1][0] == 0x30 and der_members(algorithm[1][1]) is not None and len(inner[1][1]) >= 16
     return False
 
 
-def is_ssh_key(data: bytes) -> bool:
-    """Whether data is an OpenSSH private key: cipher, KDF and its options, number of keys, public keys and private part, each with its length."""
+def der_size(data: bytes) -> int:
+    """Bytes of the SEQUENCE that data begins with, by its own header; 0 if there is none."""
+    if len(data) < 2 or data[0] != 0x30:
+        return 0
+    if data[1] < 128:
+        return 2 + data[1]
+    more = data[1] & 127
+    return 2 + more + int.from_bytes(data[2 : 2 + more], "big") if 1 <= more <= 4 and len(data) >= 2 + more else 0
+
+
+def ssh_size(data: bytes) -> int:
+    """Bytes of the OpenSSH private key that data begins with: cipher, KDF and its options, number of keys, public keys and private part, each with its length; 0 if there is none."""
     if not data.startswith(SSH_MAGIC):
-        return False
+        return 0
     at = len(SSH_MAGIC)
 
     def part() -> bytes | None:
@@ -109,10 +156,14 @@ def is_ssh_key(data: bytes) -> bool:
         return data[at - size : at]
 
     if any(part() is None for _ in range(3)):
-        return False
+        return 0
     keys = int.from_bytes(data[at : at + 4], "big")
     at += 4
-    return 1 <= keys <= 16 and all(part() for _ in range(keys)) and bool(part()) and at == len(data)
+    return at if 1 <= keys <= 16 and all(part() for _ in range(keys)) and part() else 0
+
+
+def is_ssh_key(data: bytes) -> bool:
+    return 0 < len(data) == ssh_size(data)
 
 
 def is_signed_token(header: str, payload: str, signature: str) -> bool:
@@ -138,25 +189,76 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def is_armoured(body: str) -> bool:
+    """Whether what stands between an armour's lines is a key: headers, if any, then base64 of a key encoding or of whole cipher blocks."""
+    lines = re.split(BREAK, body)
+    heads = [x for x in lines if HEADER.fullmatch(x.strip())]
+    data = from_base64(GLUE.sub("", "\n".join(x for x in lines if not HEADER.fullmatch(x.strip()))))
+    if not data:
+        return False
+    for x in heads:
+        if x.strip().startswith("DEK-Info: "):
+            block = BLOCKS.get(x.strip()[10:].partition(",")[0].strip(), 0)
+            return block > 0 and len(data) >= 16 and len(data) % block == 0
+    return is_der_key(data) or is_ssh_key(data)
+
+
+def armoured_spans(text: str) -> list[tuple[int, int]]:
+    """Blocks from a BEGIN line to the next END line, if that is its own and no other BEGIN stands between them."""
+    if "-----BEGIN " not in text:
+        return []
+    marks = sorted([(m.start(), m.end(), m[1], True) for m in BEGIN.finditer(text)] + [(m.start(), m.end(), m[1], False) for m in END.finditer(text)])
+    return [(a[0], b[1]) for a, b in zip(marks, marks[1:], strict=False) if a[3] and not b[3] and a[2] == b[2] and is_armoured(text[a[1] : b[0]])]
+
+
+def base64_key(run: str) -> tuple[int, int]:
+    """Kind and length in characters of the key that a run of base64, with its line breaks, begins with; (0, 0) if there is none."""
+    plain = re.sub(rf"(?:{BREAK})[ \t]*", "", run)
+    body = plain.rstrip("=")
+    body = body if "=" not in body else body[: body.index("=")]
+    head = from_base64(body[: len(body) // 4 * 4]) if len(body) % 4 == 1 else from_base64(body)
+    if not head:
+        return 0, 0
+    if head.startswith(b"-----BEGIN "):
+        text = head.decode("latin-1")
+        return (4, len(run)) if armoured_spans(text) else (0, 0)
+    ssh = head.startswith(SSH_MAGIC)
+    size = ssh_size(head) if ssh else der_size(head)
+    if not size or size > len(head) or not (is_ssh_key if ssh else is_der_key)(head[:size]):
+        return 0, 0
+    # characters of the key, its padding, and the line breaks in between
+    need = -(-size * 4 // 3)
+    need += len(plain[need : need + 2]) - len(plain[need : need + 2].lstrip("="))
+    if need == len(plain):
+        return 6 if ssh else 5, len(run)
+    at = seen = 0
+    for m in re.finditer(rf"(?:{BREAK})[ \t]*", run):
+        if seen + m.start() - at >= need:
+            break
+        seen, at = seen + m.start() - at, m.end()
+    end = at + need - seen
+    # what goes on in the same line is no end of a key
+    return (6 if ssh else 5, end) if end >= len(run) or re.match(BREAK, run[end:]) else (0, 0)
+
+
 def confirmed_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the candidates that decode and parse."""
-    out = [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(*m.groups())] if "eyJ" in text else []
-    armoured = []
-    for m in PEM.finditer(text) if "-----BEGIN " in text else ():
-        data = from_base64("".join(m[2].split()))
-        if data and (is_der_key(data) or is_ssh_key(data)):
-            out.append((m.start(), 4, m.end()))
-            armoured.append(m.span())
-    for m in BASE64.finditer(text):
-        if any(a <= m.start() < b for a, b in armoured):
+    out = [(m.start(), 3, m.end()) for m in JWT.finditer(text) if is_signed_token(*m.groups())] if "." in text else []
+    armoured = armoured_spans(text)
+    out += [(a, 4, b) for a, b in armoured]
+    starts = [a for a, _ in armoured]
+    for m in RUN.finditer(text):
+        k = bisect.bisect_right(starts, m.start()) - 1
+        if k >= 0 and m.start() < armoured[k][1]:
             continue
-        if m[0].startswith("M") and (data := from_base64(m[0])) and is_der_key(data):
-            out.append((m.start(), 5, m.end()))
-        elif m[0].startswith("b3BlbnNzaC1rZXktdjEA") and (data := from_base64(m[0])) and is_ssh_key(data):
-            out.append((m.start(), 6, m.end()))
-    for m in ANYHEX.finditer(text):
-        if len(m[0]) % 2 == 0 and is_der_key(bytes.fromhex(m[0])):
-            out.append((m.start(), 5, m.end()))
+        kind, size = base64_key(m[0])
+        if kind:
+            out.append((m.start(), kind, m.start() + size))
+    for m in HEXRUN.finditer(text):
+        if len(m[0]) % 2 == 0:
+            data = bytes.fromhex(m[0])
+            if is_der_key(data) or is_ssh_key(data):
+                out.append((m.start(), 6 if data.startswith(SSH_MAGIC) else 5, m.end()))
     return sorted(out)
 
 

@@ -97,6 +97,55 @@ def test_confirmed():
     assert kinds("t " + jwt()) == ["jwt"] and kinds("t " + jwt("RS256", 256)) == ["jwt"]
 
 
+def wrapped(data, width=64, sep="\n"):
+    raw = base64.b64encode(data).decode()
+    return sep.join(raw[k : k + width] for k in range(0, len(raw), width))
+
+
+def pkcs8_of(oid, key):
+    return der(0x30, der(2, b"\0") + der(0x30, der(6, bytes.fromhex(oid)) + der(5, b"")) + der(4, key))
+
+
+def test_forms():
+    """Escaped and wrapped base64, keys in source code, base64 of armour, encrypted armour, hex of OpenSSH, headers with blanks."""
+    label = "PRIVATE KEY"
+    pem = f"-----BEGIN {label}-----\n{wrapped(pkcs8())}\n-----END {label}-----\n"
+    escaped = '{"private_key": "' + pem.replace("\n", "\\n") + '"}'
+    assert kinds(escaped) == ["pem"]
+    a, _, b = confirmed_spans(escaped)[0]
+    assert escaped[a:b].startswith("-----BEGIN") and escaped[a:b].endswith("KEY-----")
+    assert kinds("k = (" + " +\n  ".join(f'"{x}\\n"' for x in pem.strip().split("\n")) + ")") == ["pem"]
+    for sep in ("\n", "\r\n", "\n    ", "\\n"):
+        for width in (64, 76):
+            text = "key:\n" + wrapped(pkcs1(), width, sep)
+            assert kinds(text) == ["der"] and confirmed_spans(text)[0][2] == len(text), (sep, width)
+    tail = "x " + wrapped(pkcs1()) + "\nword after it"
+    (a, _, b), = confirmed_spans(tail)
+    assert tail[a:b] == wrapped(pkcs1())
+    assert kinds("data: " + base64.b64encode(pem.encode()).decode()) == ["pem"]
+    assert kinds("h " + openssh().hex()) == ["ssh"] and kinds("w " + wrapped(openssh())) == ["ssh"]
+    legacy = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00112233445566778899AABBCCDDEEFF\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(legacy.format(wrapped(b"\x81" * 608))) == ["pem"] and kinds(legacy.format(wrapped(b"\x81" * 607))) == []
+    head = base64.urlsafe_b64encode(b'{ "alg" : "HS256" }').rstrip(b"=").decode()
+    assert kinds(head + jwt()[jwt().index(".") :]) == ["jwt"]
+
+
+def test_key_inside_pkcs8():
+    ec = der(0x30, der(2, b"\1") + der(4, b"k" * 32))
+    for oid, key, good in (("2a864886f70d010101", pkcs1(), True), ("2a864886f70d010101", ec, False), ("2a8648ce3d0201", ec, True), ("2a8648ce3d0201", pkcs1(), False), ("2b6570", der(4, b"k" * 32), True), ("2b6570", der(4, b"k" * 31), False), ("2a864886f70d010101", b"\x30\x20junk" * 9, False)):
+        assert is_der_key(pkcs8_of(oid, key)) == good, (oid, good)
+
+
+def test_time_is_linear():
+    import time
+
+    begin = time.perf_counter()
+    for text in ("-----BEGIN RSA PRIVATE KEY-----\n" * 40_000, "MIIB" * 300_000, ("MIIB" * 20 + "\n") * 20_000, "-----BEGIN PRIVATE KEY-----x-----END PRIVATE KEY-----" * 20_000, "eyJ" * 300_000, "eyJa." * 200_000, "30" * 500_000, "password " * 100_000):
+        confirmed_spans(text)
+        base_spans(text)
+    assert time.perf_counter() - begin < 30
+
+
 def test_not_confirmed():
     broken = bytearray(pkcs1())
     broken[3] ^= 1
