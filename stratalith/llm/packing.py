@@ -6,7 +6,8 @@ or nearly (``slack`` tokens at most are free), are emitted. Underfull bins are m
 members, at most ``limit`` of them, so no task holds more than a bounded number of bounded rows.
 
 Nulls: a null text is empty, one piece that holds the end id only; null ids stay null. Rows that repeat an id are documents of their
-own, with pieces of their own. An empty table gives no rows. Of extra columns none is read.
+own, with pieces of their own. An empty table gives no rows. Of extra columns none is read. Very long texts are tokenised whole, about 30
+bytes a token, and only then cut.
 """
 
 from __future__ import annotations
@@ -73,8 +74,13 @@ class WordEncoder:
         self.known = Numbered()
         self.pieces: dict[str, bytes] = {}
         self.starts, self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
-        probe = "Aé,b1"
-        self.plain = self.simple(probe) == packed_ids(self.tokenizer.encode(probe, add_special_tokens=False).ids)
+        self.plain = self.agrees()
+
+    def agrees(self) -> bool:
+        """Whether simple() gives the library's ids for each simple character, alone and beside others of every class of the pattern."""
+        chars = [c for c in map(chr, range(33, 256)) if SIMPLE.fullmatch(c)]
+        words = [w for c in chars for w in (c, *(c + d for d in "aZ1,é"), *(d + c for d in "aZ1,é"), f"x{c}y", f"1{c}2", f",{c}.", c * 3)]
+        return all(self.simple(w) == packed_ids(e.ids) for w, e in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True))
 
     def simple(self, word: str) -> bytes:
         out = b""
