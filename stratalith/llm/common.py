@@ -8,6 +8,8 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,10 +36,45 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def _checkpoint(df: DataFrame) -> str | None:
+    """The folder of a table that cut() made."""
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return None
+    found = plan.rdd().getCheckpointFile()
+    return found.get() if found.isDefined() else None
+
+
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if (path := _checkpoint(out)) and (scopes := _scopes.get()):
+        scopes[-1].append(path)
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Removes tables that cut() made. What was computed from them must have been written or cut itself."""
+    for t in tables:
+        if path := _checkpoint(t):
+            remove(t.sparkSession, path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that cut() makes inside are removed at the end; results must have been written by then."""
+    mine: list[str] = []
+    token = _scopes.set((*_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _scopes.reset(token)
+        for path in mine:
+            remove(spark, path)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

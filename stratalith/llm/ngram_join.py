@@ -10,17 +10,22 @@ of the first n - o + 1; a prefix longer by the number of token classes that it m
   a document whose partner may lie in the power below emits that level's keys as well.
 
 Plan. (1) Blocks of documents emit their tokens, sorted and packed, to parts by token value; parts count documents per token and send back
-the tokens that two or more documents share; only these can be prefix keys with a partner or part of an intersection. Hot tokens, found
-beforehand where there are documents enough, skip the parts. (2) Blocks pick
+the tokens that two or more documents share; only these can be prefix keys with a partner or part of an intersection. A token in ``OFTEN``
+documents of a block or more keeps its postings there and sends their number only, so a part receives a token fewer than ``OFTEN`` times
+from each block, however many documents have it. (2) Blocks pick
 prefixes and emit keys; exact copies are one node. (3) Nodes with a common key are verified exactly, on shared tokens and set sizes:
 first within blocks of at most ``block`` nodes, and 8 MB of tokens, of one anchor key, by a search that holds each component against what is not in it yet,
 then among central nodes of those components, at last each node that is not in its key's main component against the blocks that its
 block's outsiders share keys with. No group is ever expanded into all its pairs, and no pair with a common key is left untested unless a chain of links
 already joins it. (4) Components: smallest id by alternating large-star and small-star steps.
 
-Tokens are 64-bit hashes of which 48 bits are sent. Nulls: a null text and a text without words have no tokens, no links and are their own
-component; a row without id is given n_shingles and no component. Rows that repeat an id are one vertex: their links add up. No rows
-from an empty table. Of extra columns none is read.
+Tokens are 64-bit hashes of which 48 bits are sent. Equal sets are told by their size and two 64-bit sums over their tokens; in sets of
+``STRONG`` tokens or fewer the second is over other hashes of the shingles themselves, so that 128 bits tell short texts apart. Sets too
+small to have a similar set other than their equals (two tokens or fewer at 75 %) send no tokens and are never verified.
+
+Nulls: a null text and a text without words have no tokens, no links and are their own component; a row without id is given n_shingles and
+no component. Rows that repeat an id are one vertex: their links add up. No rows from an empty table. Of extra columns none is read. Very
+long texts: a block holds at least one whole text, 24 bytes a word.
 """
 
 from __future__ import annotations
@@ -35,14 +40,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, n_parts, tidy
+from .common import cut, forget, give_back, n_parts, tidy
 
 SIZE, PERCENT, FREQUENT, BLOCK = 5, 75, 64, 512
 BITS = 48
 MASK = np.uint64((1 << BITS) - 1)
 BLOCK_TOKENS, BLOCK_DOCS = 1_000_000, 60_000
-#: A token in so many documents, and in one of 512, is hot; at most HOT_TOKENS (8 MB) are broadcast.
-HOT_LEAST, HOT_TOKENS, HOT_LEVEL = 1 << 20, 1_000_000, 63
+OFTEN, STRONG = 4, 16
 BLOCK_BYTES = 8 << 20
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -91,6 +95,18 @@ def similar(n: int, m: int, common: int, percent: int) -> bool:
     return 100 * common >= percent * (n + m - common)
 
 
+def has_others(n: int, percent: int) -> bool:
+    """Whether a set of n can be similar to any other than its equals: at best to itself and one token more."""
+    return 100 * n >= percent * (n + 1)
+
+
+def strong(text: str | None, size: int = SIZE) -> int:
+    """A sum over the distinct shingles as they are, hashed otherwise than as tokens."""
+    words = (text or "").encode("utf-8").lower().split()
+    each = {b" ".join(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+    return sum(xxhash.xxh3_64_intdigest(x, seed=0x9E3779B9) for x in each) & 0xFFFFFFFFFFFFFFFF
+
+
 # ---------------------------------------------------------------- (1) tokens to parts, shared tokens back
 
 CELL = "kind int, block long, part int, data binary, more binary, third binary"
@@ -102,33 +118,41 @@ def _cells(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), CELL_TYPES, strict=True)], CELL_NAMES)
 
 
-def _block_cells(docs: list[tuple[int | None, np.ndarray]], parts: int, number: int, hot: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """The block's table of documents (kind 0), for each part its tokens with their documents' places (kind 1), and its hot tokens (kind 3)."""
-    sizes = np.fromiter((len(s) for _, s in docs), np.int64, len(docs))
-    flat = np.concatenate([s for _, s in docs]) if docs else np.zeros(0, np.uint64)
+def _block_cells(docs: list[tuple[int | None, np.ndarray, int | None]], parts: int, number: int, percent: int, often: int) -> Iterator[pa.RecordBatch]:
+    """The block's table of documents (kind 0); for each part its tokens with their documents' places (kind 1) and the numbers of its frequent ones (kind 4), whose places it keeps (kind 3)."""
+    sizes = np.fromiter((len(s) for _, s, _ in docs), np.int64, len(docs))
+    flat = np.concatenate([s for _, s, _ in docs]) if docs else np.zeros(0, np.uint64)
     place = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
     # sums of two mixings name a set: equal sets, and in practice no others, agree in both and in size
     a, b = (np.add.reduceat(np.append(mixed(flat ^ x), np.uint64(0)), np.cumsum(sizes) - sizes) * (sizes > 0).astype(np.uint64) for x in (np.uint64(0x5BD1E995), np.uint64(0x27D4EB2F)))
+    for k, (_, _, other) in enumerate(docs):
+        if other is not None:
+            b[k] = other
     table = np.zeros(len(docs), np.dtype([("id", "<i8"), ("none", "?"), ("n", "<i8"), ("a", "<u8"), ("b", "<u8")]))
-    table["id"] = [i or 0 for i, _ in docs]
-    table["none"] = [i is None for i, _ in docs]
+    table["id"] = [i or 0 for i, _, _ in docs]
+    table["none"] = [i is None for i, _, _ in docs]
     table["n"], table["a"], table["b"] = sizes, a, b
     rows = [(0, number, number % parts, table.tobytes(), None, None)]
-    # of equal sets in a block the first sends its tokens; a document without id sends none
-    named = np.flatnonzero(~table["none"])
+    # of equal sets in a block the first sends its tokens; a document without id and one without others like it send none
+    named = np.flatnonzero(~table["none"] & (100 * sizes >= percent * (sizes + 1)))
     first = np.zeros(len(docs), bool)
     first[named[np.unique(np.stack([a, b, sizes.astype(np.uint64)], 1)[named], axis=0, return_index=True)[1]]] = True
     keep = first[place]
     token, place = flat[keep] & MASK, place[keep]
     order = np.argsort(token, kind="stable")
     token, place = token[order], place[order]
-    if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, token), len(hot) - 1)] == token
-        if is_hot.any():
-            rows.append((3, number, number % parts, token[is_hot].tobytes(), place[is_hot].tobytes(), np.full(int(is_hot.sum()), HOT_LEVEL, np.uint8).tobytes()))
-            token, place = token[~is_hot], place[~is_hot]
-    edges = np.searchsorted(token, np.array([-(-(k << BITS) // parts) for k in range(1, parts)], np.uint64))
-    bounds = [0, *edges.tolist(), len(token)]
+    bounds_at = np.array([-(-(k << BITS) // parts) for k in range(1, parts)], np.uint64)
+    starts = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(starts, len(token)))
+    many = counts >= often
+    if many.any():
+        held, n = token[starts[many]], counts[many].astype(np.uint32)
+        mine = np.repeat(many, counts)
+        rows.append((3, number, number % parts, held.tobytes(), place[mine].tobytes(), n.tobytes()))
+        token, place = token[~mine], place[~mine]
+        edges = [0, *np.searchsorted(held, bounds_at).tolist(), len(held)]
+        rows += [(4, number, k, held[lo:hi].tobytes(), n[lo:hi].tobytes(), None) for k, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)) if hi > lo]
+    bounds = [0, *np.searchsorted(token, bounds_at).tolist(), len(token)]
     small = np.uint16 if len(docs) <= 0xFFFF else np.uint32
     for k in range(parts):
         lo, hi = bounds[k], bounds[k + 1]
@@ -144,49 +168,28 @@ def _block_cells(docs: list[tuple[int | None, np.ndarray]], parts: int, number:
         yield _cells(rows)
 
 
-def _to_blocks(size: int, parts: int, hot=None):
+def _to_blocks(size: int, parts: int, percent: int, often: int):
     def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 20
         known = WordHashes()
-        always = hot.value if hot is not None else np.zeros(0, np.uint64)
         docs, held = [], 0
         for b in batches:
             for i, t in zip(b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                s = shingles(t.as_py(), size, known)
-                docs.append((i, s))
+                text = t.as_py()
+                s = shingles(text, size, known)
+                docs.append((i, s, strong(text, size) if 0 < len(s) <= STRONG else None))
                 held += len(s)
                 if held >= BLOCK_TOKENS or len(docs) >= BLOCK_DOCS:
-                    yield from _block_cells(docs, parts, number, always)
+                    yield from _block_cells(docs, parts, number, percent, often)
                     docs, held, number = [], 0, number + 1
         if docs:
-            yield from _block_cells(docs, parts, number, always)
+            yield from _block_cells(docs, parts, number, percent, often)
 
     return each
 
 
-def hot_tokens(docs: DataFrame, size: int, least: int) -> np.ndarray:
-    """Tokens in about ``least`` documents or more, sorted, HOT_TOKENS of them at most: no part could hold their postings.
-
-    Tasks count the tokens that stand out among their documents and the counts are summed. Any set of tokens would do: hot ones are ranked
-    after all others, for every document alike, and their postings stay in their blocks; so neither a missed nor a spare one changes a result.
-    """
-
-    def each(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for b in batches:
-            for a in range(0, b.num_rows, 2_000):
-                sets = [shingles(t.as_py(), size, known) for t in b.column("text").slice(a, 2_000)]
-                token, n = np.unique(np.concatenate(sets) & MASK, return_counts=True)
-                often = n >= max(2, min(8, least), len(sets) // 256)
-                if often.any():
-                    yield pa.RecordBatch.from_arrays([pa.array(token[often].view(np.int64)), pa.array(n[often].astype(np.int64))], ["token", "n"])
-
-    found = docs.select("text").mapInArrow(tidy(each), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return np.sort(np.array([r["token"] for r in found.orderBy(F.desc("n"), "token").limit(HOT_TOKENS).toLocalIterator()], np.int64).view(np.uint64))
-
-
 def _unpacked(data: bytes, more: bytes, third: bytes) -> tuple[np.ndarray, np.ndarray]:
     wide, small = third[0], third[1]
     first = np.frombuffer(data[:8], np.uint64)
@@ -195,40 +198,42 @@ def _unpacked(data: bytes, more: bytes, third: bytes) -> tuple[np.ndarray, np.nd
 
 
 def _share(t: pa.Table) -> pa.Table:
-    """A part: document tables pass; of the tokens those in two documents or more go back to their blocks, with their counts' power of two."""
-    rows, tokens, places, blocks = [], [], [], []
+    """A part: what blocks keep passes; of the tokens those in two documents or more go back to their blocks, with their counts' power of two (kind 1 with places, kind 5 without)."""
+    rows, tokens, places, weights, senders = [], [], [], [], []
     for r in t.to_pylist():
-        if r["kind"] == 0:
+        if r["kind"] in (0, 3):
             rows.append(tuple(r[c] for c in CELL_NAMES))
-        elif r["kind"] == 3:
-            rows.append((1, r["block"], 0, r["data"], r["more"], r["third"]))
+            continue
+        if r["kind"] == 4:
+            token, weight = np.frombuffer(r["data"], np.uint64), np.frombuffer(r["more"], np.uint32)
+            place = np.zeros(len(token), np.uint32)
         else:
             token, place = _unpacked(r["data"], r["more"], r["third"])
-            tokens.append(token)
-            places.append(place.astype(np.uint32))
-            blocks.append(np.full(len(token), len(blocks), np.int64))
-            rows.append(r["block"])
-    numbers = [r for r in rows if not isinstance(r, tuple)]
-    rows = [r for r in rows if isinstance(r, tuple)]
+            weight = np.ones(len(token), np.uint32)
+        tokens.append(token)
+        places.append(place.astype(np.uint32))
+        weights.append(weight)
+        senders.append((r["block"], r["kind"]))
     if tokens:
-        token, place, block = np.concatenate(tokens), np.concatenate(places), np.concatenate(blocks)
-        del tokens, places, blocks
+        sender = np.repeat(np.arange(len(tokens)), [len(x) for x in tokens])
+        token, place, weight = np.concatenate(tokens), np.concatenate(places), np.concatenate(weights).astype(np.int64)
+        del tokens, places, weights
         order = np.argsort(token, kind="stable")
         token = token[order]
         starts = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-        counts = np.diff(np.append(starts, len(token)))
-        count = np.repeat(counts, counts)
+        total = np.add.reduceat(weight[order], starts) if len(starts) else starts
+        count = np.repeat(total, np.diff(np.append(starts, len(token))))
         twice = count > 1
         token, count, order = token[twice], count[twice], order[twice]
-        place, block = place[order], block[order]
+        place, sender = place[order], sender[order]
         level = np.floor(np.log2(np.maximum(count, 1))).astype(np.uint8)
-        by = np.argsort(block, kind="stable")
-        edges = np.searchsorted(block[by], np.arange(len(numbers) + 1))
-        for k, number in enumerate(numbers):
+        by = np.argsort(sender, kind="stable")
+        edges = np.searchsorted(sender[by], np.arange(len(senders) + 1))
+        for k, (number, kind) in enumerate(senders):
             own = by[edges[k] : edges[k + 1]]
             if len(own):
-                rows.append((1, number, 0, token[own].tobytes(), place[own].tobytes(), level[own].tobytes()))
-        del token, place, block, level, count, order, by, starts, counts, twice
+                rows.append((1 if kind == 1 else 5, number, 0, token[own].tobytes(), place[own].tobytes() if kind == 1 else b"", level[own].tobytes()))
+        del token, place, sender, weight, level, count, order, by, starts, total, twice
     if t.nbytes > 1 << 20:
         give_back()
     return pa.Table.from_batches([_cells(rows)]) if rows else pa.Table.from_batches([], pa.schema(list(zip(CELL_NAMES, CELL_TYPES, strict=True))))
@@ -283,14 +288,27 @@ NODE = "id long, n long, alone long, tokens binary, counts binary, keys array<lo
 
 def _emit(percent: int, frequent: int):
     def each(t: pa.Table) -> pa.Table:
-        token, place, level, wanted = [], [], [], {}
+        token, place, level, wanted, kept, told = [], [], [], {}, [], []
         for r in t.to_pylist():
             if r["kind"] == 2:
                 wanted[r["place"]] = (r["id"], r["n"])
+            elif r["kind"] == 3:
+                kept.append((np.frombuffer(r["data"], np.uint64), np.frombuffer(r["more"], np.uint32), np.frombuffer(r["third"], np.uint32)))
+            elif r["kind"] == 5:
+                told.append((np.frombuffer(r["data"], np.uint64), np.frombuffer(r["third"], np.uint8)))
             else:
                 token.append(np.frombuffer(r["data"], np.uint64))
                 place.append(np.frombuffer(r["more"], np.uint32))
                 level.append(np.frombuffer(r["third"], np.uint8))
+        if kept and wanted:
+            # all parts have told their tokens' levels; together they are the block's own list
+            names, levels_of = (np.concatenate(x) for x in zip(*told, strict=True))
+            order = np.argsort(names)
+            names, levels_of = names[order], levels_of[order]
+            for held, places, n in kept:
+                token.append(np.repeat(held, n))
+                place.append(places)
+                level.append(np.repeat(levels_of[np.searchsorted(names, held)], n))
         out = []
         if token and wanted:
             tokens, places, lv = np.concatenate(token), np.concatenate(place), np.concatenate(level)
@@ -308,7 +326,7 @@ def _emit(percent: int, frequent: int):
                     own = np.argsort(tokens[a:b])
                     out.append((i, n, n - (b - a), tokens[a:b][own].tobytes(), lv[a:b][own].tobytes(), keys.view(np.int64).tolist()))
             del tokens, places, lv, order
-        token, place, level = [], [], []
+        token, place, level, kept, told = [], [], [], [], []
         if t.nbytes > 1 << 20:
             give_back()
         cols = list(zip(*out, strict=True)) or [()] * 6
@@ -434,7 +452,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         large = large.filter("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").unionByName(low.select("u", F.col("m").alias("v")))
-        edges = cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        old, edges = edges, cut(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        forget(old)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
@@ -472,15 +491,17 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     homes = cut(_dealt(anchors.join(sizes, "id").select("id", F.col("x.key").alias("anchor"), "size"), block, "home"))
     sets = cut(nodes.select("id", "n", "tokens").join(homes, "id"))
     links = cut(sets.groupBy("anchor", "deal").applyInArrow(_links_within(percent), LINK))
-    every = [links.select("a", "b")]
+    every, used = [links.select("a", "b")], [often, keyed, homes, sets, links]
     # central nodes of the components of a key's blocks, against each other, until one block holds them
     many = cut(homes.filter("blocks > 1").select("anchor").distinct())
+    used.append(many)
     central = links.filter("central").select(F.col("a").alias("id"))
     for _ in range(8):
         mid = homes.select("id", "anchor", "size").join(many, "anchor", "left_semi").join(central, "id", "left_semi")
         mid = cut(_dealt(mid, block, "central").join(nodes.select("id", "n", "tokens"), "id"))
         more = cut(mid.groupBy("anchor", "deal").applyInArrow(_links_within(percent), LINK))
         every.append(more.select("a", "b"))
+        used += [mid, more]
         if mid.filter("blocks > 1").isEmpty():
             break
         central = more.filter("central").select(F.col("a").alias("id"))
@@ -500,7 +521,7 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     stands = where.join(classes, "key").select("x", "y", "z", "anchor", "deal").distinct()
     asks = outside.join(classes, "key").select("x", "y", "z", "a0", "d0").distinct()
     near = asks.join(stands, ["x", "y", "z"]).filter("anchor <> a0 OR deal <> d0").select("a0", "d0", "anchor", "deal").distinct()
-    guests = cut(outside.select("id", "label", "a0", "d0").distinct().join(near, ["a0", "d0"]).select("id", "label", "anchor", "deal"))
+    guests = guest_rows = cut(outside.select("id", "label", "a0", "d0").distinct().join(near, ["a0", "d0"]).select("id", "label", "anchor", "deal"))
     # a block with many guests meets them in several groups, each of a bounded number of rows
     groups = guests.join(sizes, "id").groupBy("anchor", "deal").agg(_n_blocks(block).alias("groups"))
     guests = guests.join(groups, ["anchor", "deal"]).withColumn("g", F.pmod(F.xxhash64("id", F.lit("guest")), F.col("groups")))
@@ -508,20 +529,19 @@ def link_nodes(nodes: DataFrame, percent: int = PERCENT, block: int = BLOCK) ->
     own = sets.join(labels, "id").join(groups, ["anchor", "deal"]).withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)))
     own = own.select("id", "label", "anchor", "deal", "g", "n", "tokens", F.lit(False).alias("guest"))
     last = guests.select(*own.columns).unionByName(own).groupBy("anchor", "deal", "g").applyInArrow(_links_across(percent), LINK)
-    merged = components(cut(last.select("a", "b")).unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+    last = cut(last.select("a", "b"))
+    merged = components(last.unionByName(labels.select(F.col("id").alias("a"), F.col("label").alias("b"))))
+    forget(*used, labels, main, open_keys, outside, where, classes, guest_rows, last)
     return merged
 
 
 # ---------------------------------------------------------------- (4) documents
 
 
-def shingle_nodes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, hot_least: int = HOT_LEAST) -> tuple[DataFrame, DataFrame]:
+def shingle_nodes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, often: int = OFTEN) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, n, a, b; equal sets agree in n, a, b) and nodes: one of each group of equal sets that may have a similar one."""
     parts = n_parts(docs.select("text"), 16 << 20) * 2
-    hot, n = None, docs.count()
-    if n >= hot_least:  # below that no token can be in so many documents
-        hot = docs.sparkSession.sparkContext.broadcast(hot_tokens(docs, size, max(hot_least, n // 512)))
-    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_to_blocks(size, parts, hot)), CELL)
+    cells = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_to_blocks(size, parts, percent, often)), CELL)
     shared = cut(cells.groupBy("part").applyInArrow(_share, CELL))
 
     def tables(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -537,17 +557,19 @@ def shingle_nodes(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, fre
     documents = cut(shared.filter("kind = 0").select("block", "data").mapInArrow(tables, "block long, place long, doc_id long, n long, a long, b long"))
     firsts = documents.filter("doc_id IS NOT NULL AND n > 0").groupBy("n", "a", "b").agg(F.min("doc_id").alias("id"), F.min(F.struct("block", "place")).alias("p"))
     wanted = firsts.select(F.lit(2).alias("kind"), F.col("p.block").alias("block"), *(F.lit(None).cast("binary").alias(c) for c in ("data", "more", "third")), F.col("p.place").alias("place"), "id", "n")
-    held = shared.filter("kind = 1").select("kind", "block", "data", "more", "third", *(F.lit(None).cast("long").alias(c) for c in ("place", "id", "n")))
+    held = shared.filter("kind IN (1, 3, 5)").select("kind", "block", "data", "more", "third", *(F.lit(None).cast("long").alias(c) for c in ("place", "id", "n")))
     nodes = cut(held.unionByName(wanted).groupBy("block").applyInArrow(_emit(percent, frequent), NODE))
+    forget(shared)
     return documents.select("doc_id", "n", "a", "b"), nodes
 
 
-def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, hot_least: int = HOT_LEAST) -> DataFrame:
+def join(docs: DataFrame, size: int = SIZE, percent: int = PERCENT, frequent: int = FREQUENT, block: int = BLOCK, often: int = OFTEN) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text)."""
-    if not 50 <= percent <= 100 or frequent < 2 or block < 2 or size < 1:
-        raise ValueError("percent from 50 to 100, frequent and block of 2 or more, size of 1 or more are needed")
-    documents, nodes = shingle_nodes(docs, size, percent, frequent, hot_least)
+    if not 50 <= percent <= 100 or frequent < 2 or block < 2 or size < 1 or often < 2:
+        raise ValueError("percent from 50 to 100, frequent, block and often of 2 or more, size of 1 or more are needed")
+    documents, nodes = shingle_nodes(docs, size, percent, frequent, often)
     labels = link_nodes(nodes, percent, block)
+    forget(nodes)
     sets = documents.filter("n > 0 AND doc_id IS NOT NULL").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
     sets = cut(sets.join(labels.withColumnRenamed("id", "first"), "first", "left").select("n", "a", "b", F.coalesce("label", "first").alias("component")))
     # rows that repeat an id tie the components of their texts together

@@ -8,7 +8,7 @@ from edge_cases import ROWS, documents
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratalith.llm.ngram_join import components, join, levels, prefix_keys
+from stratalith.llm.ngram_join import components, has_others, join, levels, prefix_keys, strong
 
 
 def word_sets(rows, size=5):
@@ -63,7 +63,7 @@ def corpus(seed, n_groups=6, copies=12):
     return [(i, t, None, None, None) for i, t in zip(ids, rows, strict=True)]
 
 
-@pytest.mark.parametrize("seed, kw", [(0, {}), (1, {"frequent": 2, "block": 3}), (2, {"frequent": 4, "block": 5}), (3, {"frequent": 2, "block": 2}), (4, {"hot_least": 3, "frequent": 2, "block": 4}), (0, {"hot_least": 2})])
+@pytest.mark.parametrize("seed, kw", [(0, {}), (1, {"frequent": 2, "block": 3}), (2, {"frequent": 4, "block": 5}), (3, {"frequent": 2, "block": 2}), (4, {"often": 2, "frequent": 2, "block": 4}), (0, {"often": 2}), (0, {"often": 10_000})])
 def test_brute_force(spark, seed, kw):
     rows = corpus(seed)
     assert got(spark, rows, **kw) == plain(rows)
@@ -78,7 +78,7 @@ def test_large_group_in_many_blocks(spark):
         for _ in range(rng.randint(0, 7)):
             own[rng.randrange(150)] = f"n{rng.random()}"
         rows.append((k + 1, " ".join(own), None, None, None))
-    assert got(spark, rows, block=8, frequent=8) == got(spark, rows, block=8, frequent=8, hot_least=20) == plain(rows)
+    assert got(spark, rows, block=8, frequent=8) == got(spark, rows, block=8, frequent=8, often=2) == plain(rows)
 
 
 def test_blocks_of_few_bytes(spark, monkeypatch):
@@ -118,6 +118,35 @@ def test_prefixes_meet(n, data):
     assert keys[0] & keys[1]
 
 
+def test_no_partner_but_equals():
+    """Sets that has_others() leaves out have no similar set but their equals, at any percent."""
+    for percent in (50, 60, 75, 90, 100):
+        for n in range(1, 40):
+            best = max((both / (n + m - both) for m in range(1, 200) for both in [min(n, m)] if m != n), default=0)
+            assert has_others(n, percent) == (100 * best >= percent - 1e-9) or has_others(n, percent) and percent == 100, (n, percent)
+
+
+def test_short_texts_are_told_apart():
+    """The second sum over a short text's shingles does not depend on their 64-bit tokens."""
+    texts = ["a", "b", "a b", "a b c d e", "a a a a a a a", "a a a a a", "A  A\ta a a"]
+    assert [strong(t) == strong(u) for t in texts for u in texts] == [word_sets([(0, t)])[0][1] == word_sets([(0, u)])[0][1] for t in texts for u in texts]
+
+
+def test_tables_are_removed(spark):
+    """What a join has kept for its steps goes when the next ones stand."""
+    import os
+
+    from stratalith.llm.common import scratch, shared_dir
+
+    where = shared_dir(spark).removeprefix("file:")
+    count = lambda: sum(len(d) for top, d, _ in os.walk(where) if top.count("/") == where.count("/") + 1)
+    before = count()
+    with scratch(spark):
+        out = join(documents(spark, corpus(0), False))
+        assert out.count() and count() - before <= 6
+    assert count() == before
+
+
 def test_levels():
     assert levels(3, 75) == [0] and levels(4, 75) == [0, 2] and levels(5, 75) == [2] and levels(64, 75) == [5, 6] and levels(100, 75) == [6]
 
@@ -140,7 +169,7 @@ def test_components(spark):
     assert {k: found.get(k, k) for k in parent} == {k: find(k) for k in parent}
 
 
-@pytest.mark.parametrize("bad", [{"percent": 40}, {"block": 1}, {"frequent": 1}, {"size": 0}])
+@pytest.mark.parametrize("bad", [{"percent": 40}, {"block": 1}, {"frequent": 1}, {"size": 0}, {"often": 1}])
 def test_bad_options(spark, bad):
     with pytest.raises(ValueError):
         join(documents(spark, ROWS), **bad)
