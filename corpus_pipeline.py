@@ -1,7 +1,12 @@
 """A training corpus from documents, in stages: quality rules, line dedup, near duplicates, benchmark decontamination, packing.
 
 Each stage gets what its predecessor kept, as a table that was written and read again. All but the last return the columns of documents;
-extra columns stay with their rows.
+extra columns stay with their rows and keep their values, whatever their names.
+
+Nulls: a document with a null text has too few words and goes in the first stage; null hosts are one host; documents without id are
+never near duplicates of others and stay. Empty and very short texts go in the first stage; a text that line dedup empties stays, as one
+end token. Very long texts are read whole by every stage and cut into pieces by packing only. Ties: of equal documents that of smallest id
+stays; rows that repeat an id stay or go together in the third stage and each give their pieces. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -14,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratalith.llm import decontamination, line_dedup, ngram_join, packing, quality_rules
-from stratalith.llm.common import new_folder, table
+from stratalith.llm.common import new_folder, remove, scratch, table
 from stratalith.session import ship
 
 #: SQL cannot tokenise or pack; tests hold run() against a brute-force version.
@@ -28,10 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays, without the lines that ten documents share; n_chars follows."""
-    done = line_dedup.dedup_lines(docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    new = {"text": text, "n_chars": F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
-    return done.select(*(new.get(c, F.col(c)).alias(c) for c in docs.columns))
+    return line_dedup.clean(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +43,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
+    """Documents that hold a window of any item go: a single item's passage leaks that item as surely as two would.
+
+    The operator's own flag needs MIN_ITEMS; that limit is for reports, not for a corpus that must not hold test items.
+    """
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,19 +77,15 @@ STAGES: list[tuple[str, Stage]] = [
 ]
 
 
-def _remove(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each stage's rows are written to the shared folder and read again. A stage's table goes when the next one is written."""
+    """The stages over documents; each stage's rows are written to the shared folder and read again. A stage's table goes when the next one is written, its own tables when its rows are."""
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         out = new_folder(spark, name)
-        stage(spark, docs, sf_dir).write.parquet(out)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(out)
         docs = spark.read.parquet(out)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         before = out
     return docs
