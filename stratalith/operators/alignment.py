@@ -110,7 +110,7 @@ def fold_costs(pairs: DataFrame, options: WarpOptions | None = None) -> DataFram
 
 
 ALIGNED = (
-    "pair long, path array<struct<i:int,j:int>>, local_cost array<double>, total_cost double, normalized_cost double, mean_local_cost double, warp_penalty double, "
+    "pair long, i array<int>, j array<int>, local_cost array<double>, total_cost double, normalized_cost double, mean_local_cost double, warp_penalty double, "
     "diagonal_steps int, up_steps int, left_steps int, max_warp_run int, boundary_fraction double"
 )
 
@@ -129,11 +129,11 @@ def align_pairs(pairs: DataFrame, options: WarpOptions | None = None) -> DataFra
             out = []
             found = align_many(list(zip(pdf["a"], pdf["b"], strict=True)), WarpOptions(**o))
             for pair, r in zip(pdf["pair"], found, strict=True):
-                path = [{"i": i, "j": j} for i, j in r.path.tolist()]
-                out.append((pair, path, r.local_cost, r.total_cost, r.normalized_cost, r.mean_local_cost, r.warp_penalty, r.diagonal_steps, r.up_steps, r.left_steps, r.max_warp_run, r.boundary_fraction))
+                out.append((pair, r.path[:, 0], r.path[:, 1], r.local_cost, r.total_cost, r.normalized_cost, r.mean_local_cost, r.warp_penalty, r.diagonal_steps, r.up_steps, r.left_steps, r.max_warp_run, r.boundary_fraction))
             yield pd.DataFrame(out, columns=[x.split()[0] for x in ALIGNED.split(", ")])
 
-    return dealt(pairs.select(F.col("pair").cast("long").alias("pair"), "a", "b")).mapInPandas(each, ALIGNED)
+    found = dealt(pairs.select(F.col("pair").cast("long").alias("pair"), "a", "b")).mapInPandas(each, ALIGNED)
+    return found.select("pair", F.arrays_zip("i", "j").alias("path"), *(c for c in found.columns if c not in ("pair", "i", "j")))
 
 
 def path_rows(aligned: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import os
 from collections.abc import Callable, Sequence
 from dataclasses import asdict
@@ -14,7 +13,8 @@ from pyspark.sql import functions as F
 from ..kernels.warping import align_many
 from ..operators import alignment, logs
 from ..options import CORRELATE, LogOptions, WarpOptions, require
-from ..sources.csv_logs import read_curve, well_names
+from ..sources.csv_logs import read_curve, read_curves, well_names
+from ..tables import cut
 
 COLUMNS = (
     "pair", "left_well", "right_well", "left_md", "right_md", "left_z", "right_z", "local_cost", "mean_cost", "path_index", "move", "cumulative_cost", "total_cost",
@@ -64,14 +64,18 @@ def line_up(pairs: DataFrame, options: WarpOptions) -> DataFrame:
     return alignment.dealt(pairs).mapInPandas(each, LINED_UP)
 
 
-def correlate_prepared(prepared: DataFrame, wells: DataFrame, options: WarpOptions = CORRELATE) -> DataFrame:
-    """The correlation table of prepared logs (log_id, idx, md, z) in the order of wells (log_id, ord, name)."""
-    lined = line_up(side_by_side(prepared, wells), options)
+def table_of(lined: DataFrame, options: WarpOptions) -> DataFrame:
+    """The correlation table of lined-up pairs."""
     path = lined.select("pair", "left_well", "right_well", "n", "m", *SCALARS, F.posexplode(F.arrays_zip(*ALONG_PATH)).alias("path_index", "x"))
     path = path.select(*(c for c in path.columns if c != "x"), *(F.col(f"x.{c}").alias(c) for c in ALONG_PATH))
     return alignment.decorate_sized(path, options.warp_penalty, options.window).select(*COLUMNS)
 
 
+def correlate_prepared(prepared: DataFrame, wells: DataFrame, options: WarpOptions = CORRELATE) -> DataFrame:
+    """The correlation table of prepared logs (log_id, idx, md, z) in the order of wells (log_id, ord, name)."""
+    return table_of(line_up(side_by_side(prepared, wells), options), options)
+
+
 def correlate(
     spark: SparkSession,
     files: Sequence[str | os.PathLike],
@@ -83,19 +87,18 @@ def correlate(
     warp_options: WarpOptions = CORRELATE,
     progress: Callable[[str], None] | None = None,
 ) -> DataFrame:
-    """Neighbouring files, aligned: A with B, B with C, ... progress gets a line for each pair, when the table is made."""
+    """Neighbouring files, aligned: A with B, B with C, ... progress gets a line for each pair before the table is returned."""
     require(not isinstance(files, str | bytes | os.PathLike), "files must be a sequence of paths")
     require(len(files) >= 2, "two files at least are needed")
     found = well_names(files, names)
-    raw = functools.reduce(DataFrame.unionByName, (read_curve(spark, f, curve, md_column, k) for k, f in enumerate(files)))
-    prepared = logs.prepare(raw, log_options)
+    prepared = logs.prepare(read_curves(spark, files, curve, md_column), log_options)
     wells = spark.createDataFrame([(k, k, name) for k, name in enumerate(found)], "log_id int, ord long, name string")
-    table = correlate_prepared(prepared, wells, warp_options)
+    lined = line_up(side_by_side(prepared, wells), warp_options)
     if progress is not None:
-        lines = table.groupBy("pair", "left_well", "right_well").agg(F.count("*").alias("n"), F.first("mean_cost").alias("mean"), F.first("normalized_cost").alias("cost"))
-        for r in lines.orderBy("pair").toLocalIterator():
-            progress(f"{r['left_well']} -> {r['right_well']}: {r['n']} points, mean cost {r['mean']:.5g}, normalized {r['cost']:.5g}")
-    return table
+        lined = cut(lined)  # aligned once, for the lines and for the table
+        for r in lined.select("left_well", "right_well", F.size("i").alias("n"), "mean_cost", "normalized_cost", "pair").orderBy("pair").toLocalIterator():
+            progress(f"{r['left_well']} -> {r['right_well']}: {r['n']} points, mean cost {r['mean_cost']:.5g}, normalized {r['normalized_cost']:.5g}")
+    return table_of(lined, warp_options)
 
 
 def read_log(spark: SparkSession, path: str | os.PathLike, curve: str = "GR", md_column: str = "MD", options: LogOptions | None = None) -> DataFrame:

@@ -1,48 +1,39 @@
 """Curves from CSV files and results to one CSV file.
 
-Encoding and delimiter of each file are found from its first bytes; then Spark reads it, all columns as text.
+All files are one scan: a row for each, so a task decodes a whole file before it settles on an encoding, and quoted fields may hold line
+breaks. A curve's file must fit into a task; files are many, not large.
 """
 
 from __future__ import annotations
 
 import csv
+import io
 import os
-import shutil
-import tempfile
+import re
+import uuid
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType
 
 from ..errors import InvalidInput
 from ..functions.numbers import parse_number
 from ..options import require
+from ..tables import cut
 
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1251", "latin1")
 DELIMITERS = ",;\t|"
-HEAD = 1 << 16
-
-
-def _head(spark: SparkSession, path: str) -> bytes:
-    """The first bytes of a file, from whatever store Spark reads."""
-    jvm = spark._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        size = min(HEAD, fs.getFileStatus(at).getLen())
-        stream = fs.open(at)
-    except Exception as e:  # the JVM's own errors are wrapped
-        raise InvalidInput(f"{path}: cannot be read: {str(e).splitlines()[0]}") from e
-    try:
-        return bytes(stream.readNBytes(size))
-    finally:
-        stream.close()
+FIELDS = "path string, md string, value string, error string"
+ROWS = 100_000
 
 
 def sniff_delimiter(text: str) -> str:
-    lines = [x for x in text.splitlines() if x.strip()]
+    """The delimiter that the first lines agree on; of files that leave it open, the most frequent one in the header."""
+    lines = [x for x in text[: 1 << 16].splitlines() if x.strip()]
     try:
         return csv.Sniffer().sniff("\n".join(lines[:50]), delimiters=DELIMITERS).delimiter
     except csv.Error:
@@ -51,37 +42,72 @@ def sniff_delimiter(text: str) -> str:
         return best if counts[best] else ","
 
 
-def detect(data: bytes, required: Sequence[str]) -> tuple[str, str, list[str]] | None:
-    """Encoding, delimiter and cleaned header: of the first encoding whose header has all required columns."""
-    cut = data[: data.rfind(b"\n") + 1] if len(data) >= HEAD and b"\n" in data else data
+def curve_rows(data: bytes, md_column: str, curve: str) -> Iterator[tuple[str | None, str | None]]:
+    """Depth and value, as text, of each record. The first encoding that decodes the whole file and has both columns counts."""
+    seen: list[str] = []
     for encoding in ENCODINGS:
         try:
-            text = cut.decode(encoding)
+            text = data.decode(encoding)
         except UnicodeError:
             continue
-        if not text.strip():
+        records = csv.reader(io.StringIO(text.lstrip("\ufeff"), newline=""), delimiter=sniff_delimiter(text))
+        header = [x.strip().replace("\ufeff", "") for x in next((r for r in records if r), [])]
+        seen = header or seen
+        if md_column not in header or curve not in header:
             continue
-        delimiter = sniff_delimiter(text)
-        header = [x.strip().replace("﻿", "") for x in next(csv.reader([text.lstrip("﻿").splitlines()[0]], delimiter=delimiter))]
-        if all(c in header for c in required):
-            return encoding, delimiter, header
-    return None
+        at, of = header.index(md_column), header.index(curve)
+        for r in records:
+            if any(x.strip() for x in r[len(header) :]):
+                raise InvalidInput(f"line {records.line_num} has more fields than the header")
+            if r:
+                yield tuple(r[k] if k < len(r) else None for k in (at, of))
+        return
+    raise InvalidInput(f"columns {md_column} and {curve} are needed; there are {', '.join(seen) or 'none'}")
+
+
+def read_curves(spark: SparkSession, paths: Sequence[str | os.PathLike], curve: str = "GR", md_column: str = "MD") -> DataFrame:
+    """log_id (the place in paths), md, value (doubles; missing ones null) of all files; raises for the first file that has no such curve."""
+    curve, md_column = str(curve).strip(), str(md_column).strip()
+    require(bool(curve) and bool(md_column) and curve != md_column, "the depth and curve columns need different, non-empty names")
+    names = [os.fspath(p) for p in paths]
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark._jsc.hadoopConfiguration()
+    full = []
+    for name in names:
+        path = hadoop(name)
+        full.append(path.getFileSystem(conf).makeQualified(path).toString())
+
+    def parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        columns = [x.split()[0] for x in FIELDS.split(", ")]
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                part: list[tuple] = []
+                try:
+                    for md, value in curve_rows(bytes(content), md_column, curve):
+                        part.append((path, md, value, None))
+                        if len(part) == ROWS:
+                            yield pd.DataFrame(part, columns=columns)
+                            part = []
+                except (InvalidInput, csv.Error) as e:
+                    part.append((path, None, None, str(e)))
+                if part:
+                    yield pd.DataFrame(part, columns=columns)
+
+    try:
+        files = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in dict.fromkeys(full)])
+        rows = cut(files.select("path", "content").mapInPandas(parsed, FIELDS))
+    except Exception as e:  # the JVM's own errors are wrapped
+        raise InvalidInput(f"the files cannot be read: {str(e).splitlines()[0]}") from e
+    order = spark.createDataFrame(list(zip(full, range(len(full)), names, strict=True)), "path string, log_id int, name string")
+    # files without any byte are not even read
+    found = rows.groupBy("path").agg(F.max("error").alias("error"), F.lit(True).alias("read"))
+    if bad := order.join(found, "path", "left").filter("error IS NOT NULL OR read IS NULL").orderBy("log_id").select("name", "error").first():
+        raise InvalidInput(f"{bad['name']}: {bad['error'] or 'it has no records'}")
+    return rows.join(order, "path").select("log_id", parse_number(F.col("md")).alias("md"), parse_number(F.col("value")).alias("value"))
 
 
 def read_curve(spark: SparkSession, path: str | os.PathLike, curve: str = "GR", md_column: str = "MD", log_id: int = 0) -> DataFrame:
-    """log_id, md, value (doubles; missing ones null) of one file."""
-    curve, md_column, path = str(curve).strip(), str(md_column).strip(), os.fspath(path)
-    require(bool(curve) and bool(md_column) and curve != md_column, "the depth and curve columns need different, non-empty names")
-    found = detect(_head(spark, path), (md_column, curve))
-    if found is None:
-        raise InvalidInput(f"{path}: columns {md_column} and {curve} are needed")
-    encoding, delimiter, header = found
-    # numbers are the same bytes in both single-byte encodings, the no-break space too, and Spark reads only one of them
-    spark_name = "UTF-8" if encoding.startswith("utf") else "ISO-8859-1"
-    names = [f"c{k}" for k in range(len(header))]
-    rows = spark.read.schema(", ".join(f"{n} string" for n in names)).option("header", True).option("enforceSchema", True).option("sep", delimiter).option("encoding", spark_name).option("mode", "PERMISSIVE").csv(path)
-    md, value = names[header.index(md_column)], names[header.index(curve)]
-    return rows.select(F.lit(log_id).alias("log_id"), parse_number(F.col(md)).alias("md"), parse_number(F.col(value)).alias("value"))
+    """log_id, md, value of one file."""
+    return read_curves(spark, [path], curve, md_column).withColumn("log_id", F.lit(log_id))
 
 
 def well_name(path: str | os.PathLike) -> str:
@@ -119,20 +145,44 @@ def resolve_names(files: DataFrame) -> DataFrame:
 
 
 def write_one_csv(frame: DataFrame, output: str | os.PathLike, overwrite: bool = False, order: Sequence[str] = ()) -> None:
-    """frame as one CSV file with a header, on the driver's file system: written beside it under another name, then renamed."""
-    target = Path(output)
-    require(overwrite or not target.exists(), f"{target} exists already")
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, temporary = tempfile.mkstemp(prefix=f".{target.name}.", suffix=".tmp", dir=target.parent)
+    """frame as one CSV file with a header, in whatever store Spark writes to.
+
+    Tasks write their ranges of the order as files beside the target; the JVM appends these to one file, which then takes the target's name.
+    """
+    spark = frame.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(os.fspath(output))
+    fs = target.getFileSystem(conf)
+    target = fs.makeQualified(target)
+    there = fs.exists(target)
+    require(overwrite or not there, f"{output} exists already")
+    mark = uuid.uuid4().hex
+    beside = lambda kind: jvm.org.apache.hadoop.fs.Path(target.getParent(), f".{target.getName()}-{mark}.{kind}")
+    parts, whole = beside("parts"), beside("whole")
+    # booleans as True and False, like the rest of the Python world reads them
+    plain = frame.select(*(F.initcap(F.col(f.name).cast("string")).alias(f.name) if isinstance(f.dataType, BooleanType) else F.col(f.name) for f in frame.schema.fields))
+    fs.setWriteChecksum(False)
     try:
-        rows = frame.orderBy(*order) if order else frame
-        with os.fdopen(handle, "w", encoding="utf-8", newline="") as f:
-            out = csv.writer(f, lineterminator="\n")
-            out.writerow(frame.columns)
-            for row in rows.toLocalIterator():  # one partition at a time
-                out.writerow(["" if x is None else x for x in row])
-        shutil.copymode(target, temporary) if target.exists() else os.chmod(temporary, 0o644)
-        os.replace(temporary, target)
-    except BaseException:
-        Path(temporary).unlink(missing_ok=True)
-        raise
+        (plain.orderBy(*order) if order else plain).write.option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).option("escape", '"').option("emptyValue", "").option("lineSep", "\n").csv(parts.toString())
+        header = io.StringIO()
+        csv.writer(header, lineterminator="\n").writerow(frame.columns)
+        out = fs.create(whole, True)
+        try:
+            out.write(bytearray(header.getvalue().encode()))
+            for name in sorted(p.getPath().getName() for p in fs.listStatus(parts)):
+                if name.startswith("part-"):
+                    source = fs.open(jvm.org.apache.hadoop.fs.Path(parts, name))
+                    try:
+                        jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, 1 << 16, False)
+                    finally:
+                        source.close()
+        finally:
+            out.close()
+        if there:
+            fs.setPermission(whole, fs.getFileStatus(target).getPermission())
+            fs.delete(target, False)
+        if not fs.rename(whole, target):
+            raise OSError(f"{output} cannot be written")
+    finally:
+        for left in (parts, whole):
+            fs.delete(left, True)

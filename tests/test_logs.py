@@ -9,7 +9,7 @@ from stratalith.functions.numbers import parse_number, ulp
 from stratalith.operators import logs
 from stratalith.options import LogOptions
 from stratalith.plans.correlation import correlate, read_log
-from stratalith.sources.csv_logs import read_curve, resolve_names, well_names, write_one_csv
+from stratalith.sources.csv_logs import read_curve, read_curves, resolve_names, well_names, write_one_csv
 
 
 def raw(spark, rows):
@@ -173,3 +173,77 @@ def test_stream(spark, tmp_path):
         start(stream, wells, str(tmp_path / "raw"), str(tmp_path / "out"), str(tmp_path / "cp"), options).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
     assert {r.pair for r in got.select("pair").distinct().collect()} == {0, 1}
+
+
+def test_encoding_is_that_of_the_whole_file(spark, tmp_path):
+    """The first byte that is not ASCII may come after any number of rows; blanks of thousands in single-byte encodings are no unknown characters."""
+    f = tmp_path / "late.csv"
+    f.write_bytes("MD;GR\n".encode() + b"".join(b"%d;%d\n" % (k, k) for k in range(20_000)) + b"".join(b"%d;1\xa0234,5\n" % k for k in range(20_000, 20_010)))
+    got = read_curve(spark, f)
+    assert got.filter("value = 1234.5").count() == 10 and got.filter("value IS NULL").count() == 0
+    f.write_bytes("MD;GR;комментарий\n".encode("cp1251") + b"1;2;\xe9\n")
+    assert [tuple(r) for r in read_curve(spark, f).collect()] == [(0, 1.0, 2.0)]
+
+
+def test_quoted_line_breaks_and_odd_rows(spark, tmp_path):
+    f = tmp_path / "a b [1]{x}.csv"
+    f.write_text('note,MD,GR\n"two\nlines, one field",1,"2.5"\n\nshort\n"a ""b""",2,3,\n', encoding="utf-8")
+    assert [(r.md, r.value) for r in read_curve(spark, f).orderBy("md").collect()] == [(None, None), (1.0, 2.5), (2.0, 3.0)]
+    f.write_text("MD,GR\n1,2\n1,2,3\n")
+    with pytest.raises(InvalidInput, match="line 3"):
+        read_curve(spark, f)
+
+
+def test_many_files_are_one_scan(spark, tmp_path):
+    files = make_wells(tmp_path, 5)
+    got = read_curves(spark, [*files, files[0]])
+    assert {r.log_id: r["count"] for r in got.groupBy("log_id").count().collect()} == dict.fromkeys(range(6), 120)
+    (tmp_path / "bad.csv").write_text("MD,SP\n1,2\n")
+    with pytest.raises(InvalidInput, match="bad.csv.*SP"):
+        read_curves(spark, [*files, tmp_path / "bad.csv"])
+
+
+def test_interpolation_is_linear_in_length(spark):
+    """A log of 200,000 knots and as many depths: the most that options allow."""
+    import time
+
+    n = 200_000
+    knots = spark.range(n).selectExpr("0 AS log_id", "id * 1.0D AS md", "CAST(id % 7 AS DOUBLE) AS value")
+    grid = spark.range(n).selectExpr("0 AS log_id", "CAST(id AS INT) AS idx", "id * 0.9999D AS md")
+    begin = time.perf_counter()
+    got = logs.interpolate(grid, knots).toPandas().sort_values("idx")
+    assert time.perf_counter() - begin < 60
+    md = np.arange(n) * 0.9999
+    assert np.allclose(got.value, np.interp(md, np.arange(n), np.arange(n) % 7.0), atol=1e-9)
+
+
+def test_write_one_csv(spark, tmp_path):
+    import csv
+
+    rows = [(k, f'a "{k}",\n', k / 3 if k % 2 else None, k % 3 == 0) for k in range(50)]
+    frame = spark.createDataFrame(rows, "k int, t string, x double, b boolean").repartition(7)
+    out = tmp_path / "o.csv"
+    write_one_csv(frame, out, order=("k",))
+    with open(out, newline="") as f:
+        got = list(csv.reader(f))
+    assert got[0] == ["k", "t", "x", "b"] and [(int(a), b, float(c) if c else None, d == "True") for a, b, c, d in got[1:]] == rows
+    with pytest.raises(ValueError):
+        write_one_csv(frame, out)
+    write_one_csv(frame.limit(0), out, overwrite=True)
+    assert out.read_text() == "k,t,x,b\n" and [p.name for p in tmp_path.iterdir()] == ["o.csv"]
+
+
+def test_cli_options():
+    from stratalith.cli import FLAGS, build_parser, read_options
+    from stratalith.options import CORRELATE, STANDARD_MISSING
+
+    parse = lambda *more: read_options(build_parser().parse_args(["a", "b", *more]))
+    assert parse() == (LogOptions(), CORRELATE)
+    log, warp = parse("--sampling-step", "2", "--missing-value", "-1", "--missing-value", "7", "--clip-percentiles", "1", "99", "--max-warp-run", "0", "--window-ratio", "0.5", "--max-resampled-points", "9")
+    assert (log.step, log.missing_values, log.clip_percentiles, log.max_resampled_points) == (2.0, (*STANDARD_MISSING, -1.0, 7.0), (1.0, 99.0), 9)
+    assert (warp.max_warp_run, warp.window) == (None, 0.5)
+    assert parse("--no-standard-missing-values", "--interpolate-all-gaps")[0] == LogOptions(missing_values=(), interpolate_all_gaps=True)
+    for bad in (["--step", "nan"], ["--step", "-1"], ["--window", "1.5"], ["--warp-penalty", "-1"], ["--max-warp-run", "-2"], ["--max-dtw-cells", "0"], ["--max-memory-mb", "inf"], ["--clip-percentiles", "9", "3"]):
+        with pytest.raises(ValueError):
+            parse(*bad)
+    assert len(FLAGS) == 11
