@@ -5,12 +5,12 @@ from .kernels.convergent import interpolate as interpolate_arrays
 from .kernels.gaussian import interpolate as simulate_arrays
 from .kernels.grids import evaluate
 from .kernels.warping import Alignment, align
-from .operators.geometry import evaluate_surface, map_columns
+from .operators.geometry import evaluate_surface, map_columns, map_nodes, map_surfaces
 from .options import CORRELATE, CellModel, ConvergentOptions, Correlation, GaussianOptions, LogOptions, Surface, Trend, WarpOptions
 from .plans.correlation import correlate, correlate_prepared, read_log
 from .plans.surfaces import interpolate_convergent, nodes_of, simulate_gaussian
 from .session import local_session, ship
-from .sources.csv_logs import read_curve, write_one_csv
+from .sources.csv_logs import read_curve, read_curves, write_one_csv
 
 
 def dtw(a, b, window: float = 0.10, **options):
@@ -23,6 +23,6 @@ dtw_details = align
 
 __all__ = [
     "CORRELATE", "Alignment", "CellModel", "ConvergentOptions", "Correlation", "GaussianOptions", "LogOptions", "Surface", "Trend", "WarpOptions", "align", "correlate",
-    "correlate_prepared", "dtw", "dtw_details", "evaluate", "evaluate_surface", "interpolate_arrays", "interpolate_convergent", "local_session", "map_columns", "nodes_of",
-    "read_curve", "read_log", "register", "ship", "simulate_arrays", "simulate_gaussian", "write_one_csv",
+    "correlate_prepared", "dtw", "dtw_details", "evaluate", "evaluate_surface", "interpolate_arrays", "interpolate_convergent", "local_session", "map_columns", "map_nodes", "map_surfaces", "nodes_of",
+    "read_curve", "read_curves", "read_log", "register", "ship", "simulate_arrays", "simulate_gaussian", "write_one_csv",
 ]

@@ -61,30 +61,43 @@ def rank(matrix: np.ndarray, relative_tolerance: float) -> int:
     return found
 
 
-def conjugate_gradients(apply: Operator, rhs: np.ndarray, x: np.ndarray, diagonal: np.ndarray, most: int, relative_tolerance: float) -> tuple[np.ndarray, int, bool]:
-    """Solution, iterations and whether the residual's norm fell to the tolerance times the larger of 1, |rhs| and the first residual."""
+Stop = Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray], bool]]
+
+
+def relative(tolerance: float) -> Stop:
+    """Done when the residual's norm is the tolerance times the larger of 1, |rhs| and the first residual."""
+
+    def begin(rhs: np.ndarray, first: np.ndarray) -> Callable[[np.ndarray], bool]:
+        target = tolerance * max(1.0, float(np.linalg.norm(rhs)), float(np.linalg.norm(first)))
+        return lambda r: float(np.linalg.norm(r)) <= target
+
+    return begin
+
+
+def below(limit: float, size: Callable[[np.ndarray], float]) -> Stop:
+    """Done when the residual's size is at most the limit."""
+    return lambda rhs, first: lambda r: float(size(r)) <= limit
+
+
+def conjugate_gradients(apply: Operator, rhs: np.ndarray, x: np.ndarray, diagonal: np.ndarray | float, most: int, stop: Stop) -> tuple[np.ndarray, int, bool]:
+    """Solution from x, iterations, and whether stop's condition was met; ends early where the operator is not positive or numbers leave their range."""
     x = x.copy()
     r = rhs - apply(x)
-    first = float(np.linalg.norm(r))
-    target = relative_tolerance * max(1.0, float(np.linalg.norm(rhs)), first)
-    if first <= target:
+    done = stop(rhs, r)
+    if done(r):
         return x, 0, True
     d = r / diagonal
     rho = float(r @ d)
     for k in range(1, most + 1):
         q = apply(d)
         curve = float(d @ q)
-        if not (curve > 0 and np.isfinite(curve) and np.isfinite(rho)):
+        if not (curve > 0 and rho > 0 and np.isfinite(curve) and np.isfinite(rho)):
             return x, k - 1, False
-        a = rho / curve
-        x += a * d
-        r -= a * q
-        if float(np.linalg.norm(r)) <= target:
+        x += rho / curve * d
+        r -= rho / curve * q
+        if done(r):
             return x, k, True
         s = r / diagonal
-        new = float(r @ s)
-        if not np.isfinite(new):
-            return x, k, False
-        d = s + (new / rho) * d
-        rho = new
+        before, rho = rho, float(r @ s)
+        d = s + (rho / before) * d
     return x, most, False

@@ -30,6 +30,25 @@ def map_columns(df: DataFrame, x: str = "x", y: str = "y", value: str = "value",
     )
 
 
+def map_surfaces(df: DataFrame, minx: str = "minx", maxx: str = "maxx", miny: str = "miny", maxy: str = "maxy", nx: str = "nx", ny: str = "ny", surface_id: str | None = "surface_id") -> DataFrame:
+    """Any frame of surface headers under the engine's names; surface 0 where there is no number."""
+    names = dict(zip(HEADER, (minx, maxx, miny, maxy, nx, ny), strict=True))
+    return _mapped(df, names, surface_id)
+
+
+def map_nodes(df: DataFrame, node_id: str = "node_id", z: str = "z", surface_id: str | None = "surface_id") -> DataFrame:
+    """Any frame of node values (or of a trend) under the engine's names."""
+    return _mapped(df, {"node_id": node_id, "z": z}, surface_id)
+
+
+def _mapped(df: DataFrame, names: dict[str, str], surface_id: str | None) -> DataFrame:
+    missing = [c for c in (*names.values(), *([surface_id] if surface_id else [])) if c not in df.columns]
+    if missing:
+        raise InvalidInput(f"no columns {missing}; there are {df.columns}")
+    kinds = {"nx": "int", "ny": "int", "node_id": "long"}
+    return df.select((F.col(surface_id) if surface_id else F.lit(0)).cast("int").alias("surface_id"), *(F.col(c).cast(kinds.get(n, "double")).alias(n) for n, c in names.items()))
+
+
 def classify(points: DataFrame, surfaces: DataFrame) -> DataFrame:
     """points with their surface's header and a verdict: not_finite, negative_weight, unused (weight 0), outside or ok."""
     p = points.join(surfaces, "surface_id")

@@ -6,8 +6,9 @@ surface must fit into a task; everything before and after the solver is relation
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import asdict, fields
+import functools
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import asdict, fields, replace
 
 import numpy as np
 import pandas as pd
@@ -51,34 +52,49 @@ def _array(x, kind):
     return None if x is None else np.asarray(x, kind)
 
 
-def _solved(packed: DataFrame, solve, report: type, keys: str, on_error: str) -> DataFrame:
-    """surface_id (and seed), status, z, and the report's columns; with on_error='report' a failed surface is a row with its status and message."""
+#: Node values that a batch of results holds at most, beyond its last surface's.
+NODES_AT_ONCE = 2_000_000
+Task = tuple[dict[str, int], Callable[[], tuple[np.ndarray, object]]]
+
+
+def _solved(packed: DataFrame, tasks: Callable[..., Iterable[Task]], report: type, keys: str, on_error: str) -> DataFrame:
+    """surface_id (and seed), status, message, z, and the report's columns, of the tasks of each row; with on_error='report' a failed one is a row with its status and message."""
     if on_error not in ("raise", "report"):
         raise InvalidInput("on_error is 'raise' or 'report'")
     columns = _report_columns(report)
     names = [k.split()[0] for k in keys.split(", ")]
     schema = f"{keys}, status string, message string, z array<double>, " + ", ".join(f"{n} {t}" for n, t in columns.items())
 
+    def framed(out: list[dict]) -> pd.DataFrame:
+        frame = pd.DataFrame(out, columns=[*names, "status", "message", "z", *columns])
+        for n, t in columns.items():
+            frame[n] = frame[n].astype({"long": "Int64", "boolean": "boolean", "double": "float64"}[t])
+        return frame
+
     def each(batches):
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                key = {n: getattr(row, n) for n in names}
+        out, held = [], 0
+        for row in (row for pdf in batches for row in pdf.itertuples(index=False)):
+            for key, solve in tasks(row):
                 try:
-                    z, r = solve(row)
-                    out.append({**key, "status": "ok", "message": None, "z": z, **asdict(r)})
+                    z, r = solve()
+                    out.append({"status": "ok", "message": None, "z": z, **asdict(r), **key})
+                    held += len(z)
                 except Exception as e:
                     if on_error == "raise":
                         raise type(e)(f"{', '.join(f'{k} {v}' for k, v in key.items())}: {e}") from e
-                    out.append({**key, "status": status_of(e), "message": str(e), "z": None, **dict.fromkeys(columns)})
-            frame = pd.DataFrame(out, columns=[*names, "status", "message", "z", *columns])
-            for n, t in columns.items():
-                frame[n] = frame[n].astype({"long": "Int64", "boolean": "boolean", "double": "float64"}[t])
-            yield frame
+                    out.append({"status": status_of(e), "message": str(e), "z": None, **dict.fromkeys(columns), **key})
+                if held >= NODES_AT_ONCE:
+                    yield framed(out)
+                    out, held = [], 0
+        yield framed(out)
 
     return packed.mapInPandas(each, schema)
 
 
+def _grid(row) -> Surface:
+    return Surface(row.minx, row.maxx, row.miny, row.maxy, int(row.nx), int(row.ny))
+
+
 def nodes_of(solved: DataFrame, surfaces: DataFrame) -> DataFrame:
     """surface_id (and seed), node_id, ix, iy, z of solved surfaces."""
     keys = [c for c in ("surface_id", "seed") if c in solved.columns]
@@ -95,28 +111,31 @@ def interpolate_convergent(surfaces: DataFrame, points: DataFrame, options: Conv
     """Minimum-curvature surfaces: surface_id, status, message, z (node values) and the report's columns."""
     o = options or ConvergentOptions()
 
-    def solve(row):
-        grid = Surface(row.minx, row.maxx, row.miny, row.maxy, int(row.nx), int(row.ny))
-        return convergent.interpolate(grid, _points_of(row), o, _array(row.active, bool))
+    def tasks(row):
+        yield {"surface_id": row.surface_id}, lambda: convergent.interpolate(_grid(row), _points_of(row), o, _array(row.active, bool))
 
-    return _solved(_spread(_packed(surfaces, points, mask, None)), solve, ConvergentReport, "surface_id int", on_error)
+    return _solved(_spread(_packed(surfaces, points, mask, None)), tasks, ConvergentReport, "surface_id int", on_error)
 
 
 def simulate_gaussian(surfaces: DataFrame, points: DataFrame, options: GaussianOptions | None = None, seeds: Sequence[int] | None = None, mask: DataFrame | None = None, trend: DataFrame | None = None, on_error: str = "raise") -> DataFrame:
     """Conditional realisations: surface_id, seed, status, message, z and the report's columns, for each surface and seed."""
     o = options or GaussianOptions()
     chosen = [o.seed] if seeds is None else list(seeds)
-    base = {f.name: getattr(o, f.name) for f in fields(o)}
     for s in chosen:
-        GaussianOptions(**{**base, "seed": s})
-    # seeds are unsigned; a long carries their bits
+        replace(o, seed=s)
+    # seeds are unsigned; a long carries their bits. A row takes several, so that points and spectrum serve them all.
     signed = [int(s) - (1 << 64 if s >= 1 << 63 else 0) for s in chosen]
-    packed = _packed(surfaces, points, mask, trend).select("*", F.explode(F.array(*(F.lit(s).cast("long") for s in signed))).alias("seed"))
+    rows = min(len(signed), int(surfaces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = [F.array(*(F.lit(s).cast("long") for s in signed[k::rows])) for k in range(rows)]
+    packed = _packed(surfaces, points, mask, trend).select("*", F.explode(F.array(*dealt) if dealt else F.array().cast("array<array<bigint>>")).alias("seeds"))
+
+    def tasks(row):
+        ready = functools.cache(lambda: gaussian.Simulation(_grid(row), _points_of(row), o, _array(row.active, bool), _array(row.trend, float)))
+        for seed in row.seeds.tolist():
+            yield {"surface_id": row.surface_id, "seed": seed}, lambda seed=seed: _signed(ready().realise(seed % (1 << 64)), seed)
+
+    return _solved(_spread(packed), tasks, GaussianReport, "surface_id int, seed long", on_error)
 
-    def solve(row):
-        grid = Surface(row.minx, row.maxx, row.miny, row.maxy, int(row.nx), int(row.ny))
-        own = GaussianOptions(**{**base, "seed": int(row.seed) % (1 << 64)})
-        z, report = gaussian.interpolate(grid, _points_of(row), own, _array(row.active, bool), _array(row.trend, float))
-        return z, gaussian.GaussianReport(**{**asdict(report), "seed_used": int(row.seed)})
 
-    return _solved(_spread(packed), solve, GaussianReport, "surface_id int, seed long", on_error)
+def _signed(solved: tuple[np.ndarray, GaussianReport], seed: int) -> tuple[np.ndarray, GaussianReport]:
+    return solved[0], replace(solved[1], seed_used=seed)
