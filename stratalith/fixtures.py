@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 KINDS = ("click", "error", "purchase", "signup", "view")
 FLAGS = ("A", "N", "R")
-BLOCK = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,18 +25,14 @@ def wells(spark: SparkSession) -> DataFrame:
     return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, {k}L, '{x}')" for k, x in enumerate(KINDS)) + " AS t(log_id, ord, name)")
 
 
-def series(spark: SparkSession, sf_dir: str, block: int = 1) -> DataFrame:
-    """embeddings as series (vec_id, z): means of blocks of values."""
-    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
-    if block == 1:
-        return v
-    means = F.transform(F.sequence(F.lit(0), F.floor(F.size("z") / block).cast("int") - 1), lambda k: F.aggregate(F.slice("z", k * block + 1, F.lit(block)), F.lit(0.0), lambda a, x: a + x) / block)
-    return v.select("vec_id", means.alias("z"))
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embeddings as series (vec_id, z)."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("z"))
 
 
-def series_pairs(spark: SparkSession, sf_dir: str, block: int = 1) -> DataFrame:
+def series_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pair, a, b: each series with the next."""
-    s = series(spark, sf_dir, block)
+    s = series(spark, sf_dir)
     return s.select(F.col("vec_id").alias("pair"), F.col("z").alias("a")).join(s.select((F.col("vec_id") - 1).alias("pair"), F.col("z").alias("b")), "pair")
 
 

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..kernels.warping import align_many
 from ..options import WarpOptions
 
+FOLDED = 1_000
+
 
 def along():
     """A pair's path in order (windows need a session, so they are made when used)."""
@@ -77,10 +79,12 @@ def transposed(a: Column, b: Column) -> Column:
 def fold_costs(pairs: DataFrame, options: WarpOptions | None = None) -> DataFrame:
     """pair, total_cost, path_length (pair, a, b: arrays) without Python: rows folded over rows, each an array of (cost, length) cells.
 
-    For series of a few hundred values; the kernel is for longer ones.
+    For series of a few hundred values, since a row is copied for each of its cells; the kernel is for longer ones, which raise here.
     """
     o = options or WarpOptions()
-    p = pairs.withColumn("swap", transposed(F.col("a"), F.col("b")))
+    long = F.raise_error(F.concat(F.lit(f"series of more than {FOLDED} values need the kernel: pair "), F.col("pair").cast("string"))).cast("array<double>")
+    p = pairs.withColumn("a", F.when(F.greatest(F.size("a"), F.size("b")) > FOLDED, long).otherwise(F.col("a")))
+    p = p.withColumn("swap", transposed(F.col("a"), F.col("b")))
     p = p.select("pair", F.when(F.col("swap"), F.col("b")).otherwise(F.col("a")).alias("r"), F.when(F.col("swap"), F.col("a")).otherwise(F.col("b")).alias("c"))
     p = p.select("pair", "r", "c", F.size("r").alias("n"), F.size("c").alias("m"))
     p = p.withColumn("band", band(F.col("n"), F.col("m"), o.window))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import BLOCK, FLAGS, KINDS
+from .fixtures import FLAGS, KINDS
 from .options import CellModel, Correlation
 
 ORACLES: dict[str, str] = {}
@@ -21,10 +21,14 @@ c AS (SELECT log_id, md, avg(CASE WHEN value NOT IN (-999.25, -999, 999.25) THEN
 GAPS = "g AS (SELECT * FROM (SELECT log_id, md, lead(md) OVER w AS next_md, lead(md) OVER w - md AS gap FROM c WINDOW w AS (PARTITION BY log_id ORDER BY md)) WHERE next_md IS NOT NULL)"
 STEPS = "s AS (SELECT log_id, median(gap) AS step FROM g GROUP BY log_id)"
 # hours and a step of 0.7: rounding stays far below the tolerance of the grid's end
-GRID = """e AS (SELECT log_id, min(md) AS top, max(md) AS bottom FROM c GROUP BY log_id),
-p AS (SELECT *, CAST(floor((bottom - top) / 7e-1 + 1e-9) AS BIGINT) AS k FROM e),
-p2 AS (SELECT *, abs(top + k * 7e-1 - bottom) > 1e-9 AS more FROM p),
-grid AS (SELECT log_id, CAST(i AS INTEGER) AS idx, CASE WHEN i = k + CAST(more AS INTEGER) THEN bottom ELSE top + i * 7e-1 END AS md FROM p2, LATERAL (SELECT unnest(range(0, k + 1 + CAST(more AS INTEGER))) AS i))"""
+def _grid(step: str) -> str:
+    return f"""e AS (SELECT log_id, min(md) AS top, max(md) AS bottom FROM c GROUP BY log_id),
+gp AS (SELECT *, CAST(floor((bottom - top) / {step} + 1e-9) AS BIGINT) AS k FROM e),
+p2 AS (SELECT *, abs(top + k * {step} - bottom) > 1e-9 AS more FROM gp),
+grid AS (SELECT log_id, CAST(i AS INTEGER) AS idx, CASE WHEN i = k + CAST(more AS INTEGER) THEN bottom ELSE top + i * {step} END AS md FROM p2, LATERAL (SELECT unnest(range(0, k + 1 + CAST(more AS INTEGER))) AS i))"""
+
+
+GRID = _grid("7e-1")
 KNOTS = "kn AS (SELECT log_id, md AS a, value AS va, lead(md) OVER w AS b, lead(value) OVER w AS vb FROM c WINDOW w AS (PARTITION BY log_id ORDER BY md))"
 RESAMPLED = "r AS (SELECT grid.log_id, idx, md, CASE WHEN b IS NULL OR a = md THEN va ELSE (vb - va) / (b - a) * (md - a) + va END AS value FROM grid ASOF JOIN kn ON grid.log_id = kn.log_id AND grid.md >= kn.a)"
 
@@ -86,19 +90,17 @@ _ROW = f"""list_reduce(list_concat([CAST([] AS STRUCT(c DOUBLE, l INTEGER, k INT
 _FIRST = f"""list_reduce(list_concat([CAST([] AS STRUCT(c DOUBLE, l INTEGER, k INTEGER, p VARCHAR)[])], list_transform(range(0, m), lambda j: [struct_pack(c := CAST(j AS DOUBLE), l := 0, k := 0, p := '')])),
   lambda acc, x: list_append(acc, list_transform([CAST(x[1].c AS BIGINT)], lambda j: CASE WHEN j * (n - 1) > band THEN {FAR} WHEN j = 0 THEN {CANDIDATE.format(c="abs(r[1] - s[1])", l="1", k="0", p="''")}
     ELSE {CANDIDATE.format(c="acc[j].c + 5e-2 + abs(r[1] - s[j + 1])", l="acc[j].l + 1", k="3", p="acc[j].p || 'L'")} END)[1]))"""
-WARPED = f"""{SERIES},
-w AS (SELECT vec_id, list_transform(range(0, len(v) // {BLOCK}), lambda k: list_reduce(v[k * {BLOCK} + 1:k * {BLOCK} + {BLOCK}], lambda a, x: a + x, CAST(0 AS DOUBLE)) / {BLOCK}) AS z FROM e),
-p AS (SELECT x.vec_id AS pair, x.z AS a, y.z AS b FROM w x JOIN w y ON y.vec_id = x.vec_id + 1),
-d AS (SELECT *, list_filter(range(1, len(a) + 1), lambda k: a[k] <> b[k])[1] AS f FROM p),
-o AS (SELECT pair, coalesce(a[f] < b[f], false) AS swap, a, b FROM d),
-t AS (SELECT pair, swap, CASE WHEN swap THEN b ELSE a END AS r, CASE WHEN swap THEN a ELSE b END AS s, len(a) AS n, len(b) AS m FROM o),
+PAIRS = f"{SERIES}, p AS (SELECT x.vec_id AS pair, x.v AS a, y.v AS b FROM e x JOIN e y ON y.vec_id = x.vec_id + 1)"
+WARPED = f"""d AS (SELECT *, list_filter(range(1, len(a) + 1), lambda k: a[k] <> b[k])[1] AS f FROM p),
+o AS (SELECT pair, CASE WHEN len(a) <> len(b) THEN len(a) < len(b) ELSE coalesce(a[f] < b[f], false) END AS swap, a, b FROM d),
+t AS (SELECT pair, swap, r, s, len(r) AS n, len(s) AS m FROM (SELECT pair, swap, CASE WHEN swap THEN b ELSE a END AS r, CASE WHEN swap THEN a ELSE b END AS s FROM o)),
 u AS (SELECT *, CAST(floor(CAST(0.1 AS DOUBLE) * ((n - 1) * (m - 1)) + CAST(0.5 AS DOUBLE) * greatest(n - 1, m - 1)) AS BIGINT) AS band FROM t),
 f(pair, i, row) AS (
   SELECT pair, CAST(0 AS BIGINT), {_FIRST} FROM u
   UNION ALL
   SELECT f.pair, f.i + 1, {_ROW} FROM f JOIN u ON u.pair = f.pair WHERE f.i + 1 < n),
 last AS (SELECT pair, swap, r, s, n, m, band, row[m] AS x FROM f JOIN u USING (pair) WHERE f.i = n - 1),
-mv AS (SELECT pair, CASE WHEN swap THEN s ELSE r END AS a, CASE WHEN swap THEN r ELSE s END AS b, n, m, band, 'S' || CASE WHEN swap THEN translate(x.p, 'UL', 'LU') ELSE x.p END AS p FROM last),
+mv AS (SELECT pair, CASE WHEN swap THEN s ELSE r END AS a, CASE WHEN swap THEN r ELSE s END AS b, CASE WHEN swap THEN m ELSE n END AS n, CASE WHEN swap THEN n ELSE m END AS m, band, 'S' || CASE WHEN swap THEN translate(x.p, 'UL', 'LU') ELSE x.p END AS p FROM last),
 st AS (SELECT *, k - 1 AS path_index, p[k] AS mv FROM (SELECT *, unnest(range(1, length(p) + 1)) AS k FROM mv)),
 ij AS (SELECT *, CAST(sum(CAST(mv IN ('D', 'U') AS INTEGER)) OVER w AS BIGINT) AS i, CAST(sum(CAST(mv IN ('D', 'L') AS INTEGER)) OVER w AS BIGINT) AS j FROM st WINDOW w AS (PARTITION BY pair ORDER BY path_index ROWS UNBOUNDED PRECEDING)),
 rows AS (SELECT pair, path_index, i, j, mv, abs(a[i + 1] - b[j + 1]) AS local_cost, path_index > 0 AND path_index < length(p) - 1 AND (j = greatest(0, CAST(ceil((i * (m - 1) - band) / (n - 1)) AS BIGINT)) OR j = least(m - 1, CAST(floor((i * (m - 1) + band) / (n - 1)) AS BIGINT))) AS boundary_hit FROM ij),
@@ -106,14 +108,25 @@ runs AS (SELECT pair, mv, count(*) AS c FROM (SELECT *, path_index - row_number(
 run AS (SELECT pair, CAST(coalesce(max(c) FILTER (mv IN ('U', 'L')), 0) AS INTEGER) AS max_warp_run FROM runs GROUP BY pair),
 qc AS (SELECT pair, count(*) AS path_length, sum(local_cost) + 5e-2 * count(*) FILTER (mv IN ('U', 'L')) AS total, avg(local_cost) AS mean, avg(CAST(boundary_hit AS DOUBLE)) AS bf,
   CAST(count(*) FILTER (mv = 'D') AS INTEGER) AS diagonal_steps, CAST(count(*) FILTER (mv = 'U') AS INTEGER) AS up_steps, CAST(count(*) FILTER (mv = 'L') AS INTEGER) AS left_steps FROM rows GROUP BY pair)"""
-ORACLES["dtw_fold"] = f"WITH RECURSIVE {WARPED} SELECT pair, {q('total')} AS total_cost, path_length FROM qc"
-ORACLES["dtw_cost"] = f"WITH RECURSIVE {WARPED} SELECT pair, {q('total')} AS total_cost, path_length, diagonal_steps, up_steps, left_steps, max_warp_run, {q('total / path_length')} AS normalized_cost FROM qc JOIN run USING (pair)"
-ORACLES["dtw_path"] = f"""WITH RECURSIVE {WARPED}
+ORACLES["dtw_fold"] = f"WITH RECURSIVE {PAIRS}, {WARPED} SELECT pair, {q('total')} AS total_cost, path_length FROM qc"
+ORACLES["dtw_cost"] = f"WITH RECURSIVE {PAIRS}, {WARPED} SELECT pair, {q('total')} AS total_cost, path_length, diagonal_steps, up_steps, left_steps, max_warp_run, {q('total / path_length')} AS normalized_cost FROM qc JOIN run USING (pair)"
+ORACLES["dtw_path"] = f"""WITH RECURSIVE {PAIRS}, {WARPED}
 SELECT pair, CAST(path_index AS INTEGER) AS path_index, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CASE mv WHEN 'S' THEN 'start' WHEN 'D' THEN 'diagonal' WHEN 'U' THEN 'up' ELSE 'left' END AS move,
        {q("sum(local_cost + CASE WHEN mv IN ('U', 'L') THEN 5e-2 ELSE 0 END) OVER (PARTITION BY pair ORDER BY path_index ROWS UNBOUNDED PRECEDING)")} AS cumulative_cost, boundary_hit FROM rows"""
-ORACLES["dtw_path_quality"] = f"""WITH RECURSIVE {WARPED}
+ORACLES["dtw_path_quality"] = f"""WITH RECURSIVE {PAIRS}, {WARPED}
 SELECT pair, path_length, {q("total")} AS total_cost, {q("total / path_length")} AS normalized_cost, {q("mean")} AS mean_local_cost, {q("bf")} AS boundary_fraction, diagonal_steps, up_steps, left_steps, max_warp_run FROM qc JOIN run USING (pair)"""
-ORACLES["dtw_full_series"] = "SELECT x.vec_id AS pair, CAST(0 AS BIGINT) AS cost_difference, CAST(0 AS INTEGER) AS step_difference FROM embeddings x JOIN embeddings y ON y.vec_id = x.vec_id + 1"
+
+_Q = {x: q(x) for x in ("left_md", "right_md", "left_z", "right_z", "local_cost", "mean_cost", "cumulative_cost", "total_cost", "normalized_cost", "warp_penalty", "boundary_fraction")}
+ORACLES["correlate_table"] = f"""WITH RECURSIVE {LOGS}, {_grid("3")}, {KNOTS}, {RESAMPLED}, {_normal("r")},
+wl AS (SELECT CAST(log_id AS BIGINT) AS k, list_extract([{", ".join(repr(x) for x in KINDS)}], log_id + 1) AS name, list(md ORDER BY idx) AS mds, list(floor(z * 1048576 + 5e-1) / 1048576 ORDER BY idx) AS zs FROM z GROUP BY log_id),
+p AS (SELECT x.k AS pair, x.zs AS a, y.zs AS b FROM wl x JOIN wl y ON y.k = x.k + 1), {WARPED.replace('5e-2', '625e-4')},
+tab AS (
+  SELECT rows.pair, x.name AS left_well, y.name AS right_well, x.mds[i + 1] AS left_md, y.mds[j + 1] AS right_md, x.zs[i + 1] AS left_z, y.zs[j + 1] AS right_z, local_cost, mean AS mean_cost,
+         CAST(path_index AS INTEGER) AS path_index, CASE mv WHEN 'S' THEN 'start' WHEN 'D' THEN 'diagonal' WHEN 'U' THEN 'up' ELSE 'left' END AS move,
+         sum(local_cost + CASE WHEN mv IN ('U', 'L') THEN 625e-4 ELSE 0 END) OVER (PARTITION BY rows.pair ORDER BY path_index ROWS UNBOUNDED PRECEDING) AS cumulative_cost,
+         total AS total_cost, total / path_length AS normalized_cost, 625e-4 AS warp_penalty, diagonal_steps, up_steps, left_steps, max_warp_run, boundary_hit, bf AS boundary_fraction
+  FROM rows JOIN qc ON qc.pair = rows.pair JOIN run ON run.pair = rows.pair JOIN wl x ON x.k = rows.pair JOIN wl y ON y.k = rows.pair + 1)
+SELECT * REPLACE ({", ".join(f"{v} AS {k}" for k, v in _Q.items())}) FROM tab"""
 
 POINTS = f"""pt AS (SELECT {_number("l_returnflag", FLAGS)} AS surface_id, l_quantity AS x, floor(l_discount * 100 + 5e-1) AS y, avg(l_extendedprice) AS value, CAST(count(*) AS DOUBLE) AS weight FROM lineitem GROUP BY ALL),
 points AS (SELECT *, CAST(y * 50 + x - 1 AS BIGINT) AS point_id FROM pt)"""
@@ -225,10 +238,8 @@ ORACLES["grid_nodes"] = f"SELECT CAST(s AS INTEGER) AS surface_id, iy * 99 + ix
 ORACLES["effective_parameters"] = f"SELECT CAST(s AS INTEGER) AS surface_id, {q('49 * 2e-1', '1e-9')} AS major_range, {q('25e-1', '1e-9')} AS minor_range, {q(f'cos({_TURN})', '1e-9')} AS cos_azimuth, {q(f'sin({_TURN})', '1e-9')} AS sin_azimuth FROM range(3) a(s)"
 ORACLES["effective_tolerance"] = f"WITH {POINTS} SELECT surface_id, {q('1e-10 * greatest(1, max(abs(value)))', '1e-9')} AS tolerance FROM points GROUP BY surface_id"
 ORACLES["plane_constant"] = f"WITH {POINTS} SELECT surface_id, {q('sum(weight * value) / sum(weight)', '1e-4')} AS a, CAST(0 AS BIGINT) AS bx, CAST(0 AS BIGINT) AS by FROM points GROUP BY surface_id"
-ORACLES["correlation_quality"] = "SELECT p AS pair, CAST(0 AS BIGINT) AS cost, CAST(0 AS BIGINT) AS length, CAST(0 AS BIGINT) AS boundary FROM range(4) t(p)"
 ORACLES["local_cost_long"] = f"""WITH {SERIES},
-w AS (SELECT vec_id, list_transform(range(0, len(v) // {BLOCK}), lambda k: list_reduce(v[k * {BLOCK} + 1:k * {BLOCK} + {BLOCK}], lambda a, x: a + x, CAST(0 AS DOUBLE)) / {BLOCK}) AS z FROM e),
-p AS (SELECT x.vec_id AS pair, x.z AS a, y.z AS b, len(x.z) AS n, len(y.z) AS m FROM w x JOIN w y ON y.vec_id = x.vec_id + 1),
+p AS (SELECT x.vec_id AS pair, x.v AS a, y.v AS b, len(x.v) AS n, len(y.v) AS m FROM e x JOIN e y ON y.vec_id = x.vec_id + 1),
 c AS (SELECT *, unnest(range(0, m)) AS j FROM (SELECT *, unnest(range(0, n)) AS i FROM p))
 SELECT pair, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {q("abs(a[i + 1] - b[j + 1])")} AS local_cost FROM c
 WHERE abs(i * (m - 1) - j * (n - 1)) <= floor(CAST(0.1 AS DOUBLE) * ((n - 1) * (m - 1)) + CAST(0.5 AS DOUBLE) * greatest(n - 1, m - 1))"""

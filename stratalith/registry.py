@@ -40,6 +40,18 @@ def correlate_logs(spark: SparkSession, d: str) -> DataFrame:
     return correlate_prepared(prepared, fx.wells(spark), WarpOptions(warp_penalty=0.05))
 
 
+@query
+def correlate_table(spark: SparkSession, d: str) -> DataFrame:
+    """All columns of the correlation, doubles in whole millionths.
+
+    Sums along different paths can be equal but for rounding. Curves and penalty are multiples of powers of two here, so that costs are exact
+    and ties are ties in any engine.
+    """
+    prepared = logs.prepare(fx.logs(spark, d), LogOptions(step=3.0)).withColumn("z", F.floor(F.col("z") * 2.0**20 + 0.5) / 2.0**20)
+    t = correlate_prepared(prepared, fx.wells(spark), WarpOptions(warp_penalty=0.0625))
+    return t.select(*(q(f.name).alias(f.name) if f.dataType.typeName() == "double" else f.name for f in t.schema.fields))
+
+
 @query
 def log_clean(spark: SparkSession, d: str) -> DataFrame:
     return _clean(spark, d).select("log_id", F.col("md").cast("long").alias("md"), q("value").alias("value"))
@@ -130,26 +142,26 @@ def local_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def local_cost_long(spark: SparkSession, d: str) -> DataFrame:
-    """Series as rows, joined on (pair, j); the short series, of which all cells are returned."""
-    p = fx.series_pairs(spark, d, fx.BLOCK)
+    """Series as rows, joined on (pair, j)."""
+    p = fx.series_pairs(spark, d)
     left, right = p.select("pair", F.posexplode("a").alias("i", "z")), p.select("pair", F.posexplode("b").alias("j", "z"))
     return alignment.local_costs(left, right, 0.1).select("pair", "i", "j", q("local_cost").alias("local_cost"))
 
 
 @query
 def dtw_fold(spark: SparkSession, d: str) -> DataFrame:
-    f = alignment.fold_costs(fx.series_pairs(spark, d, fx.BLOCK), PAIR)
+    f = alignment.fold_costs(fx.series_pairs(spark, d), PAIR)
     return f.select("pair", q("total_cost").alias("total_cost"), "path_length")
 
 
 @query
 def dtw_cost(spark: SparkSession, d: str) -> DataFrame:
-    a = alignment.align_pairs(fx.series_pairs(spark, d, fx.BLOCK), PAIR)
+    a = alignment.align_pairs(fx.series_pairs(spark, d), PAIR)
     return a.select("pair", q("total_cost").alias("total_cost"), F.size("path").cast("long").alias("path_length"), "diagonal_steps", "up_steps", "left_steps", "max_warp_run", q("normalized_cost").alias("normalized_cost"))
 
 
 def _decorated(spark: SparkSession, d: str) -> DataFrame:
-    p = fx.series_pairs(spark, d, fx.BLOCK)
+    p = fx.series_pairs(spark, d)
     sizes = p.select("pair", F.size("a").alias("n"), F.size("b").alias("m"))
     return alignment.decorate(alignment.path_rows(alignment.align_pairs(p, PAIR)), sizes, PAIR.warp_penalty, PAIR.window)
 
@@ -166,16 +178,6 @@ def dtw_path_quality(spark: SparkSession, d: str) -> DataFrame:
     return f.select("pair", "path_length", *(q(c).alias(c) for c in ("total_cost", "normalized_cost", "mean_local_cost", "boundary_fraction")), "diagonal_steps", "up_steps", "left_steps", "max_warp_run")
 
 
-@query
-def dtw_full_series(spark: SparkSession, d: str) -> DataFrame:
-    """Whole embeddings; the quality from the plan's windows must be the kernel's."""
-    p = fx.series_pairs(spark, d)
-    a = alignment.align_pairs(p, PAIR)
-    rows = alignment.decorate(alignment.path_rows(a), p.select("pair", F.size("a").alias("n"), F.size("b").alias("m")), PAIR.warp_penalty, PAIR.window)
-    f = alignment.path_quality(rows, PAIR.warp_penalty).alias("f").join(a.alias("a"), "pair")
-    return f.select("pair", q(F.abs(F.col("f.total_cost") - F.col("a.total_cost"))).alias("cost_difference"), (F.col("f.up_steps") - F.col("a.up_steps")).alias("step_difference"))
-
-
 @query
 def point_verdicts(spark: SparkSession, d: str) -> DataFrame:
     p = fx.points(spark, d)
@@ -382,14 +384,3 @@ def effective_tolerance(spark: SparkSession, d: str) -> DataFrame:
 def plane_constant(spark: SparkSession, d: str) -> DataFrame:
     p = geometry.valid_points(fx.points(spark, d), fx.surfaces(spark))
     return trends.fit_planes(p, slopes=False).select("surface_id", q("a", 1e-4).alias("a"), q("bx").alias("bx"), q("by").alias("by"))
-
-
-@query
-def correlation_quality(spark: SparkSession, d: str) -> DataFrame:
-    """Of each pair of logs: the alignment covers both ends, and its plan and kernel agree. The differences are 0."""
-    t = correlate_logs(spark, d)
-    ends = t.groupBy("pair").agg(
-        F.max("path_index").alias("last"), F.max_by("cumulative_cost", "path_index").alias("paid"), F.first("total_cost").alias("total"),
-        (F.first("diagonal_steps") + F.first("up_steps") + F.first("left_steps")).alias("steps"), F.avg(F.col("boundary_hit").cast("double")).alias("hits"), F.first("boundary_fraction").alias("fraction"),
-    )
-    return ends.select("pair", q(F.abs(F.col("paid") - F.col("total"))).alias("cost"), (F.col("last") - F.col("steps")).cast("long").alias("length"), q(F.abs(F.col("hits") - F.col("fraction"))).alias("boundary"))
