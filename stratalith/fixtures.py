@@ -68,3 +68,41 @@ def flat_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q(x: Column | str, unit: float = 1e-6) -> Column:
     x = F.col(x) if isinstance(x, str) else x
     return F.floor(x / F.lit(unit) + F.lit(0.501)).cast("long")
+
+
+def chosen_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve points of each surface, no two in one cell of a grid of 13 by 6."""
+    return points(spark, sf_dir).filter("x % 9 = 4 AND y % 5 = 2")
+
+
+def unit_surfaces(spark: SparkSession) -> DataFrame:
+    """8 by 4 nodes, a unit apart."""
+    return spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, 0.0D, 7.0D, 0.0D, 3.0D, 8, 4)" for k in range(len(FLAGS))) + " AS t(surface_id, minx, maxx, miny, maxy, nx, ny)")
+
+
+def unit_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven points of each surface in seven cells of the unit grids, prices in thousands."""
+    p = points(spark, sf_dir).filter("x <= 7 AND y <= 2 AND (x + y) % 3 = 0")
+    return p.select("surface_id", "point_id", (F.col("x") - 1 + 0.3).alias("x"), (F.col("y") + 0.45).alias("y"), (F.col("value") / 1000).alias("value"), "weight")
+
+
+#: Points in one cell of the grid of 50 by 11: surface, x, y, value; the last four of surface 10 do not lie on a plane.
+TRIANGLES = [(s, 1 + x, y, v) for s, top in ((9, 8.0), (10, 9.0)) for x, y, v in ((0.2, 0.2, 1.0), (0.4, 0.2, 3.0), (0.2, 0.6, 5.0), (0.4, 0.4, top - 3.0))]
+
+
+def troubled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Surfaces, points and masks: the first surface's points with one kind of trouble each."""
+    kinds = "0 fine, 1 contradictory pairs, 2 negative weights, 3 outside, 4 not finite, 5 equal pairs, 6 no weight, 7 inactive nodes, 8 a mask too small".split(", ")
+    base = points(spark, sf_dir).filter("surface_id = 0").withColumn("surface_id", F.explode(F.array(*(F.lit(int(k.split()[0])) for k in kinds))))
+    odd = F.col("point_id") % 7 == 0
+    s = F.col("surface_id")
+    p = base.select(
+        "surface_id", "point_id", F.when((s == 3) & odd, F.col("x") + 60).otherwise(F.col("x")).alias("x"), "y",
+        F.when((s == 4) & odd, float("nan")).otherwise(F.col("value")).alias("value"),
+        F.when((s == 2) & odd, -F.col("weight")).when(s == 6, 0.0).otherwise(F.col("weight")).alias("weight"),
+    )
+    twice = base.filter("surface_id IN (1, 5)").select("surface_id", (F.col("point_id") + 10_000).alias("point_id"), "x", "y", F.when(s == 1, F.col("value") + 1).otherwise(F.col("value")).alias("value"), "weight")
+    flat = spark.createDataFrame([(k, n, x, y, v, 1.0) for n, (k, x, y, v) in enumerate(TRIANGLES)], "surface_id int, point_id long, x double, y double, value double, weight double")
+    header = spark.sql("SELECT CAST(id AS INT) AS surface_id, 1.0D AS minx, 50.0D AS maxx, 0.0D AS miny, 10.0D AS maxy, 50 AS nx, 11 AS ny FROM range(11)")
+    mask = spark.sql("SELECT CAST(s.id AS INT) AS surface_id, n.id AS node_id, NOT (s.id = 7 AND n.id % 50 > 30) AS active FROM range(11) s, range(550) n WHERE NOT (s.id = 8 AND n.id >= 500)")
+    return header, p.unionByName(twice).unionByName(flat), mask

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .fixtures import FLAGS, KINDS
+from .fixtures import FLAGS, KINDS, TRIANGLES
 from .options import CellModel, Correlation
 
 ORACLES: dict[str, str] = {}
@@ -217,10 +217,9 @@ def _torus(x: str, y: str) -> str:
 
 ORACLES["spectrum_small"] = f"""WITH k AS (SELECT x, y, CASE WHEN x = 8 OR y = 4 THEN (({_torus("x", "y")}) + ({_torus("((16 - x) % 16)", "((8 - y) % 8)")})) / 2 ELSE {_torus("x", "y")} END AS c FROM range(16) a(x), range(8) b(y))
 SELECT f.x AS fx, f.y AS fy, {q("sum(k.c * cos(2 * pi() * (f.x * k.x / CAST(16 AS DOUBLE) + f.y * k.y / CAST(8 AS DOUBLE))))")} AS eigenvalue FROM k f, k GROUP BY ALL"""
-ORACLES["surface_convergent_fit"] = f"WITH {POINTS} SELECT surface_id, point_id, CAST(0 AS BIGINT) AS relative_residual FROM points"
+ORACLES["surface_convergent_fit"] = f"WITH {POINTS} SELECT surface_id, point_id, {q('value', '1e-1')} AS z FROM points"
 ORACLES["surface_convergent_plane"] = f"SELECT CAST(s AS INTEGER) AS surface_id, iy * 99 + ix AS node_id, {q('3 + 2 * (1 + ix * CAST(0.5 AS DOUBLE)) - iy * CAST(0.5 AS DOUBLE)')} AS z FROM range(3) a(s), range(99) b(ix), range(21) c(iy)"
 ORACLES["gaussian_conditioned_fit"] = ORACLES["surface_convergent_fit"]
-ORACLES["gaussian_determinism"] = "SELECT CAST(s AS INTEGER) AS surface_id, CAST(0 AS BIGINT) AS difference FROM range(3) a(s)"
 ORACLES["log_problems"] = f"""WITH raw AS (SELECT {_number("event_type", KINDS)} AS log_id, CAST(floor((epoch(ts) - 1704067200) / 3600) AS DOUBLE) AS md, value FROM events),
 o AS (SELECT log_id, CASE WHEN log_id <> 3 THEN md END AS md, CASE log_id WHEN 1 THEN CAST('inf' AS DOUBLE) WHEN 2 THEN 1 ELSE value END AS value FROM raw),
 m AS (SELECT log_id, md, avg(value) FILTER (value NOT IN (-999.25, -999, 999.25)) AS v FROM o WHERE md IS NOT NULL GROUP BY log_id, md),
@@ -243,3 +242,118 @@ p AS (SELECT x.vec_id AS pair, x.v AS a, y.v AS b, len(x.v) AS n, len(y.v) AS m
 c AS (SELECT *, unnest(range(0, m)) AS j FROM (SELECT *, unnest(range(0, n)) AS i FROM p))
 SELECT pair, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {q("abs(a[i + 1] - b[j + 1])")} AS local_cost FROM c
 WHERE abs(i * (m - 1) - j * (n - 1)) <= floor(CAST(0.1 AS DOUBLE) * ((n - 1) * (m - 1)) + CAST(0.5 AS DOUBLE) * greatest(n - 1, m - 1))"""
+ORACLES["log_limits"] = f"""WITH {LOGS}, {GRID}, {GAPS}
+SELECT log_id, 'limit' AS problem FROM grid GROUP BY log_id HAVING count(*) > 1028 UNION ALL SELECT log_id, 'gap' FROM g GROUP BY log_id HAVING max(gap) > 15e-1 + 1e-9"""
+
+
+def _solution(rows: str, size: str) -> str:
+    """The last column of systems (rows: surface_id, a: rows of a matrix with the right side behind it) after elimination without exchanges; size: the number of unknowns."""
+    return f"""gj(surface_id, k, a, pr) AS (
+  SELECT surface_id, 1, a, a[1] FROM {rows}
+  UNION ALL
+  SELECT surface_id, k + 1, n, n[k + 1] FROM (SELECT surface_id, k, list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(pr, lambda v: v / pr[k]) ELSE list_transform(r, lambda v, j: v - r[k] / pr[k] * pr[j]) END) AS n FROM gj WHERE k <= {size}))"""
+
+
+# the grid of 13 by 6 in units of its larger extent: steps 1/12 and 2/49
+_H, _V = "(CAST(1 AS DOUBLE) / 12)", "(CAST(2 AS DOUBLE) / 49)"
+_BEND = f"""nd AS (SELECT CAST(s AS INTEGER) AS surface_id, CAST(ix AS BIGINT) AS ix, CAST(iy AS BIGINT) AS iy, iy * 13 + ix AS i FROM range(3) a(s), range(13) b(ix), range(6) c(iy)),
+te AS (
+  SELECT iy * 13 + ix AS id, {_V} / pow({_H}, 3) AS s, [ix - 1, ix, ix + 1] AS xs, [iy, iy, iy] AS ys, [1, -2, 1] AS cs FROM nd WHERE surface_id = 0 AND ix BETWEEN 1 AND 11
+  UNION ALL SELECT 1000 + iy * 13 + ix, {_H} / pow({_V}, 3), [ix, ix, ix], [iy - 1, iy, iy + 1], [1, -2, 1] FROM nd WHERE surface_id = 0 AND iy BETWEEN 1 AND 4
+  UNION ALL SELECT 2000 + iy * 13 + ix, 2 / ({_H} * {_V}), [ix, ix + 1, ix, ix + 1], [iy, iy, iy + 1, iy + 1], [1, -1, -1, 1] FROM nd WHERE surface_id = 0 AND ix < 12 AND iy < 5),
+tx AS (SELECT id, s, unnest(xs) + 13 * unnest(ys) AS i, unnest(cs) AS c FROM te),
+ke AS (SELECT x.i, y.i AS j, sum(x.s * x.c * y.c) AS k FROM tx x JOIN tx y USING (id) GROUP BY ALL),
+sc AS (SELECT avg(k) AS scale FROM ke WHERE i = j)"""
+
+
+def _springs(points: str) -> str:
+    """The fitted plane at the nodes (pl), and the stencils (st) of points on the grid of 13 by 6."""
+    return f"""uv AS (SELECT surface_id, weight AS w, (x - 255e-1) / 245e-1 AS u, (y - 5) / 5 AS v, value AS z FROM {points}), mo AS ({_SUMS}),
+de AS (SELECT *, n * (uu * vv - uv * uv) - u * (u * vv - uv * v) + v * (u * uv - uu * v) AS det FROM mo),
+co AS (SELECT surface_id, (z * (uu * vv - uv * uv) - u * (uz * vv - uv * vz) + v * (uz * uv - uu * vz)) / det AS a, (n * (uz * vv - uv * vz) - z * (u * vv - uv * v) + v * (u * vz - uz * v)) / det AS b,
+  (n * (uu * vz - uz * uv) - u * (u * vz - uz * v) + z * (u * uv - uu * v)) / det AS c FROM de),
+pl AS (SELECT nd.surface_id, i, a + b * (ix - 6) / 6 + c * (iy - 25e-1) / 25e-1 AS z FROM nd JOIN co USING (surface_id)),
+ax AS (SELECT *, (x - 1) * 12 / 49 AS ax, y / 2 AS ay FROM {points}),
+fr AS (SELECT *, ax - cx AS fx, ay - cy AS fy FROM (SELECT *, least(floor(ax), 11) AS cx, least(floor(ay), 4) AS cy FROM ax)),
+st AS (SELECT surface_id, point_id, value, weight, CAST((cy + k // 2) * 13 + cx + k % 2 AS BIGINT) AS i, ws[k + 1] AS coef FROM (SELECT *, {WEIGHTS[CellModel.BOTTOM_RIGHT_TO_TOP_LEFT]} AS ws FROM fr), range(4) r(k) WHERE ws[k + 1] <> 0),
+bb AS (SELECT x.surface_id, x.i, y.i AS j, sum(x.weight * x.coef * y.coef) AS k FROM st x JOIN st y USING (surface_id, point_id) GROUP BY ALL),
+bv AS (SELECT surface_id, i, sum(weight * coef * value) AS v FROM st GROUP BY ALL),
+ss AS (SELECT x.surface_id, x.i, y.i AS j, coalesce(ke.k, 0) + 1000 * scale * coalesce(bb.k, 0) + CASE WHEN x.i = y.i THEN 1e-10 * scale ELSE 0 END AS k FROM nd x JOIN nd y USING (surface_id) CROSS JOIN sc LEFT JOIN ke ON ke.i = x.i AND ke.j = y.i LEFT JOIN bb ON bb.surface_id = x.surface_id AND bb.i = x.i AND bb.j = y.i),
+rh AS (SELECT pl.surface_id, pl.i, 1000 * scale * coalesce(v, 0) + 1e-10 * scale * pl.z AS v FROM pl CROSS JOIN sc LEFT JOIN bv ON bv.surface_id = pl.surface_id AND bv.i = pl.i)"""
+
+
+_NODES_OF = "SELECT surface_id, CAST(i - 1 AS BIGINT) AS node_id, {0} AS z FROM (SELECT surface_id, i, a[i][{1} + 1] AS z FROM gj, range(1, {2} + 1) t(i) WHERE k = {1} + 1)"
+ORACLES["surface_soft_nodes"] = f"""WITH RECURSIVE {POINTS}, {_BEND}, {_springs("points")},
+ro AS (SELECT surface_id, i, list(k ORDER BY j) AS r FROM ss GROUP BY ALL),
+sy AS (SELECT surface_id, list(list_append(r, v) ORDER BY i) AS a FROM ro JOIN rh USING (surface_id, i) GROUP BY surface_id),
+{_solution("sy", "78")} {_NODES_OF.format(q("z", "1e-3"), 78, 78)}"""
+# unknowns: the nodes, then the twelve multipliers, whose rows stand below; springs on top of them change nothing but the condition
+ORACLES["surface_hard_nodes"] = f"""WITH RECURSIVE {POINTS}, hp AS (SELECT * FROM points WHERE x % 9 = 4 AND y % 5 = 2), {_BEND}, {_springs("hp")},
+pn AS (SELECT surface_id, point_id, value, 78 + row_number() OVER (PARTITION BY surface_id ORDER BY point_id) - 1 AS j FROM hp),
+en AS (
+  SELECT surface_id, i, j, k FROM ss
+  UNION ALL SELECT nd.surface_id, nd.i, pn.j, coalesce(coef, 0) * scale FROM nd JOIN pn USING (surface_id) CROSS JOIN sc LEFT JOIN st ON st.surface_id = nd.surface_id AND st.point_id = pn.point_id AND st.i = nd.i
+  UNION ALL SELECT nd.surface_id, pn.j, nd.i, coalesce(coef, 0) * scale FROM nd JOIN pn USING (surface_id) CROSS JOIN sc LEFT JOIN st ON st.surface_id = nd.surface_id AND st.point_id = pn.point_id AND st.i = nd.i
+  UNION ALL SELECT x.surface_id, x.j, y.j, 0 FROM pn x JOIN pn y USING (surface_id)),
+rv AS (SELECT surface_id, i, v FROM rh UNION ALL SELECT surface_id, j, value * scale FROM pn CROSS JOIN sc),
+ro AS (SELECT surface_id, i, list(k ORDER BY j) AS r FROM en GROUP BY ALL),
+sy AS (SELECT surface_id, list(list_append(r, v) ORDER BY i) AS a FROM ro JOIN rv USING (surface_id, i) GROUP BY surface_id),
+{_solution("sy", "90")} {_NODES_OF.format(q("z", "1"), 90, 78)}"""
+
+_U = "CAST({} AS UBIGINT)".format
+_TWIST = f"xor(x >> 1, CASE WHEN x & 1 = 1 THEN {_U(0xB5026F5AA96619E9)} ELSE {_U(0)} END)"
+
+
+def _tempered(x: str) -> str:
+    """A word of the generator's state made its output; shifts to the left lose the upper bits first."""
+    for shift, mask in ((29, 0x5555555555555555), (-17, 0x71D67FFFEDA60000), (-37, 0xFFF7EEE000000000), (43, 0xFFFFFFFFFFFFFFFF)):
+        moved = "(x >> {0})".format(shift) if shift > 0 else "((x & {1}) << {0})".format(-shift, _U(2 ** (64 + shift) - 1))
+        x = f"SELECT seed, k, xor(x, {moved} & {_U(mask)}) AS x FROM ({x})"
+    return x
+
+
+def _field(seeds: str) -> str:
+    """wn: standard normal numbers on the torus of 16 by 8 for each seed (the 64-bit twister, in pairs); fl: the coloured field at the nodes of 8 by 4."""
+    start = f"SELECT seed, 0, CAST(CASE WHEN seed < 0 THEN CAST(seed AS HUGEINT) + 18446744073709551616 ELSE seed END AS UBIGINT) FROM (SELECT unnest({seeds}) AS seed)"
+    return f"""mt(seed, k, x) AS ({start} UNION ALL
+  SELECT seed, k + 1, CAST((CAST(6364136223846793005 AS UHUGEINT) * CAST(xor(x, x >> 62) AS UHUGEINT) + CAST(k + 1 AS UHUGEINT)) % CAST(18446744073709551616 AS UHUGEINT) AS UBIGINT) FROM mt WHERE k < 311),
+tw AS (SELECT a.seed, a.k, (a.x & {_U(0xFFFFFFFF80000000)}) | (b.x & {_U(0x7FFFFFFF)}) AS x, c.x AS far FROM mt a JOIN mt b ON b.seed = a.seed AND b.k = a.k + 1 JOIN mt c ON c.seed = a.seed AND c.k = a.k + 156 WHERE a.k < 128),
+ou AS ({_tempered(f"SELECT seed, k, xor(far, {_TWIST}) AS x FROM tw")}),
+un AS (SELECT seed, k, (CAST(x >> 11 AS DOUBLE) + 5e-1) / 9007199254740992 AS u FROM ou),
+wn AS (SELECT a.seed, a.k + h AS k, sqrt(-2 * ln(a.u)) * CASE h WHEN 0 THEN cos(2 * pi() * b.u) ELSE sin(2 * pi() * b.u) END AS n FROM un a JOIN un b ON b.seed = a.seed AND b.k = a.k + 1, range(2) t(h) WHERE a.k % 2 = 0),
+kk AS (SELECT x, y, CASE WHEN x = 8 OR y = 4 THEN (({_torus("x", "y")}) + ({_torus("((16 - x) % 16)", "((8 - y) % 8)")})) / 2 ELSE {_torus("x", "y")} END AS c FROM range(16) a(x), range(8) b(y)),
+la AS (SELECT f.x, f.y, greatest(sum(k.c * cos(2 * pi() * (f.x * k.x / CAST(16 AS DOUBLE) + f.y * k.y / CAST(8 AS DOUBLE)))), 0) AS l FROM kk f, kk k GROUP BY ALL),
+hh AS (SELECT p.x, p.y, sum(sqrt(f.l) * cos(2 * pi() * (f.x * p.x / CAST(16 AS DOUBLE) + f.y * p.y / CAST(8 AS DOUBLE)))) / 128 AS h FROM kk p, la f GROUP BY ALL),
+fl AS (SELECT seed, iy * 8 + ix AS node_id, ix, iy, sum(n * h) AS f FROM range(8) a(ix), range(4) b(iy), wn JOIN hh ON hh.x = (ix - k % 16 + 16) % 16 AND hh.y = (iy - k // 16 + 8) % 8 GROUP BY ALL)"""
+
+
+ORACLES["gaussian_field"] = f"""WITH RECURSIVE {_field("[1, 5489, -9223372036854775801]")}
+SELECT CAST(s AS INTEGER) AS surface_id, CAST(seed AS BIGINT) AS seed, CAST(node_id AS BIGINT) AS node_id, {q("f + ix + 2 * iy + s")} AS z FROM fl, range(3) t(s)"""
+ORACLES["gaussian_conditioned_nodes"] = f"""WITH RECURSIVE {_field("[7]")}, {POINTS},
+up AS (SELECT surface_id, row_number() OVER (PARTITION BY surface_id ORDER BY point_id) AS p, x - 1 + 3e-1 AS x, y + 45e-2 AS y, value / 1000 AS value, weight FROM points WHERE x <= 7 AND y <= 2 AND (x + y) % 3 = 0),
+me AS (SELECT surface_id, sum(weight * value) / sum(weight) AS mean FROM up GROUP BY surface_id),
+fr AS (SELECT *, floor(x) AS cx, floor(y) AS cy, x - floor(x) AS fx, y - floor(y) AS fy FROM up),
+st AS (SELECT surface_id, p, value, cx + k % 2 AS ix, cy + k // 2 AS iy, ws[k + 1] AS coef FROM (SELECT *, {WEIGHTS[CellModel.BOTTOM_RIGHT_TO_TOP_LEFT]} AS ws FROM fr), range(4) r(k) WHERE ws[k + 1] <> 0),
+z0 AS (SELECT surface_id, node_id, ix, iy, mean + f AS z FROM fl, me),
+ga AS (SELECT surface_id, p, any_value(value) - sum(coef * z) AS gap FROM st JOIN z0 USING (surface_id, ix, iy) GROUP BY ALL),
+cb AS (SELECT st.surface_id, st.p, z0.node_id, z0.ix, z0.iy, sum(coef * (25e-1 * ({_rho('z0.ix - st.ix', 'z0.iy - st.iy', Correlation.EXPONENTIAL, '3', '2')}) + CASE WHEN z0.ix = st.ix AND z0.iy = st.iy THEN 25e-2 ELSE 0 END)) AS c FROM st JOIN z0 ON z0.surface_id = st.surface_id GROUP BY ALL),
+sm AS (SELECT st.surface_id, st.p AS i, cb.p AS j, sum(st.coef * cb.c) AS k FROM st JOIN cb ON cb.surface_id = st.surface_id AND cb.ix = st.ix AND cb.iy = st.iy GROUP BY ALL),
+ro AS (SELECT surface_id, i, list(k ORDER BY j) AS r FROM sm GROUP BY ALL),
+sy AS (SELECT ro.surface_id, list(list_append(r, gap) ORDER BY i) AS a FROM ro JOIN ga ON ga.surface_id = ro.surface_id AND ga.p = ro.i GROUP BY ro.surface_id),
+{_solution("sy", "len(a)")},
+wt AS (SELECT surface_id, i AS p, a[i][len(a) + 1] AS w FROM gj, range(1, 9) t(i) WHERE k = len(a) + 1 AND i <= len(a)),
+dz AS (SELECT cb.surface_id, node_id, sum(w * c) AS dz FROM cb JOIN wt USING (surface_id, p) GROUP BY ALL)
+SELECT surface_id, CAST(7 AS BIGINT) AS seed, CAST(node_id AS BIGINT) AS node_id, {q("z + dz", "1e-5")} AS z FROM z0 JOIN dz USING (surface_id, node_id)"""
+ORACLES["gaussian_conditioned_fit"] = ORACLES["surface_convergent_fit"]
+_TRIANGLES = ", ".join(f"({k}, CAST({x!r} AS DOUBLE), CAST({y!r} AS DOUBLE), CAST({v!r} AS DOUBLE), {n})" for n, (k, x, y, v) in enumerate(TRIANGLES))
+ORACLES["surface_status"] = f"""WITH {POINTS},
+b AS (SELECT CAST(s AS INTEGER) AS surface_id, point_id, CASE WHEN s = 3 AND point_id % 7 = 0 THEN x + 60 ELSE x END AS x, y, CASE WHEN s = 4 AND point_id % 7 = 0 THEN CAST('nan' AS DOUBLE) ELSE value END AS value,
+        CASE WHEN s = 2 AND point_id % 7 = 0 THEN -weight WHEN s = 6 THEN 0 ELSE weight END AS weight FROM points, range(9) t(s) WHERE surface_id = 0),
+a AS (SELECT * FROM b UNION ALL SELECT surface_id, point_id + 10000, x, y, CASE surface_id WHEN 1 THEN value + 1 ELSE value END, weight FROM b WHERE surface_id IN (1, 5)),
+f AS (SELECT surface_id, bool_or(isnan(value) OR weight < 0) AS bad, bool_or(x > 50 + 1e-9) AS outside, sum(weight) = 0 AS none, bool_or(surface_id = 7 AND x - 1 > 30) AS off, surface_id = 8 AS short FROM a GROUP BY surface_id),
+d AS (SELECT surface_id, bool_or(hi > lo) AS twice FROM (SELECT surface_id, x, y, max(value) AS hi, min(value) AS lo FROM a WHERE NOT isnan(value) GROUP BY ALL) GROUP BY surface_id),
+t(surface_id, x, y, v, n) AS (VALUES {_TRIANGLES}),
+w AS (SELECT surface_id, max(x) FILTER (n % 4 = 0) AS x0, max(y) FILTER (n % 4 = 0) AS y0, max(v) FILTER (n % 4 = 0) AS v0, max(x) FILTER (n % 4 = 1) AS x1, max(v) FILTER (n % 4 = 1) AS v1,
+        max(y) FILTER (n % 4 = 2) AS y2, max(v) FILTER (n % 4 = 2) AS v2, max(x) FILTER (n % 4 = 3) AS x3, max(y) FILTER (n % 4 = 3) AS y3, max(v) FILTER (n % 4 = 3) AS v3 FROM t GROUP BY surface_id)
+SELECT surface_id, CASE WHEN bad THEN 'invalid_input' WHEN outside THEN 'out_of_range' WHEN none OR twice OR short THEN 'invalid_input' WHEN off THEN 'out_of_range' ELSE 'ok' END AS status FROM f JOIN d USING (surface_id)
+UNION ALL SELECT surface_id, CASE WHEN abs(v0 + (v1 - v0) / (x1 - x0) * (x3 - x0) + (v2 - v0) / (y2 - y0) * (y3 - y0) - v3) > 1e-6 THEN 'invalid_input' ELSE 'ok' END FROM w"""

@@ -12,7 +12,7 @@ from .fixtures import q
 from .functions.covariances import correlation, covariance
 from .functions.numbers import parse_number
 from .operators import alignment, curvature, fields, geometry, logs, trends
-from .options import CellModel, ConvergentOptions, Correlation, GaussianOptions, LogOptions, WarpOptions
+from .options import CellModel, ConvergentOptions, Correlation, GaussianOptions, LogOptions, Trend, WarpOptions
 from .plans.correlation import correlate_prepared
 from .plans.surfaces import interpolate_convergent, nodes_of, simulate_gaussian
 from .sources.csv_logs import resolve_names
@@ -299,10 +299,33 @@ def spectrum_small(spark: SparkSession, d: str) -> DataFrame:
     return fields.spectrum(k, 16, 8).select("fx", "fy", q("eigenvalue").alias("eigenvalue"))
 
 
-def _relative(spark: SparkSession, d: str, nodes: DataFrame, surfaces: DataFrame, model: CellModel, *keys: str) -> DataFrame:
-    p = geometry.valid_points(fx.points(spark, d), surfaces)
-    r = geometry.residuals(geometry.stencils(p, model), nodes)
-    return r.select("surface_id", "point_id", q(F.abs("residual") / F.greatest(F.lit(1.0), F.abs("value"))).alias("relative_residual"))
+SHARP = {"relative_tolerance": 1e-14, "max_iterations": 20_000, "coarsest": 4}
+
+
+def _nodes(solved: DataFrame, surfaces: DataFrame, unit: float) -> DataFrame:
+    rows = nodes_of(solved, surfaces)
+    return rows.select(*(c for c in ("surface_id", "seed") if c in rows.columns), "node_id", q("z", unit).alias("z"))
+
+
+@query
+def surface_hard_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Least bending through points that are met; the SQL solves the dense system with multipliers."""
+    s = fx.surfaces(spark, 13, 6)
+    return _nodes(interpolate_convergent(s, fx.chosen_points(spark, d), ConvergentOptions(point_tolerance=1e-11, **SHARP)), s, 1.0)
+
+
+@query
+def surface_soft_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Least bending and misfit over all points; the SQL solves the dense system."""
+    s = fx.surfaces(spark, 13, 6)
+    return _nodes(interpolate_convergent(s, fx.points(spark, d), ConvergentOptions(hard=False, **SHARP)), s, 1e-3)
+
+
+@query
+def surface_status(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of surfaces whose points contradict each other, lie outside, have bad numbers or rest on inactive nodes."""
+    surfaces, points, mask = fx.troubled(spark, d)
+    return interpolate_convergent(surfaces, points, ConvergentOptions(relative_tolerance=1e-11, point_tolerance=1e-7), mask, on_error="report").select("surface_id", "status")
 
 
 @query
@@ -310,7 +333,13 @@ def surface_convergent_fit(spark: SparkSession, d: str) -> DataFrame:
     s = fx.surfaces(spark, 99, 21)
     # prices from a thousand to a hundred thousand in one system: the solver's stop, relative to all, leaves some 1e-8 of the small ones
     solved = interpolate_convergent(s, fx.points(spark, d), ConvergentOptions(relative_tolerance=1e-11, point_tolerance=1e-7))
-    return _relative(spark, d, nodes_of(solved, s), s, CellModel.BOTTOM_RIGHT_TO_TOP_LEFT)
+    return _evaluated(spark, d, nodes_of(solved, s), s, CellModel.BOTTOM_RIGHT_TO_TOP_LEFT)
+
+
+def _evaluated(spark: SparkSession, d: str, nodes: DataFrame, surfaces: DataFrame, model: CellModel) -> DataFrame:
+    """The surface's values at its points, which it meets."""
+    p = fx.points(spark, d).select("surface_id", F.col("point_id").alias("query_id"), "x", "y")
+    return geometry.evaluate_surface(p, surfaces, nodes, model).select("surface_id", F.col("query_id").alias("point_id"), q("z", 1e-1).alias("z"))
 
 
 @query
@@ -320,29 +349,31 @@ def surface_convergent_plane(spark: SparkSession, d: str) -> DataFrame:
     return nodes_of(interpolate_convergent(s, p), s).select("surface_id", "node_id", q("z").alias("z"))
 
 
+EXPONENTIAL = GaussianOptions(correlation=Correlation.EXPONENTIAL)
+UNIT = {"correlation": Correlation.EXPONENTIAL, "major_range": 3.0, "minor_range": 2.0, "azimuth_degrees": 30.0, "structured_variance": 2.5, "nugget": 0.25}
+
+
 @query
-def surface_convergent_soft(spark: SparkSession, d: str) -> DataFrame:
-    s = fx.surfaces(spark, 33, 9)
-    return interpolate_convergent(s, fx.points(spark, d), ConvergentOptions(hard=False)).drop("z", "message")
+def gaussian_field(spark: SparkSession, d: str) -> DataFrame:
+    """Realisations without points about a given trend; the SQL has the generator, the spectrum and the sum over the torus."""
+    s = fx.unit_surfaces(spark)
+    trend = geometry.grid_nodes(s).select("surface_id", "node_id", (F.col("x") + F.col("y") * 2 + F.col("surface_id")).alias("z"))
+    none = fx.unit_points(spark, d).filter("false")
+    return _nodes(simulate_gaussian(s, none, GaussianOptions(trend=Trend.INPUT_SURFACE, **UNIT), seeds=[1, 5489, 2**63 + 7], trend=trend), s, 1e-6)
 
 
-EXPONENTIAL = GaussianOptions(correlation=Correlation.EXPONENTIAL)
+@query
+def gaussian_conditioned_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """A realisation through points about their mean; the SQL kriges the same field's misfit by a dense system."""
+    s = fx.unit_surfaces(spark)
+    return _nodes(simulate_gaussian(s, fx.unit_points(spark, d), GaussianOptions(trend=Trend.CONSTANT, conditioning_tolerance=1e-13, **UNIT), seeds=[7]), s, 1e-5)
 
 
 @query
 def gaussian_conditioned_fit(spark: SparkSession, d: str) -> DataFrame:
     s = fx.surfaces(spark)
     solved = simulate_gaussian(s, fx.points(spark, d), EXPONENTIAL, seeds=[1])
-    return _relative(spark, d, nodes_of(solved, s).drop("seed"), s, CellModel.BOTTOM_RIGHT_TO_TOP_LEFT)
-
-
-@query
-def gaussian_determinism(spark: SparkSession, d: str) -> DataFrame:
-    s, p = fx.surfaces(spark, 99, 21), fx.points(spark, d)
-    one = simulate_gaussian(s, p, EXPONENTIAL, seeds=[7]).select("surface_id", F.col("z").alias("a"))
-    two = simulate_gaussian(s, p.repartition(5), EXPONENTIAL, seeds=[7]).select("surface_id", F.col("z").alias("b"))
-    same = F.aggregate(F.zip_with("a", "b", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda m, x: F.greatest(m, x))
-    return one.join(two, "surface_id").select("surface_id", q(same, 1e-3).alias("difference"))
+    return _evaluated(spark, d, nodes_of(solved, s).drop("seed"), s, CellModel.BOTTOM_RIGHT_TO_TOP_LEFT)
 
 
 @query
@@ -359,6 +390,16 @@ def log_problems(spark: SparkSession, d: str) -> DataFrame:
     return logs.summary(raw, logs.clean(raw, EVERY_GAP.missing_values), STEP, EVERY_GAP).select("log_id", "problem")
 
 
+@query
+def log_limits(spark: SparkSession, d: str) -> DataFrame:
+    """Logs of more points than allowed, and of gaps that are too wide."""
+    raw = fx.logs(spark, d)
+    cleaned = logs.clean(raw, EVERY_GAP.missing_values)
+    few = LogOptions(step=STEP, interpolate_all_gaps=True, max_resampled_points=1_028)
+    narrow = LogOptions(step=1.0, max_interpolation_gap=1.5)
+    return logs.summary(raw, cleaned, STEP, few).select("log_id", "problem").unionByName(logs.summary(raw, cleaned, 1.0, narrow).select("log_id", "problem"))
+
+
 @query
 def corridor_rows(spark: SparkSession, d: str) -> DataFrame:
     return alignment.corridor(_sizes(spark, d), 0.1)
