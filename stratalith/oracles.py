@@ -246,12 +246,12 @@ ORACLES["log_limits"] = f"""WITH {LOGS}, {GRID}, {GAPS}
 SELECT log_id, 'limit' AS problem FROM grid GROUP BY log_id HAVING count(*) > 1028 UNION ALL SELECT log_id, 'gap' FROM g GROUP BY log_id HAVING max(gap) > 15e-1 + 1e-9"""
 
 
-def _solution(rows: str, size: str) -> str:
-    """The last column of systems (rows: surface_id, a: rows of a matrix with the right side behind it) after elimination without exchanges; size: the number of unknowns."""
+def _solution(rows: str) -> str:
+    """gj: systems (rows: surface_id, a: rows of a matrix with the right side behind it) after k - 1 steps of elimination without exchanges."""
     return f"""gj(surface_id, k, a, pr) AS (
   SELECT surface_id, 1, a, a[1] FROM {rows}
   UNION ALL
-  SELECT surface_id, k + 1, n, n[k + 1] FROM (SELECT surface_id, k, list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(pr, lambda v: v / pr[k]) ELSE list_transform(r, lambda v, j: v - r[k] / pr[k] * pr[j]) END) AS n FROM gj WHERE k <= {size}))"""
+  SELECT surface_id, k + 1, n, n[k + 1] FROM (SELECT surface_id, k, list_transform(a, lambda r, i: CASE WHEN i = k THEN list_transform(pr, lambda v: v / pr[k]) ELSE list_transform(r, lambda v, j: v - r[k] / pr[k] * pr[j]) END) AS n FROM gj WHERE k <= len(a)))"""
 
 
 # the grid of 13 by 6 in units of its larger extent: steps 1/12 and 2/49
@@ -282,12 +282,12 @@ ss AS (SELECT x.surface_id, x.i, y.i AS j, coalesce(ke.k, 0) + 1000 * scale * co
 rh AS (SELECT pl.surface_id, pl.i, 1000 * scale * coalesce(v, 0) + 1e-10 * scale * pl.z AS v FROM pl CROSS JOIN sc LEFT JOIN bv ON bv.surface_id = pl.surface_id AND bv.i = pl.i)"""
 
 
-_NODES_OF = "SELECT surface_id, CAST(i - 1 AS BIGINT) AS node_id, {0} AS z FROM (SELECT surface_id, i, a[i][{1} + 1] AS z FROM gj, range(1, {2} + 1) t(i) WHERE k = {1} + 1)"
+_NODES_OF = "SELECT surface_id, CAST(i - 1 AS BIGINT) AS node_id, {0} AS z FROM (SELECT surface_id, i, a[i][len(a) + 1] AS z FROM gj, range(1, 79) t(i) WHERE k = len(a) + 1)"
 ORACLES["surface_soft_nodes"] = f"""WITH RECURSIVE {POINTS}, {_BEND}, {_springs("points")},
 ro AS (SELECT surface_id, i, list(k ORDER BY j) AS r FROM ss GROUP BY ALL),
 sy AS (SELECT surface_id, list(list_append(r, v) ORDER BY i) AS a FROM ro JOIN rh USING (surface_id, i) GROUP BY surface_id),
-{_solution("sy", "78")} {_NODES_OF.format(q("z", "1e-3"), 78, 78)}"""
-# unknowns: the nodes, then the twelve multipliers, whose rows stand below; springs on top of them change nothing but the condition
+{_solution("sy")} {_NODES_OF.format(q("z", "1e-3"))}"""
+# unknowns: the nodes, then the points' multipliers, whose rows stand below; springs on top of them change nothing but the condition
 ORACLES["surface_hard_nodes"] = f"""WITH RECURSIVE {POINTS}, hp AS (SELECT * FROM points WHERE x % 9 = 4 AND y % 5 = 2), {_BEND}, {_springs("hp")},
 pn AS (SELECT surface_id, point_id, value, 78 + row_number() OVER (PARTITION BY surface_id ORDER BY point_id) - 1 AS j FROM hp),
 en AS (
@@ -298,7 +298,7 @@ en AS (
 rv AS (SELECT surface_id, i, v FROM rh UNION ALL SELECT surface_id, j, value * scale FROM pn CROSS JOIN sc),
 ro AS (SELECT surface_id, i, list(k ORDER BY j) AS r FROM en GROUP BY ALL),
 sy AS (SELECT surface_id, list(list_append(r, v) ORDER BY i) AS a FROM ro JOIN rv USING (surface_id, i) GROUP BY surface_id),
-{_solution("sy", "90")} {_NODES_OF.format(q("z", "1"), 90, 78)}"""
+{_solution("sy")} {_NODES_OF.format(q("z", "1"))}"""
 
 _U = "CAST({} AS UBIGINT)".format
 _TWIST = f"xor(x >> 1, CASE WHEN x & 1 = 1 THEN {_U(0xB5026F5AA96619E9)} ELSE {_U(0)} END)"
@@ -340,7 +340,7 @@ cb AS (SELECT st.surface_id, st.p, z0.node_id, z0.ix, z0.iy, sum(coef * (25e-1 *
 sm AS (SELECT st.surface_id, st.p AS i, cb.p AS j, sum(st.coef * cb.c) AS k FROM st JOIN cb ON cb.surface_id = st.surface_id AND cb.ix = st.ix AND cb.iy = st.iy GROUP BY ALL),
 ro AS (SELECT surface_id, i, list(k ORDER BY j) AS r FROM sm GROUP BY ALL),
 sy AS (SELECT ro.surface_id, list(list_append(r, gap) ORDER BY i) AS a FROM ro JOIN ga ON ga.surface_id = ro.surface_id AND ga.p = ro.i GROUP BY ro.surface_id),
-{_solution("sy", "len(a)")},
+{_solution("sy")},
 wt AS (SELECT surface_id, i AS p, a[i][len(a) + 1] AS w FROM gj, range(1, 9) t(i) WHERE k = len(a) + 1 AND i <= len(a)),
 dz AS (SELECT cb.surface_id, node_id, sum(w * c) AS dz FROM cb JOIN wt USING (surface_id, p) GROUP BY ALL)
 SELECT surface_id, CAST(7 AS BIGINT) AS seed, CAST(node_id AS BIGINT) AS node_id, {q("z + dz", "1e-5")} AS z FROM z0 JOIN dz USING (surface_id, node_id)"""
