@@ -1,14 +1,18 @@
-"""The covariance side of conditional realisations as plans."""
+"""The covariance side of conditional realisations."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariances import correlation, covariance, signed_lag
-from ..options import Correlation, require
+from ..functions.covariances import correlation, covariance
+from ..kernels.gaussian import Embedding, Model
+from ..options import Correlation, GaussianOptions, Surface, require
 
 
 def conditioning_diagonal(stencil: DataFrame, surfaces: DataFrame, major: float, minor: float, azimuth: float, variance: float, nugget: float, model: Correlation) -> DataFrame:
@@ -21,24 +25,18 @@ def conditioning_diagonal(stencil: DataFrame, surfaces: DataFrame, major: float,
     return two.groupBy("surface_id", "point_id").agg(F.sum(F.col("a.coef") * F.col("b.coef") * c).alias("d"))
 
 
-def embedding_kernel(spark: SparkSession, px: int, py: int, dx: float, dy: float, major: float, minor: float, azimuth: float, variance: float, nugget: float, model: Correlation) -> DataFrame:
-    """kx, ky, c: the covariance on the torus, its middle row and column made symmetric."""
-    k = spark.range(px * py).select((F.col("id") % px).alias("kx"), F.floor(F.col("id") / px).alias("ky"))
+def spectra(surfaces: DataFrame, options: GaussianOptions) -> DataFrame:
+    """surface_id, fx, fy, eigenvalue: the spectrum that realisations of each surface are drawn with; the options must hold ranges and variance."""
+    o = options
+    require(min(o.major_range, o.minor_range, o.structured_variance) > 0, "a spectrum needs ranges and a variance")
+    turn = math.radians(o.azimuth_degrees)
+    model = Model(o.correlation, o.major_range, o.minor_range, math.cos(turn), math.sin(turn), o.structured_variance, o.nugget)
 
-    def at(x, y):
-        rho = correlation(signed_lag(x, px) * dx, signed_lag(y, py) * dy, F.lit(float(major)), F.lit(float(minor)), azimuth, model)
-        return covariance(rho, (x == 0) & (y == 0), F.lit(float(variance)), nugget)
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                e = Embedding.of(Surface(r.minx, r.maxx, r.miny, r.maxy, int(r.nx), int(r.ny)), model, o.padding, o.max_expansions).eigenvalues
+                ny, nx = e.shape
+                yield pd.DataFrame({"surface_id": r.surface_id, "fx": np.tile(np.arange(nx), ny), "fy": np.repeat(np.arange(ny), nx), "eigenvalue": e.ravel()})
 
-    x, y = F.col("kx"), F.col("ky")
-    middle = (x == px // 2) | (y == py // 2)
-    return k.select("kx", "ky", F.when(middle, (at(x, y) + at((px - x) % px, (py - y) % py)) / 2).otherwise(at(x, y)).alias("c"))
-
-
-def spectrum(kernel: DataFrame, px: int, py: int) -> DataFrame:
-    """fx, fy, eigenvalue by the definition of the transform: for grids of at most 4096 nodes, to check the kernel's own."""
-    require(px * py <= 4096, "the transform by definition is for 4096 nodes at most")
-    f = kernel.select(F.col("kx").alias("fx"), F.col("ky").alias("fy"))
-    packed = kernel.agg(F.collect_list(F.struct("kx", "ky", "c")).alias("k"))
-    angle = lambda q: (F.col("fx") * q["kx"] / px + F.col("fy") * q["ky"] / py) * (2 * math.pi)
-    rows = f.join(F.broadcast(packed)).select("fx", "fy", F.explode("k").alias("q"))
-    return rows.groupBy("fx", "fy").agg(F.sum(F.col("q.c") * F.cos(angle(F.col("q")))).alias("eigenvalue"))
+    return surfaces.mapInPandas(each, "surface_id int, fx long, fy long, eigenvalue double")

@@ -216,7 +216,7 @@ def _torus(x: str, y: str) -> str:
 
 
 ORACLES["spectrum_small"] = f"""WITH k AS (SELECT x, y, CASE WHEN x = 8 OR y = 4 THEN (({_torus("x", "y")}) + ({_torus("((16 - x) % 16)", "((8 - y) % 8)")})) / 2 ELSE {_torus("x", "y")} END AS c FROM range(16) a(x), range(8) b(y))
-SELECT f.x AS fx, f.y AS fy, {q("sum(k.c * cos(2 * pi() * (f.x * k.x / CAST(16 AS DOUBLE) + f.y * k.y / CAST(8 AS DOUBLE))))")} AS eigenvalue FROM k f, k GROUP BY ALL"""
+SELECT CAST(s AS INTEGER) AS surface_id, f.x AS fx, f.y AS fy, {q("sum(k.c * cos(2 * pi() * (f.x * k.x / CAST(16 AS DOUBLE) + f.y * k.y / CAST(8 AS DOUBLE))))")} AS eigenvalue FROM k f, k, range(3) t(s) GROUP BY ALL"""
 ORACLES["surface_convergent_fit"] = f"WITH {POINTS} SELECT surface_id, point_id, {q('value', '1e-1')} AS z FROM points"
 ORACLES["surface_convergent_plane"] = f"SELECT CAST(s AS INTEGER) AS surface_id, iy * 99 + ix AS node_id, {q('3 + 2 * (1 + ix * CAST(0.5 AS DOUBLE)) - iy * CAST(0.5 AS DOUBLE)')} AS z FROM range(3) a(s), range(99) b(ix), range(21) c(iy)"
 ORACLES["gaussian_conditioned_fit"] = ORACLES["surface_convergent_fit"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 from pathlib import Path
@@ -13,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
+    # tables that cut lineage go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 _shipped: set[str] = set()
 
@@ -33,6 +36,7 @@ def ship(spark: SparkSession) -> SparkSession:
     if app not in _shipped:
         here = Path(__file__).resolve().parent
         folder = tempfile.mkdtemp(prefix="package-")
+        atexit.register(shutil.rmtree, folder, True)
         made = shutil.make_archive(f"{folder}/{here.name}", "zip", here.parent, here.name)
         spark.sparkContext.addPyFile(made)
         _shipped.add(app)
