@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
@@ -15,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = " \t\n\x0b\f\r"
 
@@ -23,19 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a temporary one only where none is set and all run in one process."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="shared-")
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(where)
-    return where
-
-
 def _checkpoint(df: DataFrame) -> str | None:
     """The folder of a table that cut() made."""
     plan = df._jdf.queryExecution().logical()
