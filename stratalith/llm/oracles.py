@@ -108,7 +108,11 @@ l AS (SELECT doc_id, min(other) AS m FROM r GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(m, d.doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN l USING (doc_id)
 """
 
-def op6() -> str:
+FLAT = "concat_ws('/', source, lang, CAST(doc_id AS VARCHAR))"
+NESTED = "concat_ws('/', source, CASE WHEN h[1] < '2' THEN 'LICENSE.' || doc_id WHEN h[1] < '6' THEN h[2] || '/COPYING.' || doc_id ELSE h[2] || '/' || h[3] || '/' || doc_id END)"
+
+
+def op6(path: str) -> str:
     from .license_scans import CUE, NAMES, TEMPLATES, WORD
 
     values = ", ".join("({}, '{}', '{}')".format(k, a, b.replace("'", "''")) for k, (a, b) in enumerate(TEMPLATES))
@@ -121,7 +125,7 @@ df AS (SELECT word, count(*) AS df FROM ttf GROUP BY word),
 w AS (SELECT number, license, word, tf * CAST(floor(ln((SELECT count(*) + 1 FROM t) / CAST(df AS DOUBLE)) * 1000 + CAST(0.5 AS DOUBLE)) AS BIGINT) AS weight, df FROM ttf JOIN df USING (word)),
 nt AS (SELECT number, sum(weight * weight) AS norm2 FROM w GROUP BY number),
 l AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches({low("x")}, '{CUE}')) AS ls, length(coalesce(text, '')) AS n_text,
-        concat_ws('/', source, CASE WHEN h[1] < '2' THEN 'LICENSE.' || doc_id WHEN h[1] < '6' THEN h[2] || '/COPYING.' || doc_id ELSE h[2] || '/' || h[3] || '/' || doc_id END) AS path FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)),
+        {path} AS path FROM (SELECT *, md5(CAST(doc_id AS VARCHAR)) AS h FROM documents)),
 r AS (SELECT doc_id, path, n_text, coalesce(array_to_string(ls, chr(10)), '') AS notice FROM l),
 dw AS (SELECT doc_id, unnest(regexp_extract_all({low("notice")}, '{WORD}')) AS word FROM r),
 dtf AS (SELECT doc_id, word, count(*) AS tf FROM dw GROUP BY ALL),
@@ -141,4 +145,4 @@ FROM o LEFT JOIN i USING (dir)
 """
 
 
-ORACLES: dict[str, str] = {"op1_quality_rules": op1(20, 1, 20), "op4_line_dedup": OP4, "op6_license_scans": op6(), "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10, "chat_typed_parts": CHAT_PARTS, "quality_rules_tight": op1(2, 0, 90)}
+ORACLES: dict[str, str] = {"op1_quality_rules": op1(20, 1, 20), "op4_line_dedup": OP4, "op6_license_scans": op6(FLAT), "license_directories": op6(NESTED), "op7_warc": OP7, "op8_chat_formatting": OP8, "op9_ngram_jaccard_join": OP9, "op10_decontamination": OP10, "chat_typed_parts": CHAT_PARTS, "quality_rules_tight": op1(2, 0, 90)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_formatting, decontamination, license_scans, line_dedup, ngram_join, packing, quality_rules, secret_scans, token_counts, warc
@@ -95,11 +95,19 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as files: source is the repository; by the hex digits h of doc_id's MD5 they are licence files at its top (h1 of 0, 1) or in directory h2 (2 to 5), or other files in h2/h3."""
+    """documents as files: source is the repository, lang the directory in it."""
+    return _op6(spark, sf_dir, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+
+
+def license_directories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in nested directories: by the hex digits h of doc_id's MD5 files are licence files at the repository's top (h1 of 0, 1) or in directory h2 (2 to 5), or other files in h2/h3."""
     h, ident = F.md5(F.col("doc_id").cast("string")), F.col("doc_id").cast("string")
     top, second = F.substring(h, 1, 1), F.substring(h, 2, 1)
     inner = F.when(top < "2", F.concat(F.lit("LICENSE."), ident)).when(top < "6", F.concat(second, F.lit("/COPYING."), ident)).otherwise(F.concat(second, F.lit("/"), F.substring(h, 3, 1), F.lit("/"), ident))
-    path = F.concat_ws("/", "source", inner)
+    return _op6(spark, sf_dir, F.concat_ws("/", "source", inner))
+
+
+def _op6(spark: SparkSession, sf_dir: str, path: Column) -> DataFrame:
     files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), path.alias("path"), "text")
     found = license_scans.scan(files)
     return found.select(F.col("file_id").alias("doc_id"), "path", "license", "score", "origin", "license_path")
@@ -117,5 +125,6 @@ QUERIES: dict[str, Query] = {
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_decontamination": op10_decontamination,
     "quality_rules_tight": quality_rules_tight,
+    "license_directories": license_directories,
     "chat_typed_parts": chat_typed_parts,
 }
