@@ -127,15 +127,17 @@ def hashed(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("h1"), F.hash(text).alias("h2")]
 
 
-def hashed_lines(docs: DataFrame, least: int, *more: Column) -> DataFrame:
-    """The columns named in more, th (the text's hash) and, line by line, h1, h2 (hashes of the keys) and n (their lengths; -1 below least): texts are cut and hashed here only.
-
-    Kept as a table, of 16 bytes a line: what counts keys and what looks for them read it instead of the texts.
-    """
+def with_lines(docs: DataFrame, least: int, *more: str) -> DataFrame:
+    """The columns named in more, th (the text's hash) and, line by line, h1, h2 (hashes of the keys) and n (their lengths; -1 below least)."""
     lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), line_key)
     keys = F.transform(lines, lambda k: F.struct(*hashed(k), F.when(F.length(k) >= least, F.length(k)).otherwise(-1).alias("n")))
     each = docs.select(*more, F.xxhash64("text").alias("th"), keys.alias("k"))
-    return cut(each.select(*(c for c in each.columns if c != "k"), F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.col("k.n").alias("n")))
+    return each.select(*more, "th", F.col("k.h1").alias("h1"), F.col("k.h2").alias("h2"), F.col("k.n").alias("n"))
+
+
+def hashed_lines(docs: DataFrame, least: int, *more: str) -> DataFrame:
+    """with_lines() as a table, of 16 bytes a line: what counts keys and what looks for them read it instead of the texts."""
+    return cut(with_lines(docs, least, *more))
 
 
 def keys_once(lines: DataFrame, *more: str) -> DataFrame:

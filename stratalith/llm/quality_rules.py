@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, hashed_lines, ids_unique, keys_once, keys_placed, line_key, same, tidy
+from .common import cut, hashed_lines, ids_unique, keys_once, keys_placed, line_key, same, tidy, with_lines
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 8
@@ -74,14 +74,17 @@ def text_features(text: str | None) -> tuple[int, int, int, int, int, int]:
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "line_chars")
-SCHEMA = "doc_id long, source string, th long, " + ", ".join(f"{x} long" for x in FEATURES)
+LINES = "th long, h1 array<long>, h2 array<int>, n array<int>"
+SCHEMA = f"doc_id long, source string, {LINES}, " + ", ".join(f"{x} long" for x in FEATURES)
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features of each text in its place."""
     for b in batches:
         rows = [text_features(t.as_py()) for t in b.column("text")]
+        kept = [c for c in b.schema.names if c != "text"]
         cols = [pa.array([r[k] for r in rows], pa.int64()) for k in range(len(FEATURES))]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("source"), b.column("th"), *cols], ["doc_id", "source", "th", *FEATURES])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *cols], [*kept, *FEATURES])
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -106,13 +109,11 @@ def removed_lines(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int =
     return _above(_lines(docs), docs, min_docs, max_percent)
 
 
-def _lost(docs: DataFrame, min_docs: int, max_percent: int) -> DataFrame:
+def _lost(lines: DataFrame, docs: DataFrame, min_docs: int, max_percent: int) -> DataFrame:
     """lost_id, lost_source, lost_th (the text's hash), removed, hs: characters and hashes of the keys that a row loses; rows that lose none are not there.
 
     Equal rows lose the same lines, each in the same place: as a set of places they count once.
     """
-    docs = _keyed(docs)
-    lines = _lines(docs)
     # as a table of its own it is dealt anew for the join below, whose hot keys can then be split
     gone = cut(_above(lines, docs, min_docs, max_percent))
     own = keys_placed(lines, "doc_id", "source", "th")
@@ -133,8 +134,10 @@ def _failed(words: str, repeated: str):
 
 def score(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERCENT, min_kept_percent: int = MIN_KEPT_PERCENT) -> DataFrame:
     """doc_id, source, the features, base_failed, removed_chars, depleted, kept, for each row of docs (doc_id, text, source). Texts are not shuffled."""
-    base = _keyed(docs).withColumn("th", F.xxhash64("text")).mapInArrow(tidy(_features), SCHEMA)
-    lost = _lost(docs, min_docs, max_percent).drop("hs")
+    docs = _keyed(docs)
+    # texts are read once, for their features and for their lines' hashes
+    read = cut(with_lines(docs, 1, "doc_id", "source", "text").mapInArrow(tidy(_features), SCHEMA))
+    base, lost = read.select("doc_id", "source", "th", *FEATURES), _lost(read, docs, min_docs, max_percent).drop("hs")
     out = base.join(lost, _at(base["doc_id"], base["source"], base["th"]), "left").select("doc_id", "source", *FEATURES, _failed("n_words", "n_repeat_words").alias("base_failed"), F.coalesce("removed", F.lit(0)).alias("removed_chars"))
     depleted = (F.col("line_chars") - F.col("removed_chars")) * 100 < F.col("line_chars") * min_kept_percent
     return out.withColumn("depleted", depleted).withColumn("kept", ~F.col("base_failed") & ~depleted)
@@ -152,7 +155,8 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_percent: int = MAX_PERC
 
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("text").alias("th"))
     scored = rows.mapInArrow(tidy(each), T.StructType([*rows.schema.fields, *(T.StructField(x, T.LongType()) for x in ("n_words", "n_repeated", "n_keyed"))]))
-    lost = _lost(docs, min_docs, max_percent)
+    keyed = _keyed(docs)
+    lost = _lost(_lines(keyed), keyed, min_docs, max_percent)
     at = _at(F.col("row.doc_id").cast("long"), F.col("row.source").cast("string"), F.col("th"))
     both = scored.filter(~_failed("n_words", "n_repeated")).join(lost.hint("shuffle_hash"), at, "left")
     left = F.col("n_keyed") - F.coalesce("removed", F.lit(0))
