@@ -6,8 +6,9 @@ files named LICENSE, COPYING, NOTICE, ... the whole text. Paragraphs are divided
 templates are bags of words;
 a word weighs its count times the inverse document frequency among the templates (words of none weigh as much as the rarest), in whole
 thousandths, so that sums do not depend on their order. The best template by cosine, if it reaches ``min_percent``, is the passage's
-licence; the file's own is that of its best passage: a whole text before parts, then the higher score, then the longer passage. A mere
-reservation of rights (``RESERVED``) counts only where no passage has another licence. A file is a licence file if its name says so or if
+licence; the file's own is that of its best passage: a whole text whose template has more than ``NOTICE_WORDS`` words (full texts and
+headers, which quote notices) before all others, then the higher score, then the longer passage. A whole text that is a notice among other
+words stands behind the notice itself. A mere reservation of rights (``RESERVED``) counts only where no passage has another licence. A file is a licence file if its name says so or if
 its best passage makes up most of its text; then it
 also holds for its directory and those below. Any other file without a licence of its own inherits from the nearest ancestor directory
 that has a licence file.
@@ -59,6 +60,8 @@ WORDS = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright[^\n]*?(?:\(c\)|©|[0-9]{4}|<year>|\[y+\])|\(c\)|©)[^\n]*?(?=all rights reserved|$)"
 RESERVED = "Proprietary"
 MIN_PERCENT, FILE_PERCENT, MAX_TEMPLATE_WORDS = 60, 50, 100_000
+#: Fixed value: the longest grant among the templates has 43 words, the shortest full text 67.
+NOTICE_WORDS = 50
 
 
 def low(text: Column) -> Column:
@@ -72,12 +75,13 @@ def bag(text: Column) -> Column:
 
 
 def template_words(templates: DataFrame) -> DataFrame:
-    """template (number), license, word, weight and the template's squared norm; templates: number, license, text."""
+    """template (number), license, word, weight, the template's squared norm and whether it is longer than a notice; templates: number, license, text."""
     tf = templates.select(F.col("number").alias("template"), "license", F.explode(bag(F.col("text"))).alias("word")).groupBy("template", "license", "word").agg(F.count("*").alias("tf"))
     df = tf.groupBy("word").agg(F.count("*").alias("df"))
     n = templates.count()
     w = tf.join(df, "word").withColumn("weight", F.col("tf") * _idf(F.col("df"), n))
-    return w.join(w.groupBy("template").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2")), "template").select("template", "license", "word", "weight", "norm2", "df")
+    sums = w.groupBy("template").agg(F.sum(F.col("weight") * F.col("weight")).alias("norm2"), (F.sum("tf") > NOTICE_WORDS).alias("long"))
+    return w.join(sums, "template").select("template", "license", "word", "weight", "norm2", "long", "df")
 
 
 def _idf(df: Column, n: int) -> Column:
@@ -133,14 +137,14 @@ def scan(files: DataFrame, templates: DataFrame | None = None, min_percent: int
     n = templates.count()
     tf = tf.join(vocabulary, "word", "left").select("key", "word", (F.col("tf") * _idf(F.coalesce("df", F.lit(1)), n)).alias("w"))
     norms = tf.groupBy("key").agg(F.sum(F.col("w") * F.col("w")).alias("n2"))
-    dots = tf.join(words, "word").groupBy("key", "template", "license", "norm2").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = tf.join(words, "word").groupBy("key", "template", "license", "norm2", "long").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     score = F.floor(F.col("dot") * 100.0 / F.sqrt(F.col("n2").cast("double") * F.col("norm2")) + F.lit(1e-6)).cast("long")
-    best = dots.join(norms, "key").select("key", score.alias("score"), "license", "template").filter(F.col("score") >= min_percent)
-    best = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "template")).alias("b")).select("key", (-F.col("b.s")).alias("score"), F.col("b.license").alias("license"))
+    best = dots.join(norms, "key").select("key", score.alias("score"), "license", "template", "long").filter(F.col("score") >= min_percent)
+    best = best.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", "template", "long")).alias("b")).select("key", (-F.col("b.s")).alias("score"), F.col("b.license").alias("license"), F.col("b.long").alias("long"))
     # a table of its own, so that a passage of many files can be split
     best = cut(best)
     held = rows.select("row", F.explode("passages").alias("p")).select("row", "p.whole", "p.n", "p.key").join(best, "key")
-    order = F.struct((F.col("license") == RESERVED).alias("reserved"), (~F.col("whole")).alias("part"), (-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "license")
+    order = F.struct((F.col("license") == RESERVED).alias("reserved"), (~(F.col("whole") & F.col("long"))).alias("part"), (-F.col("score")).alias("s"), (-F.col("n")).alias("n"), "license")
     own = held.groupBy("row").agg(F.min(order).alias("b")).select("row", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score"), (-F.col("b.n")).alias("n_held"))
     owned = rows.drop("passages").join(own, "row", "left")
     is_file = F.col("license").isNotNull() & F.coalesce(named(F.col("path")) | (F.col("n_held") * 100 >= F.col("n_text") * file_percent), F.lit(False))

@@ -74,6 +74,16 @@ def test_passages_decide_alone(spark):
     assert got["f/none.py"] == got["g/LICENSE"] == (None, None, "none")
 
 
+def test_notices_among_other_words(spark):
+    """A licence file that is a notice among other words has the notice's score; a full text goes before the notices that it quotes."""
+    gpl = pkgutil.get_data("stratalith.llm", "licenses/GPL-3.0-only.txt").decode()
+    rows = [("a/COPYING.1", "A.\nAll rights reserved."), ("b/LICENSE", "Licensed under CC BY-NC 4.0.\nOf haesly edhest."), ("c/LICENSE", "Of haesly edhest relyre threst.\nAll rights reserved."), ("d/LICENSE", gpl + "\n\n" + MIT)]
+    got = {r.path: (r.license, r.score, r.origin) for r in scan(files(spark, rows)).collect()}
+    assert got["a/COPYING.1"] == got["c/LICENSE"] == ("Proprietary", 100, "file")
+    assert got["b/LICENSE"] == ("CC-BY-NC-4.0", 100, "file")
+    assert got["d/LICENSE"][0] == "GPL-3.0-only"
+
+
 def test_long_runs_take_no_stack(spark):
     rows = [("a/x.py", "# license\n" * 50_000), ("b/LICENSE", "a-1." * 50_000 + "license"), ("c/y", "\n-- \n" * 50_000 + APACHE)]
     assert {r.path: r.license for r in scan(files(spark, rows)).collect()}["c/y"] == "Apache-2.0"
