@@ -60,6 +60,17 @@ def test_hard_points_are_met(model):
     assert r.max_absolute_point_residual < 1e-8 and r.levels_used == 2
 
 
+def test_hard_solution_does_not_depend_on_the_size_of_weights():
+    """Points met exactly make one surface, whatever their weights are counted in; values and weights as large as those of many rows."""
+    p = scattered(12)
+    p[:, 2] *= 10_000
+    o = ConvergentOptions(relative_tolerance=1e-14, point_tolerance=1e-11, max_iterations=20_000)
+    z, more = (convergent.interpolate(GRID, p * [1, 1, 1, k], o) for k in (1.0, 25_000.0))
+    assert np.abs(z[0] - more[0]).max() < 1e-6 and more[1].point_constraints_satisfied and more[1].converged
+    loose = convergent.interpolate(GRID, p * [1, 1, 1, 25_000.0])[0]
+    assert np.abs(z[0] - loose).max() < 1e-6 * np.abs(z[0]).max()
+
+
 def test_hard_solution_has_least_energy():
     """The same points by a dense system of the bending energy, its ridge and multipliers."""
     p = scattered(12)
